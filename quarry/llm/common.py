@@ -24,9 +24,8 @@ def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits to ours; limits that are already lower stay."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(name, "0")
-        now = int(now) if str(now).lstrip("-").isdigit() else 0
-        if now <= 0 or now > most:
+        now = (spark.conf.get(name) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 
 
