@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, language, mixing, secrets, simhash, topk, toxicity
+from quarry.llm import decontaminate, extract, language, mixing, secrets, simhash, topk, toxicity
 from quarry.llm.common import table
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate")
 
@@ -40,6 +44,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract": op1_extract,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
