@@ -123,12 +123,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iter
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def single(whole: pa.Table, name: str) -> pa.Array:
+    """A column as one array."""
+    found = whole.column(name).combine_chunks()
+    return found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+
+
 def changes(whole: pa.Table, keys: list[str]) -> np.ndarray:
     """Positions at which a row's keys differ from those of the row before."""
     differs = np.zeros(max(0, whole.num_rows - 1), dtype=bool)
     for key in keys:
-        values = whole.column(key).combine_chunks()
-        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+        values = single(whole, key)
         differs |= np.asarray(pa.compute.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False), dtype=bool)
     return np.flatnonzero(differs) + 1
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, extract, language, mixing, secrets, simhash, topk, toxicity
+from quarry.llm import decontaminate, extract, language, mixing, secrets, simhash, suffixarrays, suffixtrees, topk, toxicity
 from quarry.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffixtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtrees.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -43,15 +47,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffixarrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarrays.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_suffixtrees": op5_suffixtrees,
     "op6_topk": op6_topk,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
+    "op10_suffixarrays": op10_suffixarrays,
 }
 
 _OP6_SQL = """
