@@ -1,10 +1,9 @@
-"""Registry of the reference operators' queries and of their SQL oracles."""
+"""All queries of the reference's operators over the driver's tables.
 
-from __future__ import annotations
+Bindings: a knowledge base is a source, a chunk is a document, a question is a benchmark item, a query vector is an embedding.
+"""
 
-from collections.abc import Callable
+from quarry.plans import documents, search, state, texts  # noqa: F401
+from quarry.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
