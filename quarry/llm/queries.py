@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontaminate, extract, language, mixing, secrets, simhash, suffixarrays, suffixtrees, topk, toxicity
 from quarry.llm.common import table
+from quarry.llm.oracles import ORACLE_SQL
 
 
 def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,8 @@ def op10_suffixarrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarrays.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": op1_extract,
     "op2_mixing": op2_mixing,
@@ -63,19 +66,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_suffixarrays": op10_suffixarrays,
 }
-
-_OP6_SQL = """
-WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-    FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
-), r AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
-"""
-
-ORACLE_SQL: dict[str, str] = {"op6_topk": _OP6_SQL}
