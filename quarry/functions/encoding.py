@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry.functions import text as T
 
@@ -43,12 +44,12 @@ def repair_text(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else decode_bytes(bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _repaired(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else repair_text(t))
 

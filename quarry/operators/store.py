@@ -23,10 +23,10 @@ class Table:
         self.spark, self.path, self.schema, self.partition_by = spark, path.rstrip("/"), schema, partition_by
 
     def _pointer(self) -> str | None:
-        where, fs = _fs(self.spark, f"{self.path}/_current")
+        where, fs = _fs(self.spark, f"{self.path}/current.json")
         if not fs.exists(where):
             return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/_current").collect()))["version"]
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current.json").collect()))["version"]
 
     def exists(self) -> bool:
         return self._pointer() is not None
@@ -44,11 +44,11 @@ class Table:
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(f"{self.path}/{version}")
-        where, fs = _fs(self.spark, f"{self.path}/_current.{version}")
+        where, fs = _fs(self.spark, f"{self.path}/current.{version}.json")
         out = fs.create(where, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        target, _ = _fs(self.spark, f"{self.path}/_current")
+        target, _ = _fs(self.spark, f"{self.path}/current.json")
         if fs.exists(target):
             fs.delete(target, False)
         fs.rename(where, target)
