@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def cosine(a: Column, b: Column, length: Column | None = None) -> Column:
+    """Null for a vector of length 0; `length` is that of b, where it is known."""
+    both = F.sqrt(dot(a, a)) * (F.sqrt(dot(b, b)) if length is None else length)
+    return dot(a, b) / F.nullif(both, F.lit(0.0))
+
+
+def _length(vector: list[float]) -> float:
+    return math.sqrt(sum(float(x) ** 2 for x in vector))
 
 
 def search_one(chunks: DataFrame, vector: list[float], limit: int, key: str = "chunk_key", where: Column | None = None) -> DataFrame:
     """The best `limit` rows for one vector; the filter stands below the limit, so a partitioned table is pruned by it."""
     rows = chunks if where is None else chunks.where(where)
-    asked = F.array(*[F.lit(float(x)) for x in vector])
-    scored = rows.select(*[c for c in rows.columns if c != "embedding"], F.coalesce(cosine(F.col("embedding"), asked), F.lit(0.0)).alias("score"))
+    score = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]), F.lit(_length(vector)))
+    scored = rows.select(*[c for c in rows.columns if c != "embedding"], F.coalesce(score, F.lit(0.0)).alias("score"))
     return scored.orderBy(F.desc("score"), key).limit(limit)
 
 
@@ -30,11 +38,11 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_
     found = None
     held: list = []
     rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    spark, schema = chunks.sparkSession, queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).schema
+    spark, schema = chunks.sparkSession, queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"), F.lit(0.0).alias("length")).schema
 
     def one(block_rows: list) -> DataFrame:
-        asked = spark.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in block_rows], schema)
-        scored = chunks.select(key, "embedding").crossJoin(F.broadcast(asked)).select("query_id", key, F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)).alias("score"))
+        asked = spark.createDataFrame([(r[0], [float(x) for x in r[1]], _length(r[1])) for r in block_rows], schema)
+        scored = chunks.select(key, "embedding").crossJoin(F.broadcast(asked)).select("query_id", key, F.coalesce(cosine(F.col("embedding"), F.col("q"), F.col("length")), F.lit(0.0)).alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
