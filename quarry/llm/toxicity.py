@@ -5,9 +5,9 @@ features; a later model also gets the earlier categories' probabilities. It is t
 models, so it learns how far they can be trusted on documents that they have not seen; at prediction, the models fitted
 on all training rows feed each other.
 
-Features are words and word beginnings of four and five letters. Which ones a model may use is decided by counts over all labelled documents
-(the standard score of the log odds); the models are fitted on at most about `sample` labelled rows, drawn by
-a hash of doc_id, which is the only bound. Prediction covers every document and its whole text.
+Features are words and word beginnings of four and five letters. The classifier is fitted on about `sample` labelled rows (all, where there
+are no more), drawn by a hash of doc_id, which is the only bound: the models, and which features they may use (those with the
+highest standard score of the log odds). Prediction covers every document and its whole text.
 
 Only an overall label comes with the data; a category's label is that label together with one of the category's seed words.
 
@@ -102,9 +102,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: in
     return w
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
+def _drawn(docs: DataFrame, labels: DataFrame, sample: int, seed: int, doc_id: str, text: str, label: str) -> DataFrame:
+    """(doc_id, text, label) of about `sample` labelled documents.
+
+    They are drawn among the labels, so that only a table of bounded size, which is broadcast, meets the documents.
+    """
     one = labels.where(labels[label].isNotNull()).groupBy(labels[doc_id].cast("bigint").alias("doc_id")).agg(F.max(labels[label].cast("int")).alias("label"))
-    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).where(F.col("text").isNotNull()).join(one, "doc_id")
+    share = min(1.0, sample / max(1, one.count()))
+    drawn = materialise(one.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < share), "drawn")
+    known = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).where(F.col("text").isNotNull())
+    return known.join(F.broadcast(drawn), "doc_id")
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
@@ -126,7 +133,7 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, sample: int = SAMPLE, most: int = FEATURES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = SEED) -> Chain | None:
     """The chain, or None if the labels are not of both kinds."""
     bound_batches(docs.sparkSession)
-    rows = materialise(_labelled(docs, labels, doc_id, text, label), "labelled")
+    rows = materialise(_drawn(docs, labels, sample, seed, doc_id, text, label), "labelled")
     total = rows.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
     if not total[0] or not total[1]:
         return None
@@ -151,9 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(found), np.array([len(f) for f in found]), pa.int32()), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "features", "marks"])
 
-    share = min(1.0, sample / (total[0] + total[1]))
-    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < share)
-    got = drawn.select("doc_id", "text", "label").mapInArrow(encode, "doc_id bigint, features array<int>, marks array<int>").orderBy("doc_id").collect()
+    got = rows.select("doc_id", "text", "label").mapInArrow(encode, "doc_id bigint, features array<int>, marks array<int>").orderBy("doc_id").collect()
     if not got:
         return None
     x = np.zeros((len(got), len(index)), np.float32)
