@@ -23,6 +23,7 @@ Only texts with a recurring anchor are shuffled, once; all tables between the st
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -252,28 +253,95 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held).combine_chunks()
 
 
-def earliest_crowded(different: DataFrame, kind: Kind) -> DataFrame:
-    """The same for groups that are divided by the longest prefix, the whole window: an aggregation over windows."""
+def _keys(digests: bytes) -> np.ndarray:
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _least(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of keys and places, and where in it each key begins, which is at its earliest place."""
+    order = np.lexsort((starts, docs, keys[:, 1], keys[:, 0]))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(keys[order, 0]) != 0) | (np.diff(keys[order, 1]) != 0)
+    return order, np.flatnonzero(fresh)
+
+
+_PACKED_DDL = "chunk string, fids array<binary>, windows array<bigint>, digests binary, docs array<bigint>, starts array<bigint>"
+_DEALT = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("digests", pa.binary()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("chunk", pa.string()), ("digests", pa.binary()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+
+
+def earliest_crowded(different: DataFrame, kind: Kind, size: int = 256) -> DataFrame:
+    """The same for groups that are divided by the longest prefix, the whole window.
+
+    Fragments are packed into chunks of `size`. A chunk sends each of its different windows once, by digest and with its earliest place,
+    to the bucket of the digest; the bucket sends back the earliest place of what it has seen more than once. A window that very many
+    fragments hold is thus one entry for each chunk, and rows are chunks and not windows.
+    """
+    parts = int(different.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = {n: batch.column(n) for n in ("fid", "content", "windows", "doc_id", "start")}
-            for i in range(0, batch.num_rows, 64):
-                texts, values, starts, stops, ends, _ = _measured(column["content"].slice(i, 64), kind)
-                whole = b"".join(texts)
-                windows = column["windows"].slice(i, 64).to_numpy()
+            for i in range(0, batch.num_rows, size):
+                part = batch.slice(i, size)
+                texts, _, starts, stops, ends, _ = _measured(part.column("content"), kind)
+                whole, windows = b"".join(texts), part.column("windows").to_numpy()
                 owner = np.repeat(np.arange(len(windows)), windows)
                 inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
                 first = np.concatenate([[0], ends])[owner] + inside
-                found = [whole[s:e] for s, e in zip(starts[first].tolist(), stops[first + kind.width - 1].tolist(), strict=True)]
-                fids = column["fid"].slice(i, 64).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([fids[o] for o in owner], pa.binary()), pa.array(inside, pa.int64()), pa.array(column["doc_id"].slice(i, 64).to_numpy()[owner]), pa.array(column["start"].slice(i, 64).to_numpy()[owner] + inside)], names=["window", "fid", "nth", "doc_id", "start"])
-
-    every = materialise(different.mapInArrow(cut, "window binary, fid binary, nth bigint, doc_id bigint, start bigint"), "crowded")
-    least = materialise(every.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least"), "least")
-    placed = every.join(least, "window", "left").select("fid", "nth", F.coalesce("least", F.struct("doc_id", "start")).alias("at"))
-    listed = placed.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("nth", "at"))).alias("all"))
-    return listed.select("fid", F.transform("all", lambda x: x["at"]["doc_id"]).alias("docs"), F.transform("all", lambda x: x["at"]["start"]).alias("starts"))
+                digests = b"".join(hashlib.blake2b(whole[s:e], digest_size=16).digest() for s, e in zip(starts[first].tolist(), stops[first + kind.width - 1].tolist(), strict=True))
+                row = (uuid.uuid4().hex, part.column("fid").to_pylist(), windows.tolist(), digests, part.column("doc_id").to_numpy()[owner].tolist(), (part.column("start").to_numpy()[owner] + inside).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, (pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["chunk", "fids", "windows", "digests", "docs", "starts"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, digests, docs, starts in zip(*(batch.column(n).to_pylist() for n in ("chunk", "digests", "docs", "starts")), strict=True):
+                keys, docs, starts = _keys(digests), np.array(docs), np.array(starts)
+                order, first = _least(keys, docs, starts)
+                times = np.diff(np.append(first, len(order)))
+                at = order[first]
+                bucket = (keys[at, 0] % np.uint64(parts)).astype(np.int32)
+                by = np.argsort(bucket, kind="stable")
+                rows = []
+                for some in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+                    rows.append((int(bucket[some[0]]), chunk, keys[at[some]].tobytes(), docs[at[some]].tolist(), starts[at[some]].tolist(), times[some].tolist()))
+                yield record(_DEALT, zip(*rows, strict=True))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in runs(batches, ["bucket"], 1):
+            blobs = whole.column("digests").to_pylist()
+            keys = np.concatenate([_keys(b) for b in blobs])
+            owner = np.repeat(np.arange(len(blobs)), [len(b) // 16 for b in blobs])
+            docs, starts, times = (single(whole, n).flatten().to_numpy() for n in ("docs", "starts", "times"))
+            order, first = _least(keys, docs, starts)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            often = np.add.reduceat(times[order], first) > 1
+            keep = np.flatnonzero(often[group])
+            if not len(keep):
+                continue
+            entry, least = order[keep], order[first[group[keep]]]
+            by = np.argsort(owner[entry], kind="stable")
+            chunks = whole.column("chunk").to_pylist()
+            rows = []
+            for some in np.split(by, np.flatnonzero(np.diff(owner[entry][by])) + 1):
+                rows.append((chunks[owner[entry[some[0]]]], keys[entry[some]].tobytes(), docs[least[some]].tolist(), starts[least[some]].tolist()))
+            yield record(_FOUND, zip(*rows, strict=True))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fids, windows, digests, docs, starts, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                least: dict[bytes, tuple[int, int]] = {}
+                for one in found or []:
+                    least.update(zip((one["digests"][i : i + 16] for i in range(0, len(one["digests"]), 16)), zip(one["docs"], one["starts"], strict=True), strict=True))
+                places = [least.get(digests[i * 16 : i * 16 + 16], (d, s)) for i, (d, s) in enumerate(zip(docs, starts, strict=True))]
+                d, s = (np.array(x, np.int64) for x in zip(*places, strict=True))
+                counts = np.array(windows)
+                yield pa.RecordBatch.from_arrays([pa.array(fids, pa.binary()), lists(d, counts, pa.int64()), lists(s, counts, pa.int64())], schema=_PLACES)
+
+    packed = materialise(different.mapInArrow(pack, _PACKED_DDL), "packed")
+    dealt = packed.select("chunk", "digests", "docs", "starts").mapInArrow(deal, "bucket int, chunk string, digests binary, docs array<bigint>, starts array<bigint>, times array<bigint>")
+    met = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "chunk string, digests binary, docs array<bigint>, starts array<bigint>")
+    back = met.groupBy("chunk").agg(F.collect_list(F.struct("digests", "docs", "starts")).alias("found"))
+    return packed.join(back, "chunk", "left").select("fids", "windows", "digests", "docs", "starts", "found").mapInArrow(unpack, _PLACES_DDL)
 
 
 _SPANS_DDL = "doc_id bigint, froms array<bigint>, tos array<bigint>"
