@@ -94,8 +94,8 @@ def scan(waiting: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def advance(ledger: DataFrame | None, waiting: DataFrame) -> DataFrame:
     """The ledger after the unseen pairs of `waiting` have been scanned."""
-    pair = F.split(F.explode("todo"), "@")
-    done = waiting.select("blob", pair.alias("pair")).select("blob", F.col("pair")[0].alias("rule"), F.col("pair")[1].cast("int").alias("version"))
+    pair = F.split("key", "@")
+    done = waiting.select("blob", F.explode("todo").alias("key")).select("blob", pair[0].alias("rule"), pair[1].cast("int").alias("version"))
     return done if ledger is None else ledger.select("blob", "rule", "version").unionByName(done)
 
 
