@@ -80,11 +80,16 @@ def _tilt(multiplier: Column, size: Column, mean: Column, cap: int) -> Column:
     return F.exp(F.least(multiplier * size / mean, F.lit(math.log(cap))))
 
 
+def _exact(x: Column) -> Column:
+    """A sum that does not depend on the order of its terms, so that reruns agree to the last digit."""
+    return F.sum(x.cast("decimal(30,10)")).cast("double")
+
+
 def multipliers(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
     """targets with `mean` and the dual's solution `multiplier`; null where a source takes nothing or its whole cap."""
     counts = materialise(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("docs")), "counts")
-    share = F.col("target") / F.col("source_size")
-    state = targets.withColumn("mean", F.col("source_size") / F.col("n")).withColumn("free", (F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * cap))
+    share = F.try_divide("target", "source_size")
+    state = targets.withColumn("mean", F.try_divide("source_size", "n")).withColumn("free", (F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * cap))
     least = F.col("smallest") / F.col("mean")
     state = state.withColumn("multiplier", F.when(F.col("free"), F.lit(0.0)))
     state = state.withColumn("low", F.when(F.col("free"), F.when(share < 1, F.log(share) / least).otherwise(0.0)))
@@ -95,7 +100,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFra
         rate = _tilt(F.col("multiplier"), F.col("size"), F.col("mean"), cap)
         words = F.col("docs") * F.col("size") * rate
         slope = F.when(F.col("multiplier") * F.col("size") / F.col("mean") < math.log(cap), words * F.col("size") / F.col("mean")).otherwise(0.0)
-        met = counts.alias("c").join(state.where("free").alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).groupBy("s.source").agg(F.sum(words).alias("words"), F.sum(slope).alias("slope"))
+        met = counts.alias("c").join(state.where("free").alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).groupBy("s.source").agg(_exact(words).alias("words"), _exact(slope).alias("slope"))
         joined = state.alias("s").join(met.alias("m"), F.col("s.source").eqNullSafe(F.col("m.source")), "left")
         over = F.col("words") - F.col("target")
         high = F.when(over > 0, F.col("multiplier")).otherwise(F.col("high"))
