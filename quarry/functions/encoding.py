@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quarry.functions import text as T
+from quarry.runtime import reach_workers
 
 _LATIN1, _CJK = re.compile("[À-ÿ]"), re.compile("[一-鿿]")
 
@@ -56,10 +57,12 @@ def _repaired(text: pd.Series) -> pd.Series:
 
 def repair(text: Column) -> Column:
     """Mojibake repair; Python sees only texts that look garbled."""
+    reach_workers(SparkSession.getActiveSession())
     return F.coalesce(_repaired(F.when(T.looks_garbled(text), text)), text)
 
 
 def decode(content: Column) -> Column:
     """Text of a binary column, repaired; Python sees only what is not UTF-8."""
+    reach_workers(SparkSession.getActiveSession())
     valid = F.is_valid_utf8(content.cast("string"))
     return repair(F.when(valid, content.cast("string")).otherwise(_decoded(F.when(~valid, content))))

@@ -13,6 +13,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.runtime import reach_workers
+
 Embedder = Callable[[list[str]], list[list[float]]]
 
 #: Keys under which replies hold vectors, texts, and states.
@@ -138,6 +140,7 @@ class HashEmbedder:
 
 def embed(rows: DataFrame, provider: Embedder, text: str = "text", column: str = "embedding") -> DataFrame:
     """rows with the provider's vector of each text; the provider is called on batches, inside the executors."""
+    reach_workers(rows.sparkSession)
     schema = rows.drop(column).schema
     place = schema.names.index(text)
     names = schema.names

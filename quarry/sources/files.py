@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.encoding import decode
 from quarry.functions.text import normalize, suffix
+from quarry.runtime import reach_workers
 from quarry.schemas import DOCUMENT
 from quarry.sources import office, ocr
 
@@ -84,6 +85,7 @@ def documents(found: DataFrame, make_ocr: Callable[[], Callable] | None = None,
     make_ocr builds the OCR engine, once for each Python worker and only where a file needs it.
     """
     how = how or ocr.Retry()
+    reach_workers(found.sparkSession)
     path = F.regexp_replace("path", r"^file:/+", "/")
     kinds = found.select(path.alias("abs_path"), suffix(path).alias("kind"), "content")
     plain = kinds.where(F.col("kind").isin(*TEXT)).select("abs_path", normalize(decode(F.col("content"))).alias("text"), F.substring("kind", 2, 10).alias("source_type")).where("text <> ''")
