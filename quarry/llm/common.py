@@ -13,6 +13,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.runtime import reach_workers
+
 #: Rows and bytes that one Arrow batch may hold: the unit of work of every Python worker here.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -21,7 +23,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits to ours; limits that are already lower stay."""
+    """Lower the session's Arrow batch limits to ours; limits that are already lower stay. Workers get to see this package."""
+    reach_workers(spark)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         now = (spark.conf.get(name) or "").rstrip("b")
