@@ -7,7 +7,7 @@ on all training rows feed each other.
 
 Features are words and word beginnings of four and five letters. The classifier is fitted on about `sample` labelled rows (all, where there
 are no more), drawn by a hash of doc_id, which is the only bound: the models, and which features they may use (those with the
-highest standard score of the log odds). Prediction covers every document and its whole text.
+highest likelihood ratio against independence). Prediction covers every document and its whole text.
 
 Only an overall label comes with the data; a category's label is that label together with one of the category's seed words.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 OVERALL = "toxic"
 SAMPLE = 12_000
 FEATURES = 1024
-LEAST_DOCS = 8
-LEAST_SCORE = 4.0
+LEAST_DOCS = 3
+LEAST_SCORE = 10.83  # of one degree of freedom, at 1 in 1000
 FOLDS = 5
 THRESHOLD = 0.5
 SEED = 42
@@ -130,6 +130,14 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _association(toxic: Column, clean: Column, toxics: float, cleans: float) -> Column:
+    """The likelihood-ratio statistic of having a feature and being toxic."""
+    share = toxics / (toxics + cleans)
+    have, lack = toxic + clean, F.lit(toxics + cleans) - toxic - clean
+    cells = ((toxic, have * share), (clean, have * (1 - share)), (toxics - toxic, lack * share), (cleans - clean, lack * (1 - share)))
+    return sum((F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, sample: int = SAMPLE, most: int = FEATURES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = SEED) -> Chain | None:
     """The chain, or None if the labels are not of both kinds."""
     bound_batches(docs.sparkSession)
@@ -137,11 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     total = rows.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
     if not total[0] or not total[1]:
         return None
-    # Standard score of the log odds of a feature in toxic against clean documents.
-    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(t / (total[0] + 1 - t)) - F.log(c / (total[1] + 1 - c))
-    score = odds / F.sqrt(1 / t + 1 / c)
-    kept = _feature_counts(rows).where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", F.abs(score).alias("score")).where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "feature").limit(most).collect()
+    score = _association(F.col("toxic"), F.col("clean"), *map(float, total))
+    kept = _feature_counts(rows).where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", score.alias("score")).where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "feature").limit(most).collect()
     index = {r["feature"]: i for i, r in enumerate(kept)}
     names = [*categories, OVERALL]
     chain = Chain(names, index, [])
