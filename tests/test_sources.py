@@ -119,6 +119,7 @@ def test_provider_replies():
     assert providers.vectors(types.SimpleNamespace(output={"embeddings": [[1]]})) == [[1.0]]
     assert providers.content({"choices": [{"message": {"content": " hi "}}]}) == "hi" and providers.content({"output": {"text": "t"}}) == "t"
     assert providers.content({"choices": [{"text": "u"}]}) == "u" and providers.content(None) == "" and providers.content(5) == ""
+    assert providers.response_text(["a", {"text": "b"}, 3, ""]) == "a\nb" and providers.response_text(None) == "" and providers.response_text(5) == "5"
     assert providers.status({"status_code": 500, "message": "m"}) == (500, "m") and providers.status(types.SimpleNamespace(status=1)) == (1, None)
     assert providers.base_url("http://x/") == "http://x/v1" == providers.base_url("http://x/v1")
 
