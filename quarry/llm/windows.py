@@ -145,7 +145,7 @@ def _measured(column: pa.Array, kind: Kind) -> tuple[list[bytes], np.ndarray, np
     return texts, values, starts, stops, ends, offsets
 
 
-def _groups(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _groups(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Rows in groups of bounded text, a longer text alone."""
     _, offsets = buffer(column)
     start = 0
@@ -207,12 +207,22 @@ def fragments(texts: DataFrame, kind: Kind) -> DataFrame:
     return texts.mapInArrow(run, "anchor bigint, fid binary, content binary, doc_id bigint, start bigint, windows bigint")
 
 
-_PLACES = pa.schema([("fid", pa.binary()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
-_PLACES_DDL = "fid binary, docs array<bigint>, starts array<bigint>"
+_PLACES_DDL = "fid binary, times array<bigint>, docs array<bigint>, starts array<bigint>"
+
+
+def _places(fids: pa.Array, windows: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """The place of each window of each fragment, as runs of windows whose places follow one another: mostly one run."""
+    owner = np.repeat(np.arange(len(windows)), windows)
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (np.diff(owner) != 0) | (np.diff(docs) != 0) | (np.diff(starts) != 1)
+    first = np.flatnonzero(fresh)
+    counts = np.bincount(owner[first], minlength=len(windows))
+    times = np.diff(np.append(first, len(owner)))
+    return pa.RecordBatch.from_arrays([fids, lists(times, counts, pa.int64()), lists(docs[first], counts, pa.int64()), lists(starts[first], counts, pa.int64())], names=["fid", "times", "docs", "starts"])
 
 
 def earliest(different: DataFrame, kind: Kind, chunk_bytes: int = CHUNK_BYTES, parts: int | None = None) -> DataFrame:
-    """(fid, docs, starts): for each window of each fragment, the earliest place of its class.
+    """(fid, times, docs, starts): for each window of each fragment, the earliest place of its class, in runs.
 
     different: (anchor, fid, content, windows, doc_id, start), one row for each different fragment with its earliest place.
     """
@@ -230,7 +240,7 @@ def earliest(different: DataFrame, kind: Kind, chunk_bytes: int = CHUNK_BYTES, p
             by = np.zeros(found.max() + 1, np.int64)
             by[found[least]] = least
             at = by[found]
-            yield pa.RecordBatch.from_arrays([single(whole, "fid"), lists(docs[at], windows, pa.int64()), lists(starts[at], windows, pa.int64())], names=["fid", "docs", "starts"])
+            yield _places(single(whole, "fid"), windows, docs[at], starts[at])
 
     return different.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(run, _PLACES_DDL)
 
@@ -334,8 +344,7 @@ def earliest_crowded(different: DataFrame, kind: Kind, size: int = 256) -> DataF
                     least.update(zip((one["digests"][i : i + 16] for i in range(0, len(one["digests"]), 16)), zip(one["docs"], one["starts"], strict=True), strict=True))
                 places = [least.get(digests[i * 16 : i * 16 + 16], (d, s)) for i, (d, s) in enumerate(zip(docs, starts, strict=True))]
                 d, s = (np.array(x, np.int64) for x in zip(*places, strict=True))
-                counts = np.array(windows)
-                yield pa.RecordBatch.from_arrays([pa.array(fids, pa.binary()), lists(d, counts, pa.int64()), lists(s, counts, pa.int64())], schema=_PLACES)
+                yield _places(pa.array(fids, pa.binary()), np.array(windows), d, s)
 
     packed = materialise(different.mapInArrow(pack, _PACKED_DDL), "packed")
     dealt = packed.select("chunk", "digests", "docs", "starts").mapInArrow(deal, "bucket int, chunk string, digests binary, docs array<bigint>, starts array<bigint>, times array<bigint>")
@@ -348,15 +357,18 @@ _SPANS_DDL = "doc_id bigint, froms array<bigint>, tos array<bigint>"
 
 
 def _lost(kind: Kind) -> Callable:
-    """From (doc_id, start, docs, starts) of each place of a fragment to the spans of units that its windows remove."""
+    """From (doc_id, start, times, docs, starts) of each place of a fragment to the spans of units that its windows remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts = np.diff(np.asarray(batch.column(2).offsets))
-            docs, starts = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-            owner = np.repeat(np.arange(len(counts)), counts)
+            times, docs, starts = (batch.column(n).flatten().to_numpy() for n in ("times", "docs", "starts"))
+            holder = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column("times").offsets)))
+            owner = np.repeat(holder, times)
+            counts = np.bincount(owner, minlength=batch.num_rows)
+            starts = np.repeat(starts, times) + np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+            docs = np.repeat(docs, times)
             own = batch.column(0).to_numpy()[owner]
             place = batch.column(1).to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             gone = docs < own if kind.across else (docs < own) | ((docs == own) & (starts < place))
@@ -413,7 +425,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, crowd: int = CROWD, chunk_bytes:
         found = found.unionByName(earliest_crowded(different.join(crowded, "anchor", "left_semi"), kind))
     found = materialise(found, "earliest")
 
-    lost = places.select("fid", "doc_id", "start").join(found, "fid").select("doc_id", "start", "docs", "starts").mapInArrow(_lost(kind), _SPANS_DDL)
+    lost = places.select("fid", "doc_id", "start").join(found, "fid").select("doc_id", "start", "times", "docs", "starts").mapInArrow(_lost(kind), _SPANS_DDL)
     spans = lost.groupBy("doc_id").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
     cut = materialise(affected.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_cut(kind), "doc_id bigint, removed bigint, spans bigint, digest binary"), "cut").dropDuplicates(["doc_id"])
 
