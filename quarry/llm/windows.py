@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bound_batches, buffer, lists, materialise, record, runs, single, utf8
 
 #: Units that one vectorised step handles, and bits of a unit's position in it.
-STEP, POSITION_BITS = 1 << 19, 21
+STEP, POSITION_BITS = 1 << 18, 21
 #: Fragments of one anchor beyond which longer prefixes divide the group; bytes of fragments that one sort handles.
 CROWD = 512
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -145,7 +145,7 @@ def _measured(column: pa.Array, kind: Kind) -> tuple[list[bytes], np.ndarray, np
     return texts, values, starts, stops, ends, offsets
 
 
-def _groups(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _groups(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Rows in groups of bounded text, a longer text alone."""
     _, offsets = buffer(column)
     start = 0
