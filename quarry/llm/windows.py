@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, buffer, lists, materialise, record, runs, single, utf8
+from quarry.llm.common import bound_batches, buffer, lists, materialise, record, release, runs, single, utf8
 
 #: Units that one vectorised step handles, and bits of a unit's position in it.
 STEP, POSITION_BITS = 1 << 18, 21
@@ -414,6 +414,8 @@ def remove_repeats(docs: DataFrame, kind: Kind, crowd: int = CROWD, chunk_bytes:
     sketches = materialise(sketch(source, kind), "sketches")
     firsts = materialise(sketches.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "firsts")
     hot = materialise(recurring(sketches, firsts, kind), "recurring")
+    sizes = materialise(sketches.select("doc_id", "n", "digest"), "sizes")
+    release(sketches)  # its anchors are the largest table here, and done with
     affected = materialise(source.join(hot, "doc_id").select("doc_id", "text", "anchors"), "affected")
     places = materialise(fragments(affected, kind), "fragments")
 
@@ -424,13 +426,14 @@ def remove_repeats(docs: DataFrame, kind: Kind, crowd: int = CROWD, chunk_bytes:
     if crowded.head(1):
         found = found.unionByName(earliest_crowded(different.join(crowded, "anchor", "left_semi"), kind))
     found = materialise(found, "earliest")
+    release(different)
 
     lost = places.select("fid", "doc_id", "start").join(found, "fid").select("doc_id", "start", "times", "docs", "starts").mapInArrow(_lost(kind), _SPANS_DDL)
     spans = lost.groupBy("doc_id").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
     cut = materialise(affected.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_cut(kind), "doc_id bigint, removed bigint, spans bigint, digest binary"), "cut").dropDuplicates(["doc_id"])
 
     copy = (F.col("s.doc_id") > F.col("f.doc_id")) & (F.col("n") >= kind.width)
-    every = sketches.select("doc_id", "n", "digest").alias("s").join(firsts.alias("f"), F.col("s.digest") == F.col("f.digest")).select("s.doc_id", "n", F.col("s.digest").alias("whole"), copy.alias("copy"))
+    every = sizes.alias("s").join(firsts.alias("f"), F.col("s.digest") == F.col("f.digest")).select("s.doc_id", "n", F.col("s.digest").alias("whole"), copy.alias("copy"))
     joined = every.join(cut.withColumnRenamed("digest", "rest"), "doc_id", "left")
     digest = F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.lower(F.hex(F.coalesce("rest", "whole"))))
     return joined.select(
