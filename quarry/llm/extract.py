@@ -1,16 +1,18 @@
 """Main-text extraction by equivalence classes of page tokens.
 
-The pages of a host share templates. A token is an opening tag at its place in the tree (the path of block elements above it, with
-classes and ids, digits folded). Its occurrence vector says how often it occurs on each page of its host; tokens of
-equal vectors form an equivalence class. Vectors are never gathered: a commutative hash over (page, count) identifies them, so a
-host of any size is an aggregation that is reduced on the map side. A class is valid if enough pages have it; valid classes nest by
-the places of their tokens and form the host's template, and what lies between template tokens are its slots.
-
-Of the slots, the main one is chosen from sums over all pages of the host: the template's article or main element if it has one,
-else the innermost template element that holds most of the host's text outside links and page furniture. Every page is then extracted through
-its host's template: the main slot's text, without nested furniture (menus, headers and footers, sidebars, notices, adverts,
-forms, scripts, styles, comment sections). A page that does not fit the template (or whose host has too few pages) is read by the same rule
-from its own tree.
+The pages of a host share templates. Tokens are opening tags at their place in the tree (the path of block elements above them, with
+classes and ids, digits folded) and texts without a break at theirs. A token's occurrence vector says how often it occurs on each page of its host;
+tokens of equal vectors form an equivalence class. Vectors are never gathered: a commutative hash over (page, count) identifies them, so a
+host of any size is an aggregation that is reduced on the map side. A class is valid if enough pages have it and it holds elements as well as
+texts. A text is part of the template if it is nested in an element of its own class; what else is found is text of the page's slots.
+The order of a class's tokens is not compared.
+
+Of the slots, the main one is the page's article elements (main elements, if there are none), else the innermost box with most of the page's
+text outside links. All slots stay, with text that the template does not have; outside the main slot, text that differs in digits only is
+template too, and link lists and elements that names, roles or tags call furniture go. An element around the main slot, or (but for header, footer,
+nav and the like beside an article) with half of the page's text, is never furniture. The template decides inside the main slot; where a host has none (fewer than three pages, or
+nothing repeats), asides, forms, menus and adverts inside it go, and text beside articles that hold half of the text goes. Texts that
+together are most of a page are never template, as copies of a page repeat them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by one space in page order.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,22 +37,29 @@ from quarry.llm.common import bound_batches, materialise
 #: A class is part of a template if at least so many pages and this share of its host's pages have it.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.1
-#: The main slot without a main element holds this share of the host's text.
+#: The main slot without a main element holds this share of its page's text; text of the template is on this share of the host's pages.
 MAIN_SHARE = 0.6
+TEXT_SHARE = 0.5
 
 #: Elements without content, elements whose content is no markup, and elements that do not break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that are never main text, and class or id words that mark furniture.
-FURNITURE = frozenset("nav header footer aside form script style noscript template iframe svg button select option input textarea head title menu dialog object canvas video audio figure-nav".split())
+#: Elements that hold no running text; and hints at furniture: elements, and words in classes and ids.
+HIDDEN = frozenset("script style noscript template iframe svg button select option input textarea head title object canvas video audio".split())
+FURNITURE = frozenset("nav header footer aside form menu dialog figure-nav".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets footer header masthead topbar "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended pagination pager "
     "toolbar copyright legal disclaimer skip search form".split()
 )
+#: The hints that count inside the main slot too, where no template can tell.
+INNER = frozenset("nav aside form menu dialog".split())
+INNER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_TAGS = ("article", "main")
+#: Elements that can be the main slot of a page without these.
+BOXES = frozenset("html body div section table td".split())
 MAIN_WORDS = frozenset("article main content post entry story body-content article-body post-content entry-content main-content articlebody".split())
 #: An opening tag of the first group ends an open paragraph; of the others, an open one of its own kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -62,23 +72,26 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Page:
-    """Text pieces of a page: (text, its block element's path, element numbers above it); elements in page order."""
+    """Text pieces of a page by the block elements that hold them; elements in page order."""
 
     def __init__(self, source: str):
-        #: Of each block element: tag, path, parent, furniture or not, names of class and id.
+        #: Of each block element: tag, path, parent, whether its text is hidden (inherited), and the hint: 0 none, 1 outside the main slot, 2 anywhere.
         self.tags: list[str] = ["#"]
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
-        self.furniture: list[bool] = [False]
-        self.marks: list[frozenset[str]] = [frozenset()]
+        self.hidden: list[bool] = [False]
+        self.hints: list[int] = [0]
         #: Pieces: (element, text or None for a break, whether in a link).
         self.pieces: list[tuple[int, str | None, bool]] = []
         self._read(source)
+        #: Runs, text without a break: (element, its pieces, characters outside links, characters).
+        self.runs: list[tuple[int, list[str], int, int]] = []
+        self._join()
 
     def _read(self, source: str) -> None:
         open_ = [0]
         links = 0
-        hidden: list[tuple[str, int]] = []  # inline furniture that is open
+        hidden: list[tuple[str, int]] = []  # inline elements that are not shown
         at, pieces = 0, self.pieces
         for m in _TOKEN.finditer(source):
             if m.start() < at:
@@ -114,7 +127,7 @@ class Page:
             if tag in INLINE:
                 if tag == "a" and not closed:
                     links += 1
-                elif tag not in VOID and not closed and self._is_furniture(tag, *self._names(m[3])):
+                elif tag not in VOID and not closed and self._names(m[3])[2]:
                     hidden.append((tag, len(open_)))
                 continue
             if tag in VOID:
@@ -141,81 +154,130 @@ class Page:
         return frozenset(named), found.get("role", "").lower(), off
 
     @staticmethod
-    def _is_furniture(tag: str, named: frozenset[str], role: str, off: bool) -> bool:
-        if tag in FURNITURE or role in FURNITURE_ROLES or off:
-            return True
-        return any(not FURNITURE_WORDS.isdisjoint(_WORDS.findall(n)) and n not in MAIN_WORDS for n in named)
+    def _hint(tag: str, named: frozenset[str], role: str) -> int:
+        words = {w for n in named if n not in MAIN_WORDS for w in _WORDS.findall(n)}
+        if tag in INNER or not INNER_WORDS.isdisjoint(words):
+            return 2
+        return int(tag in FURNITURE or role in FURNITURE_ROLES or not FURNITURE_WORDS.isdisjoint(words))
 
     def _element(self, tag: str, attributes: str, parent: int) -> int:
         named, role, off = self._names(attributes) if attributes else (frozenset(), "", False)
         mark = ".".join(sorted(_DIGITS.sub("0", n) for n in named))
-        outer = tag not in ("html", "body") and tag not in MAIN_TAGS and self._is_furniture(tag, named, role, off)
-        inner_header = tag == "header" and any(t in MAIN_TAGS for t in self._above(parent))
         self.tags.append(tag)
         self.paths.append(f"{self.paths[parent]}/{tag}{'.' + mark if mark else ''}")
         self.parents.append(parent)
-        self.furniture.append(self.furniture[parent] or (outer and not inner_header))
-        self.marks.append(named)
+        self.hidden.append(self.hidden[parent] or off or tag in HIDDEN)
+        self.hints.append(0 if tag in ("html", "body") else self._hint(tag, named, role))
         return len(self.tags) - 1
 
-    def _above(self, element: int) -> Iterator[str]:
-        while element > 0:
-            yield self.tags[element]
-            element = self.parents[element]
-
-    def sums(self) -> dict[str, list[int]]:
-        """Of each path: occurrences, and characters of text at or below it outside links and furniture; the empty path is the page."""
-        found: dict[str, list[int]] = {"": [1, 0]}
-        for path in self.paths[1:]:
-            found.setdefault(path, [0, 0])[0] += 1
-        own = [0] * len(self.tags)
-        for element, text, link in self.pieces:
-            if text and not link and not self.furniture[element]:
-                own[element] += len(text.strip())
-        for element in range(len(own) - 1, 0, -1):  # children follow their parents
-            found[self.paths[element]][1] += own[element]
-            own[self.parents[element]] += own[element]
-        found[""][1] = own[0]
+    def _join(self) -> None:
+        now, texts, plain, whole = -1, [], 0, 0
+        for element, text, link in (*self.pieces, (-1, None, False)):
+            if text is None or element != now:
+                if whole:
+                    self.runs.append((now, texts, plain, whole))
+                now, texts, plain, whole = element, [], 0, 0
+            if text is not None and not self.hidden[element]:
+                size = len(text.strip())
+                texts.append(text)
+                whole += size
+                plain += 0 if link else size
+
+    def tokens(self) -> list[tuple[int, int, int]]:
+        """Of each run: the numbers of its text token, of the same with digits folded (0 without digits, or without letters), and its element."""
+        found = []
+        for element, texts, _, _ in self.runs:
+            text = " ".join("".join(texts).split())
+            at = self.paths[element]
+            folded = _DIGITS.sub("0", text)
+            loose = number(f"{at}\1{folded}") if _DIGITS.search(text) and any(map(str.isalpha, folded)) else 0
+            found.append((number(f"{at}\0{text}"), loose, element))
         return found
 
-    def main(self, path: str | None) -> set[int]:
-        """The elements of the main slot: those at the path, else what this page's own tree says."""
-        chosen = [e for e in range(1, len(self.paths)) if self.paths[e] == path and not self.furniture[e]] if path else []
-        if not chosen:
-            mine = choose({p: (n, t) for p, (n, t) in self.sums().items()})
-            chosen = [e for e in range(1, len(self.paths)) if self.paths[e] == mine and not self.furniture[e]]
-        inside = set(chosen or [0])
-        for e in range(1, len(self.paths)):
-            if self.parents[e] in inside:
-                inside.add(e)
-        return inside
-
-    def text(self, path: str | None = None) -> str:
-        inside = self.main(path)
-        parts = []
-        for element, text, _ in self.pieces:
-            if element in inside and not self.furniture[element]:
-                parts.append(" " if text is None else html.unescape(text))
+    def counts(self) -> dict[tuple[int, int], int]:
+        """Occurrences of each token on the page: (0, opening tag at its place), (1, text), (2, text with digits folded)."""
+        paths = Counter(self.paths)
+        found = {(0, number(p)): n for p, n in paths.items()}
+        for exact, loose, _ in self.tokens():
+            found[1, exact] = found.get((1, exact), 0) + 1
+            if loose:
+                found[2, loose] = found.get((2, loose), 0) + 1
+        return found
+
+    def fixed(self, template: dict[int, int]) -> tuple[list[bool], list[bool]]:
+        """Of each run: whether it is text of the template, as it is and with digits folded: of a class that also has an element around it."""
+        if not template:
+            return [False] * len(self.runs), [False] * len(self.runs)
+        around = [frozenset()] * len(self.paths)
+        for e, path in enumerate(self.paths):
+            above = around[self.parents[e]] if e else frozenset()
+            mine = template.get(number(path))
+            around[e] = above if mine is None or mine in above else above | {mine}
+        exact, loose = [], []
+        for tight, wide, e in self.tokens():
+            exact.append(template.get(tight) in around[e])
+            loose.append(exact[-1] or bool(wide) and template.get(wide) in around[e])
+        return exact, loose
+
+    def weights(self, dropped: list[bool]) -> list[int]:
+        """Of each element: characters of text at or below it outside links, but for the dropped runs."""
+        found = [0] * len(self.tags)
+        for (element, _, plain, _), gone in zip(self.runs, dropped, strict=True):
+            if not gone:
+                found[element] += plain
+        for element in range(len(found) - 1, 0, -1):  # children follow their parents
+            found[self.parents[element]] += found[element]
+        return found
+
+    def marked(self, weights: list[int]) -> list[int]:
+        """The outermost article elements (else main elements) with text; those that a hint speaks against only if there are no others."""
+        for tag in MAIN_TAGS:
+            found = [e for e in range(1, len(self.tags)) if self.tags[e] == tag and weights[e]]
+            if found := [e for e in found if not self.hints[e]] or found:
+                return found
+        return []
+
+    def kept(self, template: dict[int, int]) -> list[bool]:
+        """Of each run, whether it is main text."""
+        exact, loose = self.fixed(template)
+        weights, total = self.weights(exact), sum(plain for _, _, plain, _ in self.runs)
+        if weights[0] * 2 < total:  # copies of a page: the template is not what holds most of its text
+            exact, loose = [False] * len(exact), [False] * len(loose)
+            weights = self.weights(exact)
+        total = weights[0]
+        marked = self.marked(weights)
+        main = marked or [max((e for e in range(len(self.tags)) if (e == 0 or self.tags[e] in BOXES) and weights[e] >= MAIN_SHARE * total), key=lambda e: (self.paths[e].count("/"), weights[e]))]
+        holds = set()  # the main slot and what is around it
+        for e in main:
+            while e >= 0:
+                holds.add(e)
+                e = self.parents[e]
+        inside = [False] * len(self.tags)
+        gone = [False] * len(self.tags)
+        for e in range(len(self.tags)):
+            above = self.parents[e]
+            inside[e] = e in main or e > 0 and inside[above]
+            least = (2 if not template else 3) if inside[e] else 1
+            most = weights[e] * 2 >= total and (not marked or self.tags[e] not in FURNITURE or self.tags[e] == "form")
+            furniture = self.hints[e] >= least and e not in holds and not most
+            gone[e] = e > 0 and gone[above] or furniture
+        alone = bool(marked) and not template and sum(plain for e, _, plain, _ in self.runs if inside[e]) * 2 >= total
+        keep = []
+        for (e, _, plain, _), tight, wide in zip(self.runs, exact, loose, strict=True):
+            if inside[e]:
+                keep.append(not gone[e] and not tight)
             else:
-                parts.append(" ")
-        return " ".join("".join(parts).split())
-
-
-def choose(sums: dict[str, tuple[int, int]]) -> str | None:
-    """The path of the main slot, from each template path's occurrences and characters."""
-    total = sums.get("", (0, 0))[1]
-    if not total:
-        return None
-    last = {p: p.rsplit("/", 1)[-1] for p in sums}
-    named = [p for p in sums if last[p].split(".")[0] in MAIN_TAGS and sums[p][1] * 2 >= total]
-    if named:  # the outermost article, or what lies in main if there is none
-        articles = [p for p in named if last[p].split(".")[0] == "article"]
-        return min(articles or named, key=lambda p: (p.count("/"), -sums[p][1], p))
-    marked = [p for p in sums if not MAIN_WORDS.isdisjoint(last[p].split(".")[1:]) and sums[p][1] >= MAIN_SHARE * total]
-    if marked:
-        return max(marked, key=lambda p: (p.count("/"), sums[p][1], p))
-    boxes = [p for p in sums if last[p].split(".")[0] in ("body", "div", "section", "td", "table", "html") and sums[p][1] >= MAIN_SHARE * total]
-    return max(boxes, key=lambda p: (p.count("/"), sums[p][1], p)) if boxes else None
+                keep.append(not gone[e] and not wide and not alone and (plain > 0 or not total))
+        return keep
+
+    def text(self, template: dict[int, int] | None = None) -> str:
+        keep = self.kept(template or {})
+        parts = ["".join(map(html.unescape, texts)) for (_, texts, _, _), good in zip(self.runs, keep, strict=True) if good]
+        return " ".join(" ".join(parts).split())
+
+
+def number(token: str) -> int:
+    return xxhash.xxh64_intdigest(token, 2) - (1 << 63)
 
 
 def host(url):
@@ -224,42 +286,34 @@ def host(url):
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, mark, chars, n): of each host, token, occurrence count on a page and run of pages, reduced per batch."""
+    """(host, kind, token, vector, pages): of each host, the tokens of a batch with what they add to their occurrence vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, str], list[int]] = {}
+            found: dict[tuple[str, int, int], list[int]] = {}
             for page, at, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for path, (n, chars) in Page(source or "").sums().items():
-                    entry = found.setdefault((at, path), [0, 0, 0, 0])
+                for (kind, token), n in Page(source or "").counts().items():
+                    entry = found.setdefault((at, kind, token), [0, 0])
                     entry[0] ^= xxhash.xxh64_intdigest(f"{page}:{n}", 1) - (1 << 63)
                     entry[1] += 1
-                    entry[2] += n
-                    entry[3] += chars
             if found:
-                hosts, paths = zip(*found, strict=True)
+                hosts, kinds, numbers = zip(*found, strict=True)
                 columns = zip(*found.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths), *(pa.array(c, pa.int64()) for c in columns)], names=["host", "path", "vector", "pages", "n", "chars"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(kinds, pa.int32()), pa.array(numbers, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["host", "kind", "token", "vector", "pages"])
 
-    return pages.mapInArrow(run, "host string, path string, vector bigint, pages bigint, n bigint, chars bigint")
+    return pages.mapInArrow(run, "host string, kind int, token bigint, vector bigint, pages bigint")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, main): the path of each host's main slot, from the valid classes of its tokens."""
-    totals = tokens(pages).groupBy("host", "path").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    """(host, members): of each host, the tokens (token, vector) of its valid classes that hold both elements and text."""
+    totals = tokens(pages).groupBy("host", "kind", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages)
     totals = materialise(totals, "tokens")
     sizes = totals.groupBy("host").agg(F.max("pages").alias("of"))
-    # Tokens of one occurrence vector are one class; a class is valid by its support. Its tokens keep their places.
-    classes = totals.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("path", "n", "chars")).alias("members"))
-    valid = classes.join(sizes, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= F.col("of") * least_share))
-    nested = valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mains = [choose({m["path"]: (m["n"], m["chars"]) for m in members}) for members in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.string())], names=["host", "main"])
-
-    return nested.mapInArrow(select, "host string, main string")
+    # Tokens of one occurrence vector are one class; a class is valid by its support.
+    classes = totals.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "vector")).alias("members"), F.min("kind").alias("first"), F.max("kind").alias("last"))
+    share = max(least_share, TEXT_SHARE)
+    valid = classes.join(sizes, "host").where((F.col("pages") >= least_pages) & (F.col("pages") >= F.col("of") * share) & (F.col("first") == 0) & (F.col("last") > 0))
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("members"))
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -270,8 +324,9 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", sou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(source).text(main) if source else "" for source, main in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            members = ({m["token"]: m["vector"] for m in found or ()} for found in batch.column(3).to_pylist())
+            texts = [Page(source).text(template) if source else "" for source, template in zip(batch.column(2).to_pylist(), members, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "main")
+    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "members")
     return joined.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -179,3 +179,19 @@ def test_extraction(spark):
     assert (got[50], got[51], got[52], got[53]) == ("", "", "a b", "other")
     assert all(r["n_chars"] == len(r["text"]) for r in extract.main_texts(frame).collect())
     assert extract.main_texts(frame.limit(0)).count() == 0
+
+
+def extracted(spark, pages: list[str], url: str = "http://t.example/") -> list[str]:
+    frame = spark.createDataFrame([(i, f"{url}{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r["text"] for r in extract.main_texts(frame).orderBy("page_id").collect()]
+
+
+def test_extraction_keeps_what_names_alone_speak_against(spark):
+    texts = ["apples and pears were sold", "nobody came to the harbour", "rain fell on seven hills", "the old mill burned down"]
+    inner = '<article><h2 class="section-header">On {0}</h2><p class="legal">{0} in law</p><section id="discussion"><p>{0} again</p></section></article>'
+    wanted = [f"On {t} {t} in law {t} again" for t in texts]
+    for around in ('<div class="layout has-sidebar">{}</div>', "<form action=/>{}</form>"):
+        pages = [f"<html><body>{around.format(inner.replace('{0}', t))}<div class=sidebar>x {t[:4]}</div></body></html>" for t in texts]
+        assert extracted(spark, pages) == wanted
+        assert [extract.Page(p).text() for p in pages] == wanted
+    assert extract.Page("<body><div class=has-sidebar><p>all of the text</p></div></body>").text() == "all of the text"
