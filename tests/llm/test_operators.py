@@ -195,3 +195,14 @@ def test_extraction_keeps_what_names_alone_speak_against(spark):
         assert extracted(spark, pages) == wanted
         assert [extract.Page(p).text() for p in pages] == wanted
     assert extract.Page("<body><div class=has-sidebar><p>all of the text</p></div></body>").text() == "all of the text"
+
+
+def test_extraction_takes_out_text_of_the_template(spark):
+    rng = random.Random(4)
+    body = "<html><body><article><p>Read us every day.</p><p>{0}</p><div class=x><p>Subscribe now</p></div></article></body></html>"
+    texts = [sentence(rng, 30) for _ in range(6)]
+    pages = [body.replace("{0}", t) for t in texts]
+    assert extracted(spark, pages) == texts
+    assert extracted(spark, pages[:2]) == [f"Read us every day. {t} Subscribe now" for t in texts[:2]], "two pages have no template"
+    assert extracted(spark, [pages[0]] * 4) == [f"Read us every day. {texts[0]} Subscribe now"] * 4, "copies of a page are not a template"
+    assert extracted(spark, [*pages[:5], *[p.replace("<p>Read", "<p>Once</p><p>Read") for p in pages[5:]]]) == [*texts[:5], f"Once {texts[5]}"], "other texts stay"
