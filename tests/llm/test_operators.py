@@ -206,3 +206,15 @@ def test_extraction_takes_out_text_of_the_template(spark):
     assert extracted(spark, pages[:2]) == [f"Read us every day. {t} Subscribe now" for t in texts[:2]], "two pages have no template"
     assert extracted(spark, [pages[0]] * 4) == [f"Read us every day. {texts[0]} Subscribe now"] * 4, "copies of a page are not a template"
     assert extracted(spark, [*pages[:5], *[p.replace("<p>Read", "<p>Once</p><p>Read") for p in pages[5:]]]) == [*texts[:5], f"Once {texts[5]}"], "other texts stay"
+
+
+def test_extraction_keeps_all_slots_with_text_of_their_own(spark):
+    rng = random.Random(6)
+    texts = [(sentence(rng, 9), sentence(rng, 21)) for _ in range(5)]
+    wanted = [f"{a} {b}" for a, b in texts]
+    for body in ("<div class=lead>{0}</div><div class=copy>{1}</div>", "<div class=content>{1}</div>", "<article class=one>{0}</article><article class=two>{1}</article>", "<div>{0}</div><main>{1}</main>"):
+        pages = [f"<html><body><ul><li>Home</li></ul>{body.replace('{0}', a).replace('{1}', b)}</body></html>" for a, b in texts]
+        assert extracted(spark, pages) == (wanted if "{0}" in body else [b for _, b in texts])
+    lone = f"<body><div class=lead>{texts[0][0]}</div><div class=copy>{texts[0][1]}</div></body>"
+    assert extract.Page(lone).text() == wanted[0]
+    assert extract.Page(f"<article class=a>{texts[0][0]}</article><article class=b>{texts[0][1]}</article>").text() == wanted[0]
