@@ -32,13 +32,30 @@ SELECT concat('cust_', o_custkey, '.xlsx') AS doc_id, CAST(row_number() OVER (PA
 """
 )
 def chunk_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as spreadsheet rows: each is one chunk and gets its date tokens. Order numbers have a prefix that keeps them from being dates."""
-    orders = table(spark, sf_dir, "orders").where(F.year("o_orderdate") >= 2000)
+    """Orders from 2000 on as spreadsheet rows: each is one chunk and gets its date tokens. chunk_table_rows_whole takes all orders."""
+    return order_chunks(table(spark, sf_dir, "orders").where(F.year("o_orderdate") >= 2000))
+
+
+def order_chunks(orders: DataFrame) -> DataFrame:
     text = F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd"))
     docs = orders.select(F.concat(F.lit("cust_"), F.col("o_custkey").cast("string"), F.lit(".xlsx")).alias("doc_id"), F.col("o_orderkey").alias("doc_pos"), text.alias("text"), F.lit("xlsx").alias("source_type"), F.lit("s").alias("sheet"), F.col("o_orderkey").cast("int").alias("row"))
     return chunking.chunk(docs).select("doc_id", "chunk_id", "text")
 
 
+@query(
+    """
+WITH r AS (SELECT o_orderkey AS o, o_custkey, concat(o_orderkey, chr(9), o_orderpriority, chr(9), strftime(o_orderdate, '%Y-%m-%d')) AS t, CASE WHEN year(o_orderdate) >= 2000 THEN o_orderdate END AS d,
+    CASE WHEN o_orderkey BETWEEN 30000 AND 60000 THEN DATE '1899-12-30' + CAST(o_orderkey AS INTEGER) END AS s, CASE WHEN o_orderkey BETWEEN 200001 AND 209912 AND o_orderkey % 100 BETWEEN 1 AND 12 THEN printf('%d-%02d', o_orderkey // 100, o_orderkey % 100) END AS m FROM orders),
+k AS (SELECT *, list_sort(list_distinct([strftime(d, '%Y-%m'), strftime(d, '%Y-%m-%d'), strftime(s, '%Y-%m'), strftime(s, '%Y-%m-%d'), m])) AS dates FROM r),
+z AS (SELECT *, CASE WHEN len(dates) > 0 THEN concat(t, ' ', array_to_string(list_transform(dates, lambda x: concat('[DATE=', x, ']')), ' ')) ELSE t END AS text FROM k)
+SELECT concat('cust_', o_custkey, '.xlsx') AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o) - 1 AS INTEGER) AS chunk_id, text FROM z
+"""
+)
+def chunk_table_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as spreadsheet rows. Dates before 2000 get no token; order numbers that read as serial days or months get theirs."""
+    return order_chunks(table(spark, sf_dir, "orders"))
+
+
 @query(
     """
 WITH c AS (SELECT s_nationkey, s_suppkey, concat(s_suppkey, chr(9), s_name) AS line, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS first, lag(s_nationkey) OVER (ORDER BY s_nationkey, s_suppkey) AS before FROM supplier)

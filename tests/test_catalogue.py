@@ -20,3 +20,9 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_orders_are_chunked(spark, duck, sf_dir):
+    got = [r["text"] for r in QUERIES["chunk_table_rows_whole"](spark, sf_dir).collect()]
+    assert len(got) == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0]
+    assert {"[DATE=" in t for t in got} == {True, False}
