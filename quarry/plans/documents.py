@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chunking, inspect, store
 from quarry.plans.registry import query, table
-from quarry.plans.texts import _SECTIONS_CTE, lined, source_path
+from quarry.plans.texts import _SECTIONS_CTE, lined, source_path, whole
 
 
-@query(
-    _SECTIONS_CTE
-    + """
+_CHUNK_IDS = """
 , w AS (SELECT doc_id, nth, unnest(range(0, CAST(ceil(length(section) / 50.0) AS BIGINT))) AS i, section FROM sections WHERE section <> ''),
 p AS (SELECT doc_id, nth, i, regexp_replace(substring(section, CAST(i * 50 + 1 AS BIGINT), 60), '^\\s+|\\s+$', '', 'g') AS text FROM w)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth, i) - 1 AS INTEGER) AS chunk_id, text FROM p WHERE text <> ''
 """
-)
+
+
+@query(_SECTIONS_CTE + _CHUNK_IDS)
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lined_chunks(lined(spark, sf_dir))
+
+
+@query(whole(_SECTIONS_CTE, 200) + _CHUNK_IDS)
+def chunk_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lined_chunks(lined(spark, sf_dir, None))
+
+
+def lined_chunks(made: DataFrame) -> DataFrame:
     none = F.lit(None)
-    docs = lined(spark, sf_dir).select("doc_id", F.lit(0).alias("doc_pos"), F.col("t").alias("text"), F.lit("txt").alias("source_type"), none.cast("string").alias("sheet"), none.cast("int").alias("row"))
+    docs = made.select("doc_id", F.lit(0).alias("doc_pos"), F.col("t").alias("text"), F.lit("txt").alias("source_type"), none.cast("string").alias("sheet"), none.cast("int").alias("row"))
     return chunking.chunk(docs, 60, 10).select("doc_id", "chunk_id", "text")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import answer, bm25, dense, facets, fusion, retrieve
 from quarry.plans.registry import query, table
-from quarry.plans.texts import source_path, tokens_sql
+from quarry.plans.texts import source_path, start, tokens_sql, whole
 from quarry.settings import Settings
 
 
@@ -203,12 +203,12 @@ def multi_kb_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.across(found, KBS, 10).select("kb_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, most: int | None = 150) -> DataFrame:
     """Ranked hits: a query is a language, rank goes by document number, pages by threes, several documents share a file."""
     docs = table(spark, sf_dir, "documents")
     order = Window.partitionBy("lang").orderBy("doc_id")
     file = F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("/kb/"), F.col("source"), F.lit("/doc_"), (F.col("doc_id") % 40).cast("string"), F.lit(".txt")))
-    return docs.select(F.col("lang").alias("query_id"), F.row_number().over(order).alias("rank"), file.alias("source"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 2).cast("int")).alias("page"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 150).alias("text"))
+    return docs.select(F.col("lang").alias("query_id"), F.row_number().over(order).alias("rank"), file.alias("source"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 2).cast("int")).alias("page"), F.col("doc_id").cast("string").alias("doc_id"), start(most).alias("text"))
 
 
 HITS_SQL = """
@@ -228,6 +228,17 @@ def trim_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.trimmed_context(hits(spark, sf_dir), 1200)
 
 
+@query(f"WITH {whole(HITS_SQL, 150)} SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context FROM b GROUP BY query_id")
+def format_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.context(hits(spark, sf_dir, None)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context"))
+
+
+@query(f"WITH {whole(HITS_SQL, 150)}, u AS (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b) SELECT query_id, coalesce(regexp_replace(string_agg(block || chr(10), chr(10) ORDER BY rank) FILTER (WHERE used <= 1200), '^\\s+|\\s+$', '', 'g'), '') AS context FROM u GROUP BY query_id")
+def trim_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of whole texts; a query whose first block alone is too long has an empty context."""
+    return answer.trimmed_context(hits(spark, sf_dir, None), 1200)
+
+
 @query(
     f"""
 WITH {HITS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, page ORDER BY rank) AS nth FROM h),
