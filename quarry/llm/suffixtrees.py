@@ -1,7 +1,7 @@
 """Substring dedup on words by prefix-partitioned suffix trees.
 
-Suffixes of word sequences are divided into groups that fit in memory by prefixes of variable length: the eight words at their
-anchor to begin with, up to all fifty of a window where a group is crowded (see windows.py). Each group's suffix tree is built on
+Suffixes of word sequences are divided into groups that fit in memory by prefixes: the eight words at their
+anchor. A crowded group has no tree: digests of its windows are compared (see windows.py). Each other group's suffix tree is built on
 its own, as the sorted suffixes with the lengths of their common prefixes, cut at the window's width. The tree's internal nodes at that depth
 are the maximal repeats: the suffixes below one begin with the same window. A word goes if such a window covers it that also starts
 in a document with a smaller doc_id.

@@ -10,8 +10,8 @@ loss, and dealt out so that equal windows meet:
    Exact copies of a text are found by its digest first: every window of a copy starts in an earlier document.
 3. Fragments. The longest runs of windows with one recurring anchor, with their content. Equal fragments are merged (the earliest place
    of each is kept), reduced on the map side, so a passage that a third of all documents hold is one fragment.
-4. Groups. The fragments of an anchor form a group: their suffixes share the anchor as a prefix. A group of more than `crowd` fragments is
-   divided by longer prefixes, up to the whole window, so no group outgrows a task. Groups are sorted, by the operator's own method, in
+4. Groups. The fragments of an anchor form a group: their suffixes share the anchor as a prefix. A group of more than `crowd` fragments
+   leaves the operator's method: its windows are resolved by digests of the whole window, so no group outgrows a task. The other groups are sorted, by the operator's own method, in
    chunks of bounded size; classes of equal windows come out, each with its earliest place.
 5. Removal. A place of a fragment loses the windows that have an earlier place; spans are merged for each document.
 
@@ -36,7 +36,7 @@ from quarry.llm.common import bound_batches, buffer, lists, materialise, record,
 
 #: Units that one vectorised step handles, and bits of a unit's position in it.
 STEP, POSITION_BITS = 1 << 18, 21
-#: Fragments of one anchor beyond which longer prefixes divide the group; bytes of fragments that one sort handles.
+#: Fragments of one anchor beyond which digests of whole windows resolve the group; bytes of fragments that one sort handles.
 CROWD = 512
 CHUNK_BYTES = 1 << 19
 
