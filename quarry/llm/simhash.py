@@ -4,27 +4,33 @@ A fingerprint has 64 bits; bit i is set if more than half of the text's shingle
 fingerprints differ in at most `radius` bits. Rows with equal fingerprints are one class, so only different fingerprints are
 compared, and a class of any size is one row.
 
-Comparison is tiled: a tile is a set of fingerprints in the order of their population count, two tiles are compared by numpy
-exclusive-or and bit counts, and a pair of sub-tiles is skipped where the population counts of one lie more than `radius` from
-those of the other (bits that differ change the count by at most their number). Tiles are dealt by radius + 1 blocks of bits: two
-fingerprints within the radius agree in at least one block, so tiles are drawn up within the fingerprints that share a block,
-and the work does not grow with the square of the corpus. A block value that more than `tile` fingerprints share is cut into
-several tiles by a hash of the fingerprint, and every pair of its tiles is a separate unit of work.
+Comparison is tiled: a tile is a set of fingerprints of neighbouring population counts, two tiles are compared by numpy
+exclusive-or and bit counts, and a pair of tiles is skipped where the population counts of one lie more than `radius` from
+those of the other (bits that differ change the count by at most their number). Inside a pair of tiles the same holds for sub-tiles.
 
-A unit emits a spanning forest of the links it finds, which joins what the links join; links themselves are counted, not listed.
+Tiles are dealt by blocks of bits. Of `blocks` blocks, two fingerprints within the radius agree in at least blocks - radius, so each
+choice of that many blocks is a key, and tiles are drawn up within the fingerprints that share a key's value. The number of blocks follows from the number
+of fingerprints: more blocks give longer keys, so that a value has about a tile of fingerprints at any size of the corpus, and the work
+does not grow with its square. A value that more fingerprints share (a cluster, or plain chance) is cut into bands of population counts,
+a band that is still too large by a hash, and every pair of tiles whose bands are near enough is a unit of work.
+
+A unit joins what it links while it compares, and emits a spanning forest of its links: its memory is bounded by its fingerprints, and not
+by their pairs.
 
 Defined results: null and wordless texts have fingerprint zero and link like any other; repeated rows share a class; a text
-with fewer words than a shingle is one shingle; extra columns are ignored; an empty table gives an empty result.
+with fewer words than a shingle is one shingle; a null doc_id is a row like another, and names a component only if all of its rows have none;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bound_batches, changes, materialise, runs, utf8
@@ -69,54 +75,86 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
     return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), utf8(docs, text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of radius + 1 blocks that together hold all bits."""
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+def block_count(fingerprints: int, radius: int, tile: int) -> int:
+    """The fewest blocks whose keys are long enough for about a tile of fingerprints to share a value."""
+    blocks = radius + 1
+    while blocks < 2 * radius and fingerprints > tile << (BITS * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
+def block_keys(radius: int, blocks: int) -> list[int]:
+    """The bits of every key: all choices of blocks - radius out of the blocks."""
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(masks, blocks - radius)]
+
+
+def _bands(keyed: DataFrame, tile: int) -> DataFrame:
+    """(key, value, pop, band, low, high, subs) of the values with more than a tile of fingerprints: the band of each population count.
+
+    A value has at most 65 population counts, so all of this is small; the counts are aggregated on the map side.
+    """
+    counts = keyed.groupBy("key", "value", "pop").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("key", "value")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("pop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    large = counts.withColumn("of", F.sum("n").over(whole)).withColumn("band", F.floor(before / tile).cast("int")).where(F.col("of") > tile)
+    band = Window.partitionBy("key", "value", "band")
+    subs = F.ceil(F.sum("n").over(band) / tile).cast("int")
+    return large.select("key", "value", "pop", "band", F.min("pop").over(band).alias("low"), F.max("pop").over(band).alias("high"), subs.alias("subs"))
+
+
+def _units(fps: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(fp, key, value, left, right, second): every fingerprint in each unit of work that it takes part in."""
+    blocks = block_count(fps.count(), radius, tile)
+    masks = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m) for m in block_keys(radius, blocks)])
+    keyed = fps.select("fp", F.posexplode(masks).alias("key", "mask")).select("fp", "key", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), F.bit_count("fp").alias("pop"))
+    bands = materialise(_bands(keyed, tile), "bands")
+    tiles = bands.select("key", "value", "band", "low", "high", "subs").distinct()
+    near = (F.col("o.low") - F.col("t.high") <= radius) & (F.col("t.low") - F.col("o.high") <= radius)
+    same = [F.col(f"t.{c}") == F.col(f"o.{c}") for c in ("key", "value")]
+    pairs = tiles.alias("t").join(tiles.alias("o"), [*same, near]).select("t.key", "t.value", "t.band", F.col("o.band").alias("other"), F.col("o.subs").alias("parts"))
+    pairs = materialise(pairs.select("key", "value", "band", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "tile-pairs")
+
+    placed = keyed.join(bands.select("key", "value", "pop", "band", "subs"), ["key", "value", "pop"], "left")
+    alone = placed.where(F.col("band").isNull()).select("fp", "key", "value", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(False).alias("second"))
+    own = F.shiftleft(F.col("band").cast("bigint"), 32) + F.pmod(F.xxhash64("fp", F.lit(7)), F.col("subs"))
+    met = placed.where(F.col("band").isNotNull()).withColumn("own", own).join(pairs, ["key", "value", "band"])
+    other = F.shiftleft(F.col("other").cast("bigint"), 32) + F.col("part")
+    crowded = met.select("fp", "key", "value", F.least("own", other).alias("left"), F.greatest("own", other).alias("right"), (F.col("own") > other).alias("second"))
+    return alone.unionByName(crowded)
 
 
 def forest(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (a, b) between different fingerprints within the radius that connect whatever all such links connect."""
-    spark = fps.sparkSession
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask)) for shift, mask in _blocks(radius)])).alias("block", "value"))
-    large = materialise(keyed.groupBy("block", "value").count().where(F.col("count") > tile).select("block", "value", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "large")
-    dealt = keyed.join(large, ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int"))
-    # A unit of work is a pair of tiles (low, high); a fingerprint takes part in as many units as its block value has tiles.
-    units = dealt.select("fp", "block", "value", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    units = units.select("fp", "block", "value", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"))
-    keys = ["block", "value", "low", "high"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = units.repartition(parts, *keys).sortWithinPartitions(*keys)
+    keys = ["key", "value", "left", "right"]
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = _units(fps, radius, tile).repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in runs(batches, keys, 1 << 16):
             found = whole.column("fp").to_numpy().view(np.uint64)
             second = whole.column("second").to_numpy(zero_copy_only=False).astype(bool)
-            same = whole.column("low").to_numpy() == whole.column("high").to_numpy()
+            same = whole.column("left").to_numpy() == whole.column("right").to_numpy()
             cuts = [0, *changes(whole, keys).tolist(), whole.num_rows]
             for start, stop in zip(cuts, cuts[1:], strict=False):
                 if stop - start < 2:
                     continue
                 here = found[start:stop]
-                if same[start]:
-                    a, b = near(here, here, radius)
-                else:
-                    a, b = near(here[~second[start:stop]], here[second[start:stop]], radius)
+                left, right = (here, here) if same[start] else (here[~second[start:stop]], here[second[start:stop]])
+                a, b = linked(left, right, radius)
                 if len(a):
-                    a, b = spanning(a, b)
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return ordered.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near(left: np.ndarray, right: np.ndarray, radius: int, size: int = SUBTILE) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius, from sub-tiles whose population counts are near enough; within one set, each pair once."""
+def near(left: np.ndarray, right: np.ndarray, radius: int, size: int = SUBTILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius, by pairs of sub-tiles whose population counts are near enough; within one set, each pair once."""
     own = left is right
     left = left[np.argsort(np.bitwise_count(left), kind="stable")]
     right = left if own else right[np.argsort(np.bitwise_count(right), kind="stable")]
     counts_left, counts_right = np.bitwise_count(left).astype(np.int16), np.bitwise_count(right).astype(np.int16)
-    a, b = [], []
     for i in range(0, len(left), size):
         rows = left[i : i + size]
         low, high = counts_left[i], counts_left[min(i + size, len(left)) - 1]
@@ -129,10 +167,20 @@ def near(left: np.ndarray, right: np.ndarray, radius: int, size: int = SUBTILE)
                 keep = r + i < c + j
                 r, c = r[keep], c[keep]
             if len(r):
-                a.append(rows[r])
-                b.append(columns[c])
+                yield rows[r], columns[c]
+
+
+def linked(left: np.ndarray, right: np.ndarray, radius: int, held: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within the radius; pairs are joined as they are found, so few are held at a time."""
     empty = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
+    a, b, waiting, size = empty, empty, [], 0
+    for pair in near(left, right, radius):
+        waiting.append(pair)
+        size += len(pair[0])
+        if size >= held:
+            a, b = spanning(np.concatenate([a, *(p[0] for p in waiting)]), np.concatenate([b, *(p[1] for p in waiting)]))
+            waiting, size = [], 0
+    return spanning(np.concatenate([a, *(p[0] for p in waiting)]), np.concatenate([b, *(p[1] for p in waiting)])) if waiting else (a, b)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -61,11 +61,30 @@ def test_near_finds_all_pairs_and_spanning_keeps_components():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     found = np.unique(np.concatenate([base, base ^ np.uint64(0b111), base ^ np.uint64(1 << 40)]))
-    a, b = simhash.near(found, found, 4, size=16)
+    a, b = map(np.concatenate, zip(*simhash.near(found, found, 4, size=16), strict=True))
     wanted = {(int(x), int(y)) for x in found for y in found if x < y and (int(x) ^ int(y)).bit_count() <= 4}
     assert {(min(int(x), int(y)), max(int(x), int(y))) for x, y in zip(a, b, strict=True)} == wanted
     roots, others = simhash.spanning(a, b)
     assert len(roots) == len(set(others.tolist())) == 80
+    forest = simhash.linked(found, found, 4, held=10)
+    assert len(forest[0]) == 80 and {frozenset(p) for p in zip(*forest, strict=True)} <= {frozenset(p) for p in zip(*simhash.spanning(a, b), strict=True)}
+
+
+def test_clusters_do_not_fill_memory():
+    bits = [np.uint64(1 << i) for i in range(64)]
+    cluster = np.unique(np.array([x | y for x in bits for y in bits], np.uint64))  # all within four bits of each other: 2.2 million pairs
+    a, b = simhash.linked(cluster, cluster, 4)
+    assert len(a) == len(cluster) - 1 and max(len(x) for x, _ in simhash.near(cluster, cluster, 4)) <= simhash.SUBTILE**2
+
+
+def test_blocks_lose_no_pair():
+    rng = np.random.default_rng(2)
+    assert [simhash.block_count(n, 4, 4096) for n in (10, 10**7, 10**8, 10**10, 10**12)] == [5, 5, 6, 7, 8]
+    for blocks in (5, 6, 7, 8):
+        masks = simhash.block_keys(4, blocks)
+        for _ in range(200):
+            change = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
+            assert any(not change & m for m in masks)
 
 
 def test_benchmark_index():
