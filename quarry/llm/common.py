@@ -47,11 +47,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and its true size is known to the planner."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _keep(spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def gathered(spark: SparkSession, parts: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """Written parts, one after the other, as one table: each is appended and released, so the plan does not grow with their number."""
+    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _keep(spark, path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+        release(part)
+    return spark.read.schema(spark.createDataFrame([], schema).schema).parquet(path)
+
+
+def _keep(spark: SparkSession, path: str) -> None:
+    """Remember a scratch table, to be deleted at exit at the latest."""
     if not _written:
         atexit.register(_forget)
     _written.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:

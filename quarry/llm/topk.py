@@ -3,12 +3,13 @@
 Vectors become integers floor(scale * x). The approximation file holds one byte per component: the number of the cell, out of
 `cells` of equal width between the component's least and largest value, that the integer lies in. A query scans the
 cells only. A cell's edges bound the product from both sides; the k-th largest of the lower bounds is a threshold that every result
-reaches, so rows whose upper bound is below it are out. Exact vectors of the others are read in the order of their bounds, best
-first, until the k-th exact score is above the next bound.
+reaches, so rows whose upper bound is below it are out. Exact vectors are read in the order of the upper bounds, in two steps: first those of the `first * k` best
+bounds; their k-th exact score is a higher threshold, and only rows whose bound reaches it are read in the second step. What is
+left cannot be a result. Both steps keep the k best of each query in every partition before they shuffle, and never gather a query's candidates in one place.
 
-Queries go in blocks of `block` rows, so what is broadcast does not grow with the data. Equal vectors score alike, and ties go to
-the smaller id: of each vector only the k + 1 smallest ids can be results (one may be the query's own), which a
-group limit keeps on the map side, so a vector that a third of all rows share costs no more than another.
+Queries go in blocks of `block` rows. A block's results are written before the next one starts, so neither what is broadcast nor the plan grows
+with the data. Equal vectors score alike, and ties go to the smaller id: of each vector only the k + 1 smallest ids can be results (one may be
+the query's own), which a group limit keeps on the map side, so a vector that a third of all rows share costs no more than another.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as query or candidate; rows that share an id
 are one row (its smallest vector); only vectors of the query's length are candidates; extra columns are ignored; an empty
@@ -24,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, materialise, record
+from quarry.llm.common import bound_batches, gathered, materialise, record, release
 
 SCALE = 1024
 CELLS = 64
 BLOCK = 1024
 K = 10
+FIRST = 4
 
 _BOUNDS = pa.schema([("query_id", pa.int64()), ("bounds", pa.list_(pa.float64()))])
 _CANDIDATES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("bound", pa.float64())])
-_RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_SCORED = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_RANKED_DDL = "query_id bigint, rank int, vec_id bigint, score bigint"
 
 
 def integers(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -109,7 +112,8 @@ class Block:
 
     def __init__(self, rows: list[tuple[int, bytes]], size: int, marks: np.ndarray | None):
         self.ids = np.array([r[0] for r in rows], np.int64)
-        q = _matrix([r[1] for r in rows], size).astype(np.float64)
+        self.exact = _matrix([r[1] for r in rows], size)
+        q = self.exact.astype(np.float64)
         self.size, self.up, self.down = size, np.maximum(q, 0), np.minimum(q, 0)
         self.marks = marks
         self.threshold = np.full(len(rows), -np.inf)
@@ -152,11 +156,12 @@ def _thresholds(approx: DataFrame, block: Block, k: int) -> np.ndarray:
     found = approx.mapInArrow(run, "query_id bigint, bounds array<double>")
     kth = found.groupBy("query_id").agg(F.sort_array(F.flatten(F.collect_list("bounds")), asc=False)[k - 1].alias("kth"))
     by = {r["query_id"]: r["kth"] for r in kth.collect()}
+    shared.destroy()
     return np.array([by.get(int(i), -np.inf) for i in block.ids])
 
 
 def _candidates(approx: DataFrame, block: Block) -> DataFrame:
-    """(query_id, vec_id, bound) where the upper bound reaches the query's threshold."""
+    """(query_id, vec_id, bound) where the upper bound reaches the query's threshold, from the cells alone."""
     shared = approx.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,28 +176,70 @@ def _candidates(approx: DataFrame, block: Block) -> DataFrame:
     return approx.mapInArrow(run, "query_id bigint, vec_id bigint, bound double")
 
 
-def top_k(df: DataFrame, k: int = K, every: int = 100, block: int = BLOCK, cells: int = CELLS, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
+def _scored(candidates: DataFrame, exact: DataFrame, block: Block, k: int) -> DataFrame:
+    """(query_id, vec_id, score): exact scores of the candidates, of each query and partition the k best."""
+    shared = exact.sparkSession.sparkContext.broadcast((block.ids, block.exact))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        by = np.argsort(ids)
+        best = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            if batch.num_rows:
+                q = by[np.searchsorted(ids, batch.column(0).to_numpy(), sorter=by)]
+                vectors = _matrix(batch.column(2).to_pylist(), queries.shape[1])
+                best = _best([np.concatenate(x) for x in zip(best, (ids[q], batch.column(1).to_numpy(), np.einsum("ij,ij->i", queries[q], vectors)), strict=True)], k)
+        if len(best[0]):
+            yield record(_SCORED, best)
+
+    read = candidates.select("query_id", "vec_id").join(exact.select("vec_id", "v"), "vec_id").select("query_id", "vec_id", "v")
+    return read.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+
+
+def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query, id, score) the k best rows of each query, ties by id."""
+    query, at, score = rows
+    order = np.lexsort((at, -score, query))
+    fresh = np.flatnonzero(np.diff(query[order], prepend=query[order[0]] - 1))
+    place = np.arange(len(order)) - np.repeat(fresh, np.diff(np.append(fresh, len(order))))
+    keep = order[place < k]
+    return [query[keep], at[keep], score[keep]]
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _block_results(approx: DataFrame, exact: DataFrame, block: Block, k: int, first: int) -> DataFrame:
+    """The results of one block of queries."""
+    block.threshold = _thresholds(approx, block, k)
+    found = materialise(_candidates(approx, block), "candidates")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id")
+    early = found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= first * k).select("query_id", "vec_id")
+    started = materialise(_ranked(_scored(early, exact, block, k), k), "started")
+    reached = started.where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+    # Bounds of doubles are widened already; a bound that equals the k-th score may still win by its id.
+    later = found.join(reached, "query_id", "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached"))).select("query_id", "vec_id")
+    rest = later.join(started.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+    done = materialise(_ranked(started.drop("rank").unionByName(_scored(rest, exact, block, k)), k), "ranked")
+    release(found)
+    release(started)
+    return done
+
+
+def top_k(df: DataFrame, k: int = K, every: int = 100, block: int = BLOCK, cells: int = CELLS, first: int = FIRST, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows for each row whose id is divisible by `every`."""
     spark: SparkSession = df.sparkSession
     whole = materialise(integers(df, vec_id, vector, scale), "vectors")
     # Only the k + 1 smallest ids of equal vectors can be results.
-    first = Window.partitionBy("v").orderBy("vec_id")
-    exact = materialise(whole.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth"), "exact")
+    same = Window.partitionBy("v").orderBy("vec_id")
+    exact = materialise(whole.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth"), "exact")
     marks = edges(whole, cells)
     approx = materialise(approximate(exact, marks), "approximation")
     queries = whole.where(F.pmod("vec_id", F.lit(every)) == 0).orderBy("size", "vec_id")
-
-    found = None
-    for rows, size in _query_blocks(queries, block):
-        one = Block(rows, size, marks.get(size))
-        one.threshold = _thresholds(approx, one, k)
-        part = _candidates(approx, one)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    wanted = whole.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    read = found.join(exact.select("vec_id", "v"), "vec_id").join(wanted, "query_id")
-    return read.groupBy("query_id").applyInArrow(_refined(k), "query_id bigint, rank int, vec_id bigint, score bigint")
+    results = (_block_results(approx, exact, Block(rows, size, marks.get(size)), k, first) for rows, size in _query_blocks(queries, block))
+    return gathered(spark, results, _RANKED_DDL, "top")
 
 
 def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list[tuple[int, bytes]], int]]:
@@ -206,24 +253,3 @@ def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list[tuple[i
         size = length
     if held:
         yield held, size
-
-
-def _refined(k: int):
-    def run(rows: pa.Table) -> pa.Table:
-        """Exact scores in the order of the bounds, in steps, until the k-th is above the next bound."""
-        bound = rows.column("bound").to_numpy()
-        order = np.lexsort((rows.column("vec_id").to_numpy(), -bound))
-        ids, vectors = rows.column("vec_id").to_numpy()[order], rows.column("v").to_pylist()
-        q = np.frombuffer(rows.column("q")[0].as_py(), "<i8")
-        bound = bound[order]
-        best: list[tuple[int, int]] = []
-        step = max(64, 4 * k)
-        for at in range(0, len(order), step):
-            if len(best) == k and -best[-1][0] > bound[at]:
-                break
-            part = _matrix([vectors[i] for i in order[at : at + step]], len(q))
-            best = sorted([*best, *zip((-(part @ q)).tolist(), ids[at : at + step].tolist(), strict=True)])[:k]
-        query = rows.column("query_id")[0].as_py()
-        return pa.Table.from_batches([record(_RANKED, ([query] * len(best), list(range(1, len(best) + 1)), [i for _, i in best], [-s for s, _ in best]))])
-
-    return run
