@@ -43,19 +43,31 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='quarry-')}")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, deleted at exit at the latest."""
+    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_forget)
+    _written.append((spark, path))
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and its true size is known to the planner."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _keep(spark, path)
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def gathered(spark: SparkSession, parts: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
     """Written parts, one after the other, as one table: each is appended and released, so the plan does not grow with their number."""
-    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _keep(spark, path)
+    path = scratch(spark, name)
     spark.createDataFrame([], schema).write.parquet(path)
     for part in parts:
         part.write.mode("append").option("compression", "zstd").parquet(path)
@@ -63,13 +75,6 @@ def gathered(spark: SparkSession, parts: Iterable[DataFrame], schema: str, name:
     return spark.read.schema(spark.createDataFrame([], schema).schema).parquet(path)
 
 
-def _keep(spark: SparkSession, path: str) -> None:
-    """Remember a scratch table, to be deleted at exit at the latest."""
-    if not _written:
-        atexit.register(_forget)
-    _written.append((spark, path))
-
-
 def release(df: DataFrame) -> None:
     """Delete the scratch table that df was read from; only for tables that nothing reads any more."""
     files = df.inputFiles()

@@ -59,17 +59,32 @@ def test_secrets(frame, empty, corpus):
     assert rows(secrets.digest(secrets.findings_by_path(empty))) == []
 
 
-def test_secret_ledger_scans_only_what_is_new(frame):
-    rules = secrets.BASE_RULES
-    first = secrets.unseen(secrets.blobs(frame.where("doc_id < 7")), rules, None)
-    ledger, known = secrets.advance(None, first), secrets.scan(first, rules)
-    later = secrets.unseen(secrets.blobs(frame), rules, ledger)
-    assert later.where(F.col("blob").isin([r[0] for r in ledger.select("blob").distinct().collect()])).count() == 0
-    got = set(rows(secrets.digest(secrets.findings_by_path(frame, rules, ledger, known))))
-    assert got == set(rows(secrets.digest(secrets.findings_by_path(frame))))
+def test_secret_ledger_scans_only_what_is_new(spark, frame, tmp_path, monkeypatch):
+    rules, scanned = secrets.BASE_RULES, []
+    scan = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda waiting, rules: scanned.append({(r["blob"], k) for r in waiting.collect() for k in r["todo"]}) or scan(waiting, rules))
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    through = lambda docs, rules, ledger: set(rows(secrets.digest(secrets.findings_by_path(docs, rules, ledger), rules)))
+    some = frame.where("doc_id < 7")
+    assert through(some, rules, ledger) == through(some, rules, None)
+    assert through(frame, rules, ledger) == through(frame, rules, None)
+    assert not scanned[0] & scanned[2] and scanned[0] | scanned[2] == scanned[3]
+    through(frame, rules, ledger)
+    assert len(scanned) == 4, "nothing is left to scan"
     renewed = (*rules[:2], secrets.Rule("hex", 2, r"[0-9a-f]{8,}"))
-    assert {r["todo"][0] for r in secrets.unseen(secrets.blobs(frame.where("doc_id < 7")), renewed, ledger).collect()} == {"hex@2"}
-    assert secrets.advance(ledger, later).distinct().count() == 3 * secrets.blobs(frame).count()
+    assert through(frame, renewed, ledger) == through(frame, renewed, None), "findings of the old version are gone"
+    assert {k for _, k in scanned[4]} == {"hex@2"} and {b for b, _ in scanned[4]} == {b for b, _ in scanned[3]}
+    assert through(some, rules, ledger) == through(some, rules, None), "and come back with it"
+    assert len(scanned) == 7 and through(frame.limit(0), rules, ledger) == set()
+
+
+def test_a_run_that_died_is_scanned_again(spark, frame, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    wanted = set(rows(secrets.digest(secrets.findings_by_path(frame, ledger=ledger))))
+    pairs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ledger.path}/pairs")
+    pairs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(pairs, True)
+    assert ledger.findings(secrets.BASE_RULES) is None
+    assert set(rows(secrets.digest(secrets.findings_by_path(frame, ledger=ledger)))) == wanted
 
 
 def test_redaction(frame, empty):
