@@ -1,18 +1,18 @@
-"""Toxicity by a classifier chain over hashed sub-word features.
+"""Toxicity by a classifier chain over sub-word features.
 
 Categories are predicted in a fixed order, the overall label last. Every category has a linear (logistic) model over the presence of
 features; a later model also gets the earlier categories' probabilities. It is trained on out-of-fold predictions of the earlier
 models, so it learns how far they can be trusted on documents that they have not seen; at prediction, the models fitted
-on all training rows feed each other.
+on all training rows feed each other. A fold's models know nothing of the fold: neither its labels nor which features go with them.
 
-Features are words and word beginnings of four and five letters. The classifier is fitted on about `sample` labelled rows (all, where there
-are no more), drawn by a hash of doc_id, which is the only bound: the models, and which features they may use (those with the
-highest likelihood ratio against independence). Prediction covers every document and its whole text.
+Features are words and word beginnings of four and five letters. A model may use every feature whose association with the label, in its own training rows,
+is significant (likelihood ratio, `LEAST_SCORE`); their number has no limit. The classifier is fitted on about `sample` labelled rows (all, where there
+are no more), drawn by a hash of doc_id, which is the only bound. Prediction covers every document and its whole text.
 
 Only an overall label comes with the data; a category's label is that label together with one of the category's seed words.
 
 Defined results: null and empty texts have probability 0 and are not toxic; labels that are null are unlabelled; with several
-labels for an id the largest holds; without both kinds of label nothing is learned and nothing flagged; repeated rows repeat; extra
+labels for an id the largest holds; without both kinds of label nothing is learned and nothing flagged; repeated rows repeat, and a labelled one counts as often; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -37,7 +37,6 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 }
 OVERALL = "toxic"
 SAMPLE = 12_000
-FEATURES = 1024
 LEAST_DOCS = 3
 LEAST_SCORE = 10.83  # of one degree of freedom, at 1 in 1000
 FOLDS = 5
@@ -50,7 +49,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def features(text: str) -> set[str]:
     """Words (w:...) and their beginnings (4:..., 5:...) in a text, in lower case."""
     words = set(_WORD.findall(text.lower()))
-    found = {f"w:{w}" for w in words if len(w) <= 40}
+    found = {f"w:{w}" for w in words}
     found |= {f"4:{w[:4]}" for w in words if len(w) > 4}
     return found | {f"5:{w[:5]}" for w in words if len(w) > 5}
 
@@ -83,22 +82,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 100) -> np.ndarray:
+@dataclass
+class Rows:
+    """Rows of a design: entries (row, feature) that are 1, and dense columns behind the features."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    size: int
+    extra: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.extra)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.feature], len(self)) + self.extra @ w[self.size : -1] + w[-1]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.feature, r[self.row], self.size), self.extra.T @ r, [r.sum()]])
+
+    def only(self, rows: np.ndarray, features: np.ndarray) -> Rows:
+        """The rows of a mask, without the entries of features that are not in the other mask."""
+        number = np.cumsum(rows) - 1
+        keep = rows[self.row] & features[self.feature]
+        return Rows(number[self.row[keep]], self.feature[keep], self.size, self.extra[rows])
+
+
+def fit_logistic(x: Rows, y: np.ndarray, penalty: float = 0.05, rounds: int = 400, enough: float = 1e-3) -> np.ndarray:
     """Weights and bias of an L2-penalised logistic regression, by accelerated gradient steps of safe length."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    shrink = np.full(x.shape[1], penalty, x.dtype)
+    width = x.size + x.extra.shape[1] + 1
+    shrink = np.full(width, penalty)
     shrink[-1] = 1e-3
-    probe = np.ones(x.shape[1], x.dtype)
+    probe = np.ones(width)
     for _ in range(20):
-        probe = x.T @ (x @ probe)
+        probe = x.back(x.times(probe))
         probe /= np.linalg.norm(probe) or 1
-    length = 1 / (0.25 * float(np.linalg.norm(x.T @ (x @ probe))) * 1.05 + penalty)
-    w = ahead = np.zeros(x.shape[1], x.dtype)
-    for t in range(rounds * 4):
-        slope = x.T @ (_sigmoid(x @ ahead) - y) + shrink * ahead
+    length = 1 / (0.25 * float(np.linalg.norm(x.back(x.times(probe)))) * 1.05 + penalty)
+    w = ahead = np.zeros(width)
+    for t in range(rounds):
+        slope = x.back(_sigmoid(x.times(ahead)) - y) + shrink * ahead
         after = ahead - length * slope
         ahead = after + t / (t + 3) * (after - w)
+        done = np.abs(slope).max() < enough
         w = after
+        if done:
+            break
     return w
 
 
@@ -115,19 +142,36 @@ def _drawn(docs: DataFrame, labels: DataFrame, sample: int, seed: int, doc_id: s
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
-    """(feature, toxic, clean): documents of each label that have the feature."""
+    """(feature, toxic_0, clean_0, ...): in each fold, documents of each label that have the feature."""
+    names = [f"{kind}_{f}" for f in range(FOLDS) for kind in ("toxic", "clean")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for f in features(text):
-                    counts.setdefault(f, [0, 0])[label > 0] += 1
+                    counts.setdefault(f, [0] * len(names))[2 * fold + (label <= 0)] += 1
             if counts:
-                both = np.array(list(counts.values()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(both[:, 1]), pa.array(both[:, 0])], names=["feature", "toxic", "clean"])
+                table = np.array(list(counts.values()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *map(pa.array, table.T)], names=["feature", *names])
+
+    schema = ", ".join(["feature string", *(f"{n} bigint" for n in names)])
+    return rows.select("text", "label", "fold").mapInArrow(run, schema).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _significant(counts: DataFrame, totals: np.ndarray) -> DataFrame:
+    """(feature, use): of the features that any model may use, for each fold whether the model without it may, and at last the model of all rows."""
 
-    return rows.select("text", "label").mapInArrow(run, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    def fits(folds: list[int]) -> Column:
+        toxic, clean = (sum((F.col(f"{kind}_{f}") for f in folds), F.lit(0)) for kind in ("toxic", "clean"))
+        toxics, cleans = map(float, totals[folds].sum(axis=0))
+        if not toxics or not cleans:
+            return F.lit(False)
+        return (toxic + clean >= LEAST_DOCS) & (_association(toxic, clean, toxics, cleans) >= LEAST_SCORE)
+
+    every = list(range(FOLDS))
+    use = F.array(*[fits([f for f in every if f != out]) for out in every], fits(every))
+    return counts.select("feature", use.alias("use")).where(F.array_contains("use", True))
 
 
 def _association(toxic: Column, clean: Column, toxics: float, cleans: float) -> Column:
@@ -138,19 +182,21 @@ def _association(toxic: Column, clean: Column, toxics: float, cleans: float) ->
     return sum((F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, sample: int = SAMPLE, most: int = FEATURES, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = SEED) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = SEED) -> Chain | None:
     """The chain, or None if the labels are not of both kinds."""
     bound_batches(docs.sparkSession)
-    rows = materialise(_drawn(docs, labels, sample, seed, doc_id, text, label), "labelled")
-    total = rows.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
-    if not total[0] or not total[1]:
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int")
+    rows = materialise(_drawn(docs, labels, sample, seed, doc_id, text, label).withColumn("fold", fold), "labelled")
+    totals = np.zeros((FOLDS, 2), np.int64)
+    for r in rows.groupBy("fold", (F.col("label") > 0).alias("toxic")).count().collect():
+        totals[r["fold"], 0 if r["toxic"] else 1] = r["count"]
+    if not totals.sum(axis=0).all():
         return None
-    score = _association(F.col("toxic"), F.col("clean"), *map(float, total))
-    kept = _feature_counts(rows).where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).select("feature", score.alias("score")).where(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "feature").limit(most).collect()
+    kept = _significant(_feature_counts(rows), totals).orderBy("feature").collect()
     index = {r["feature"]: i for i, r in enumerate(kept)}
+    use = np.array([r["use"] for r in kept], bool).reshape(len(kept), FOLDS + 1)
     names = [*categories, OVERALL]
-    chain = Chain(names, index, [])
-    shared = docs.sparkSession.sparkContext.broadcast((chain, categories))
+    shared = docs.sparkSession.sparkContext.broadcast((Chain(names, index, []), categories))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, categories = shared.value
@@ -161,28 +207,30 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
                 words = set(_WORD.findall(text.lower()))
                 marks.append([*(int(label > 0 and not words.isdisjoint(seeds)) for seeds in categories.values()), int(label > 0)])
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(found), np.array([len(f) for f in found]), pa.int32()), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "features", "marks"])
-
-    got = rows.select("doc_id", "text", "label").mapInArrow(encode, "doc_id bigint, features array<int>, marks array<int>").orderBy("doc_id").collect()
-    if not got:
-        return None
-    x = np.zeros((len(got), len(index)), np.float32)
-    for i, r in enumerate(got):
-        x[i, r["features"]] = 1
-    y = np.array([r["marks"] for r in got], np.float32)
-    fold = np.random.default_rng(seed).integers(0, FOLDS, len(got))
-    early = np.zeros((len(got), 0), np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(found), np.array([len(f) for f in found]), pa.int32()), pa.array(marks, pa.list_(pa.int32())), batch.column(3)], names=["doc_id", "features", "marks", "fold"])
+
+    got = rows.select("doc_id", "text", "label", "fold").mapInArrow(encode, "doc_id bigint, features array<int>, marks array<int>, fold int").orderBy("doc_id").toArrow()
+    features_of = [np.array(f, np.intp) for f in got.column("features").to_pylist()]
+    y, fold_of = np.array(got.column("marks").to_pylist(), np.float64), got.column("fold").to_numpy()
+    n = len(features_of)
+    entries = np.repeat(np.arange(n), [len(f) for f in features_of]), np.concatenate(features_of)
+    early = np.zeros((n, 0))
+    weights = []
     for c in range(len(names)):
-        whole = np.concatenate([x, early], axis=1)
-        chain.weights.append(fit_logistic(whole, y[:, c]))
+        x = Rows(*entries, len(index), early)
+        weights.append(fit_logistic(x.only(np.ones(n, bool), use[:, FOLDS]), y[:, c]))
         if c + 1 < len(names):
-            unseen = np.zeros(len(got), np.float32)
+            unseen = np.zeros(n)
             for f in range(FOLDS):
-                if (fold == f).any() and (fold != f).any():
-                    w = fit_logistic(whole[fold != f], y[fold != f, c])
-                    unseen[fold == f] = _sigmoid(whole[fold == f] @ w[:-1] + w[-1])
+                out = fold_of == f
+                if out.any() and not out.all():
+                    w = fit_logistic(x.only(~out, use[:, f]), y[~out, c])
+                    unseen[out] = _sigmoid(x.only(out, use[:, f]).times(w))
             early = np.concatenate([early, unseen[:, None]], axis=1)
-    return chain
+    # Features that only a fold's model used have no weight in the models that stay.
+    stays = np.flatnonzero(use[:, FOLDS])
+    final = {kept[i]["feature"]: k for k, i in enumerate(stays.tolist())}
+    return Chain(names, final, [np.concatenate([w[stays], w[len(index) :]]) for w in weights])
 
 
 def score(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -116,12 +116,34 @@ def test_language_vectors():
     assert language.crc(0) == 4 and language.crc(12345) in range(5)
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    letters = np.array([ord(c) for c in "abcäжあ"] + list(range(0x4E00, 0x4E00 + 3000)))
+    v = language.letter_vectors(letters, 1024, 42).astype(np.int32)
+    assert np.abs(v @ v.T - 1024 * np.eye(len(v))).max() < 220, "nearly orthogonal"
+    assert (language.letter_vectors(letters[::-1], 1024, 42)[::-1] == v).all()
+
+
+def test_bundles_do_not_depend_on_grouping(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(int(c)) for c in rng.integers(0x4E00, 0x4E00 + 500, n)) + " abc" * (n % 5) for n in (3, 40, 700, 0, 90)]
+    whole, _ = language.document_vectors(texts, 128, 1)
+    for text, vector in zip(texts, whole, strict=True):
+        assert (vector == language.gram_vectors(language.grams(text), 128, 1).sum(axis=0)).all()
+    for name, value in (("GROUP_LETTERS", 50), ("GROUP_TEXTS", 2), ("STEP", 7)):
+        monkeypatch.setattr(language, name, value)
+        assert (language.document_vectors(texts, 128, 1)[0] == whole).all()
+
+
 def test_logistic_chain():
     rng = np.random.default_rng(0)
-    x = (rng.random((400, 5)) < 0.3).astype(np.float32)
-    y = x[:, 0].astype(np.float32)
+    dense = (rng.random((400, 5)) < 0.3).astype(float)
+    y = dense[:, 0]
+    x = toxicity.Rows(*np.nonzero(dense[:, :4]), 4, dense[:, 4:])
     w = toxicity.fit_logistic(x, y)
-    assert (((x @ w[:-1] + w[-1]) > 0) == (y > 0)).mean() == 1.0
+    assert np.allclose(x.times(w), dense @ w[:-1] + w[-1]) and np.allclose(x.back(y), [*(dense.T @ y), y.sum()])
+    assert ((x.times(w) > 0) == (y > 0)).mean() == 1.0
+    some, used = np.arange(400) % 3 == 0, np.array([True, False, True, True])
+    assert np.allclose(x.only(some, used).times(w), dense[some] @ np.where([*used, True], w[:-1], 0) + w[-1])
     chain = toxicity.Chain(["a", "b"], {"w:bad": 0}, [np.array([9.0, -4.0]), np.array([0.0, 9.0, -4.0])])
     p = chain.predict([chain.numbers("so BAD"), chain.numbers("fine"), chain.numbers(None)])
     assert (p[:, 1] > 0.5).tolist() == [True, False, False]

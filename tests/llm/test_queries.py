@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import queries
+from quarry.llm import queries, toxicity
 from tests.compare import rows_of, rows_of_sql
 from tests.llm import brute
 
@@ -52,6 +54,18 @@ def test_toxicity_query(spark, duck, sf_dir):
     assert sum(found[d] == bool(t) for d, t in labels.items()) >= 0.9 * len(labels)
 
 
+def test_toxicity_of_labels_that_are_held_out(spark):
+    at = Path("/root/testdata/sf0.01")
+    if not at.exists():
+        pytest.skip("needs more labels than the smallest tables have")
+    docs, labels = (spark.read.parquet(f"{at}/{n}.parquet") for n in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
+    found = toxicity.score(docs, toxicity.train(docs, labels.where(~held))).join(labels.where(held).select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    for label, least in ((0, 0.97), (1, 0.85)):
+        some = [r["toxic"] for r in found if r["label"] == label]
+        assert len(some) >= 10 and sum(x == bool(label) for x in some) >= least * len(some)
+
+
 def test_mixing_query(spark, sf_dir):
     found = queries.QUERIES["op2_mixing"](spark, sf_dir).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in found)
