@@ -6,35 +6,37 @@ window holds its rarest word. The join is on that word; the word's position in t
 which gives the positional bound (it starts inside the document) and the length bound (it ends inside it); what passes is
 verified word by word.
 
-Corpus frequencies are counted over all documents. Benchmark items travel to the executors in blocks of at most
-`block_bytes` bytes of text; a larger benchmark takes more blocks, each a pass over the documents, and hits are merged.
+Everything is a table: the windows, the corpus counts of their words, the windows' rarest words, and the places of those words in the corpus, which carry
+the few words around them so that the join can verify. Nothing of the benchmark goes to the driver. What travels to the executors beforehand is a bitmap of
+the rarest words, of fixed size, which keeps other places out of the shuffle; a larger benchmark fills it and more places pass, but none is lost.
+A place is keyed by its text's digest, so copies of a text meet before the join. Places of one word that very many texts hold are one
+key with few windows beside it, which adaptive execution splits; the corpus counts choose the rarest word, so this needs a window of nothing but common words.
 
 Defined results: null and wordless texts have no words and no hits; items without words have no windows; repeated items and
-documents each count; extra columns are ignored; with an empty benchmark nothing is hit.
+documents each count; a null doc_id or item_id is an id (a null item_id has no name in the digest); extra columns are ignored; with an empty benchmark nothing is hit.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, record, utf8
+from quarry.llm.common import bound_batches, materialise, utf8
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+#: Bits of the bitmap of rarest words: 1 MB.
+BITMAP = 1 << 23
 
 #: Bytes that are in a word (0-9, a-z and all of 0x80-0xFF, after A-Z has become a-z); others part words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
-_RESULT_DDL = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
@@ -47,33 +49,6 @@ def windows(text: bytes, width: int) -> list[tuple[bytes, ...]]:
     return [tuple(found[i : i + width]) for i in range(max(1, len(found) - width + 1))]
 
 
-class Index:
-    """Windows by their rarest word: word -> [(offset of the word, window, items that have the window)]."""
-
-    def __init__(self, items: list[tuple[int, bytes]], counts: dict[bytes, int], width: int):
-        owners: dict[tuple[bytes, ...], set[int]] = {}
-        for item, text in items:
-            for window in windows(text, width):
-                owners.setdefault(window, set()).add(item)
-        self.by_word: dict[bytes, list[tuple[int, list[bytes], list[int]]]] = {}
-        for window, held in owners.items():
-            at = min(range(len(window)), key=lambda i: (counts.get(window[i], 0), window[i], i))
-            self.by_word.setdefault(window[at], []).append((at, list(window), sorted(held)))
-
-    def hits(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Merged word spans of the document that windows cover, and the items they belong to."""
-        n, spans, items, by_word = len(found), [], set(), self.by_word
-        for place, word in enumerate(found):
-            if word in by_word:
-                for at, window, held in by_word[word]:
-                    start = place - at
-                    stop = start + len(window)
-                    if start >= 0 and stop <= n and found[start:stop] == window:
-                        spans.append((start, stop))
-                        items.update(held)
-        return merged(spans), items
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, stop in sorted(spans):
@@ -84,96 +59,126 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def word_counts(docs: DataFrame, wanted: set[bytes], text: str = "text") -> dict[bytes, int]:
-    """Occurrences over all documents of the wanted words; the result is no larger than `wanted`."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
+def item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(item_id, window) of each item's windows, a window being its words, parted by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if found := sorted(set(windows(text, width))):
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.int64()), pa.array([b" ".join(w) for w in found], pa.binary())], names=["item_id", "window"])
+
+    return items.mapInArrow(run, "item_id bigint, window binary").select("item_id", F.col("window").cast("string").alias("window"))
+
+
+def word_counts(source: DataFrame) -> DataFrame:
+    """(word, n): occurrences over all documents, summed batch by batch before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        vocabulary = shared.value
         for batch in batches:
-            here: Counter[bytes] = Counter()
+            seen: Counter[bytes] = Counter()
             for value in batch.column(0).to_pylist():
-                here.update(words(value))
-            for word in here.keys() & vocabulary:
-                seen[word] += here[word]
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                seen.update(words(value))
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select(utf8(docs, text).alias("text")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counted.toLocalIterator()}
+    return source.select("text").mapInArrow(count, "word binary, n bigint").select(F.col("word").cast("string").alias("word"), "n")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    source = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), utf8(docs, text).alias("text"))
-    blocks = list(_blocks(benchmark.select(benchmark[item_id].cast("bigint"), utf8(benchmark, item_text)), block_bytes))
-    if len(blocks) <= 1:
-        return _pass(source, blocks[0] if blocks else [], width, digest=True)
-    found = _pass(source, blocks[0], width, digest=False)
-    for block in blocks[1:]:
-        found = found.unionByName(_pass(source, block, width, digest=False))
-    # Every block has given each row of docs once; rows that are the same in id and text come back as often as they came.
-    lists = [F.flatten(F.collect_list(name)).alias(name) for name in ("starts", "stops", "items")]
-    whole = found.groupBy("doc_id", "n_words", "text_md5").agg(*lists, (F.count("*") / len(blocks)).cast("int").alias("copies"))
-    every = whole.select("doc_id", "n_words", "starts", "stops", "items", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-    return every.mapInArrow(_digested, _RESULT_DDL)
-
-
-def _keyed(find: Callable) -> Callable:
-    """find on batches of (doc_id, text, key), with the key kept."""
+def prefixes(held: DataFrame, source: DataFrame) -> DataFrame:
+    """(window, word, at, size): of each window, the rarest word, its place in it, and the window's length."""
+    distinct = held.select("window").distinct()
+    placed = materialise(distinct.select("window", F.posexplode(F.split("window", " ")).alias("at", "word")), "window-words")
+    # Only counts of the windows' words are shuffled, where their list is small enough for the planner to send it ahead.
+    counts = word_counts(source).join(materialise(placed.select("word").distinct(), "vocabulary"), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    ranked = placed.join(counts, "word", "left").select("window", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at").alias("rank"))
+    least = ranked.groupBy("window").agg(F.min("rank").alias("rank"), F.count("*").cast("int").alias("size"))
+    # A word that the corpus does not have cannot be hit.
+    return least.where("rank.n > 0").select("window", "rank.word", "rank.at", "size")
+
+
+def bitmap(prefix: DataFrame, bits: int = BITMAP) -> np.ndarray:
+    """A bit for each hash of a rarest word; its size does not depend on the benchmark's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
         for batch in batches:
-            for out in find(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], names=[*out.schema.names, "text_md5"])
+            seen[[_bit(w.encode(), bits) for w in batch.column(0).to_pylist()]] = True
+        packed = np.packbits(seen).view("<i8")
+        some = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed[some])], names=["at", "bits"])
+
+    found = prefix.select("word").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, "<i8")
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return np.unpackbits(out.view(np.uint8)).astype(bool)
 
-    return run
 
+def _bit(word: bytes, bits: int) -> int:
+    return xxhash.xxh3_64_intdigest(word) & (bits - 1)
 
-def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]]:
-    held, size = [], 0
-    for item, text in items.toLocalIterator():
-        held.append((item, bytes(text)))
-        size += len(text)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
 
+_PLACES = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("word", pa.string()), ("place", pa.int64()), ("before", pa.int32()), ("around", pa.list_(pa.string()))])))])
+_PLACES_DDL = "doc_id bigint, digest binary, n_words bigint, places array<struct<word: string, place: bigint, before: int, around: array<string>>>"
 
-def _pass(source: DataFrame, items: list[tuple[int, bytes]], width: int, digest: bool) -> DataFrame:
-    vocabulary = {word for _, text in items for word in words(text)}
-    counts = word_counts(source, vocabulary) if vocabulary else {}
-    shared = source.sparkSession.sparkContext.broadcast(Index(items, counts, width))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+def places(source: DataFrame, marks: np.ndarray, width: int) -> DataFrame:
+    """(doc_id, digest, n_words, places) of every row: the places of words that the bitmap has, with the words around them."""
+    shared = source.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    reach, bits = width - 1, len(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).astype(bool).tolist()
+        known: dict[bytes, bool] = {}
         for batch in batches:
-            rows = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = words(value)
-                spans, held = index.hits(found)
-                rows.append((doc, len(found), [s for s, _ in spans], [e for _, e in spans], sorted(held)))
-            if rows:
-                out = record(_HITS, zip(*rows, strict=True))
-                yield from _digested(iter([out])) if digest else [out]
-
-    if digest:
-        return source.mapInArrow(find, _RESULT_DDL)
-    return source.withColumn("text_md5", F.md5("text")).mapInArrow(_keyed(find), "doc_id bigint, n_words bigint, starts array<bigint>, stops array<bigint>, items array<bigint>, text_md5 string")
-
-
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = []
-        for doc, n, starts, stops, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hit = sum(e - s for s, e in merged(list(zip(starts, stops, strict=True))))
-            names = sorted(map(str, set(items)))
-            rows.append((doc, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
-        yield record(_RESULT, zip(*rows, strict=True))
+                for word in set(found).difference(known):
+                    known[word] = marks[_bit(word, bits)]
+                at = [{"word": w.decode(), "place": i, "before": min(i, reach), "around": [x.decode() for x in found[max(0, i - reach) : i + width]]} for i, w in enumerate(found) if known[w]]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc, hashlib.blake2b(value, digest_size=16).digest(), len(found), at), _PLACES, strict=True)], schema=_PLACES)
+                if len(known) > 1 << 18:
+                    known.clear()
+
+    return source.mapInArrow(run, _PLACES_DDL)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bits: int = BITMAP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
+    bound_batches(docs.sparkSession)
+    source = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), utf8(docs, text).alias("text"))
+    held = materialise(item_windows(benchmark.select(benchmark[item_id].cast("bigint").alias("item_id"), utf8(benchmark, item_text).alias("text")), width), "windows")
+    prefix = materialise(prefixes(held, source.select("text")), "prefixes")
+    every = materialise(places(source, bitmap(prefix, bits), width), "places")
+
+    one = every.where(F.size("places") > 0).select("digest", "n_words", "places").dropDuplicates(["digest"]).select("digest", "n_words", F.inline("places"))
+    start = F.col("place") - F.col("at")
+    met = one.join(prefix, "word").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    # The words before the place that the window needs are there, since it starts inside the document.
+    same = F.array_join(F.slice("around", F.col("before") - F.col("at") + 1, F.col("size")), " ") == F.col("window")
+    hits = materialise(met.where(same).select("digest", start.alias("start"), (start + F.col("size")).alias("stop"), "window"), "hits")
+
+    covered = hits.groupBy("digest").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    names = hits.select("digest", "window").distinct().join(held, "window").select("digest", "item_id").distinct()
+    listed = names.groupBy("digest").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("names"))
+    found = materialise(covered.select("digest", _covered("spans").alias("n_hit")).join(listed, "digest"), "found")
+    joined = every.select("doc_id", "digest", "n_words").join(found, "digest", "left")
+    return joined.select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(F.coalesce("names", F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def _covered(spans: str) -> F.Column:
+    """How many words an array of spans (start, stop) covers: in their order, each adds what lies behind the furthest stop before it."""
+    begin = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
+    return F.aggregate(
+        F.array_sort(spans),
+        begin,
+        lambda done, span: F.struct((done["n"] + F.greatest(F.lit(0), span["stop"] - F.greatest(done["upto"], span["start"]))).alias("n"), F.greatest(done["upto"], span["stop"]).alias("upto")),
+        lambda done: done["n"],
+    )

@@ -87,10 +87,9 @@ def test_blocks_lose_no_pair():
             assert any(not change & m for m in masks)
 
 
-def test_benchmark_index():
-    index = decontaminate.Index([(1, b"a b c"), (2, b"b c"), (3, b"")], {b"b": 5, b"a": 1, b"c": 9}, 2)
-    assert index.hits([b"x", b"a", b"b", b"c"]) == ([(1, 4)], {1, 2})
-    assert index.hits([]) == ([], set())
+def test_benchmark_windows():
+    assert decontaminate.windows(b"A b, c", 2) == [(b"a", b"b"), (b"b", b"c")] and decontaminate.windows(b"one", 2) == [(b"one",)]
+    assert decontaminate.windows(b" .", 2) == [] and decontaminate.words("Été\x00x-9".encode()) == ["Été".encode().replace(b"t", b"t"), b"x", b"9"]
 
 
 PAGE = (

@@ -95,13 +95,13 @@ def test_redaction(frame, empty):
     assert secrets.redact(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_decontamination(spark, frame, empty, corpus, block):
+@pytest.mark.parametrize("bits", [1 << 20, 64])
+def test_decontamination(spark, frame, empty, corpus, bits):
     items = {1: (corpus[12] or "")[:200], 2: "word", 3: None, 4: "", 5: (corpus[4] or "")[100:400], 6: "word", 7: "no such words here"}
     bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
-    got = rows(decontaminate.decontaminate(frame.unionByName(frame.where("doc_id = 3")), bench, block_bytes=block))
+    got = rows(decontaminate.decontaminate(frame.unionByName(frame.where("doc_id = 3")), bench, bits=bits))
     assert len(got) == len(corpus) + 1 and set(got) == brute.contamination(corpus, items)
-    assert rows(decontaminate.decontaminate(empty, bench, block_bytes=block)) == []
+    assert rows(decontaminate.decontaminate(empty, bench, bits=bits)) == []
     assert not any(r[-1] for r in rows(decontaminate.decontaminate(frame, bench.limit(0))))
 
 
