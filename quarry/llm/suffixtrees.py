@@ -1,9 +1,9 @@
 """Substring dedup on words by prefix-partitioned suffix trees.
 
-Suffixes of word sequences are divided into groups that fit in memory by prefixes: the eight words at their
-anchor. A crowded group has no tree: digests of its windows are compared (see windows.py). Each other group's suffix tree is built on
-its own, as the sorted suffixes with the lengths of their common prefixes, cut at the window's width. The tree's internal nodes at that depth
-are the maximal repeats: the suffixes below one begin with the same window. A word goes if such a window covers it that also starts
+Suffixes of word sequences are divided into groups that fit in memory by prefixes of variable length: the eight words at their
+anchor, half a window where a group is still too large, and at last the whole window, a single leaf (see windows.py). Each group's suffix tree is built on
+its own, as the sorted suffixes with the lengths of the prefixes that neighbours have in common, cut at the window's width: an internal node is a run of suffixes whose
+common prefixes reach its depth. The nodes at the window's width are the maximal repeats: the suffixes below one begin with the same window. A word goes if such a window covers it that also starts
 in a document with a smaller doc_id.
 
 Defined results: null and wordless texts have no words, nothing is removed and the digest is that of no bytes; texts with fewer words
@@ -50,24 +50,26 @@ class Subtree:
     """The suffix tree of a sequence, cut at a depth: suffixes in order and the lengths of neighbours' common prefixes."""
 
     def __init__(self, symbols: np.ndarray, depth: int):
-        n = len(symbols)
+        # Ranks of the prefixes of 1, 2, 4, ... symbols, and of the whole depth: each sorts pairs of those before it.
         ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1]
         span = 1
         while span * 2 <= depth:
             ranks.append(self._paired(ranks[-1], span))
             span *= 2
-        whole = self._paired(ranks[-1], depth - span) if span < depth else ranks[-1]
-        self.order = np.argsort(whole, kind="stable")
-        self.common = np.zeros(n, np.int64)  # with the suffix before
-        a, b = self.order[:-1], self.order[1:]
-        same = np.zeros(max(0, n - 1), np.int64)
-        for level in (*reversed(range(len(ranks))), *reversed(range(len(ranks)))):
-            rank = np.append(ranks[level], 0)
-            step = 1 << level
-            fits = same + step <= depth
+        self.order = np.argsort(self._paired(ranks[-1], depth - span) if span < depth else ranks[-1], kind="stable")
+        self.common = np.zeros(len(symbols), np.int64)  # with the suffix before
+        self.common[1:] = self._common(ranks, self.order[:-1], self.order[1:], depth)
+
+    @staticmethod
+    def _common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+        """How many symbols the suffixes at a and b have in common, up to the depth: the longest steps that agree, one after the other."""
+        n = len(ranks[0])
+        same = np.zeros(len(a), np.int64)
+        for level in reversed(range(len(ranks))):
+            rank, step = np.append(ranks[level], 0), 1 << level
             equal = rank[np.minimum(a + same, n)] == rank[np.minimum(b + same, n)]
-            same += np.where(fits & equal & (np.maximum(a, b) + same < n), step, 0)
-        self.common[1:] = np.where(whole[a] == whole[b], depth, np.minimum(same, depth)) if n > 1 else 0
+            same += np.where(equal & (same + step <= depth) & (np.maximum(a, b) + same < n), step, 0)
+        return same
 
     @staticmethod
     def _paired(rank: np.ndarray, ahead: int) -> np.ndarray:

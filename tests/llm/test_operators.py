@@ -119,6 +119,36 @@ def test_repeated_bytes(frame, empty, corpus, crowd):
     assert crowd == 1 or rows(suffixarrays.remove_repeated_bytes(empty)) == []
 
 
+def test_repeats_of_documents_that_share_an_id(spark):
+    rng = random.Random(11)
+    shared, other = sentence(rng, 60), sentence(rng, 60)
+    made = [(None, f"x {shared}"), (3, f"{shared} {other}"), (3, f"y {other} z"), (3, f"y {other} z"), (4, f"{other} w"), (None, None)]
+    frame = spark.createDataFrame(made, "doc_id bigint, text string")
+    first: dict = {}
+    for doc, text in made:
+        data = (text or "").encode()
+        for i in range(len(data) - 99):
+            first[data[i : i + 100]] = min(first.get(data[i : i + 100], (9, 0)), (doc or 0, i))
+    wanted = []
+    for doc, text in made:
+        data = (text or "").encode()
+        wanted.append((doc, len(data), len({j for i in range(len(data) - 99) if first[data[i : i + 100]] < (doc or 0, i) for j in range(i, i + 100)})))
+    got = [tuple(r)[:3] for r in suffixarrays.remove_repeated_bytes(frame).collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    removed = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in suffixtrees.remove_repeated_words(frame).collect())
+    assert removed == [(0, 0, 0), (0, 61, 0), (3, 62, 0), (3, 62, 0), (3, 120, 60), (4, 61, 60)]
+
+
+def test_crowded_groups_take_the_same_path(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = sentence(rng, 75)
+    docs = {i: f"{sentence(rng, rng.randrange(1, 30))} {passage} {sentence(rng, rng.randrange(1, 30))}" for i in range(60)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    for operator, plain in ((suffixtrees.remove_repeated_words, brute.repeated_words), (suffixarrays.remove_repeated_bytes, brute.repeated_bytes)):
+        for crowd in (20, 59):
+            assert set(rows(operator(frame, crowd=crowd))) == plain(docs)
+
+
 def test_top_k(spark):
     rng = random.Random(3)
     vectors: list[tuple] = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(0, 400)]
