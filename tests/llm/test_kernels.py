@@ -107,6 +107,34 @@ def test_page_text():
     assert extract.Page("<body><div class=menu>m m m m m</div><div class=content><p>long enough text of the page</p></div></body>").text() == "long enough text of the page"
 
 
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    pieces = ["<a ", "<div>", "</p>", "<div class=x>t", "<a '>' ", "<!", "<p \"", "<i '", "<article>x", "</", "<script>", "<li>a<ul>", "<span hidden>y"]
+    took = {}
+    for piece in pieces:
+        for size in (100_000, 1_000_000):
+            began = time.process_time()
+            extract.Page(piece * (size // len(piece))).text()
+            took[piece, size] = time.process_time() - began
+    assert all(took[p, 1_000_000] < 25 * took[p, 100_000] + 1 for p in pieces), took
+
+
+def test_tags():
+    found = lambda source: [(name, closes, attributes) for _, _, name, closes, attributes in extract.tags(source)]
+    assert found("<a b='>' c=\">\">x</A ><br/>") == [("a", False, " b='>' c=\">\""), ("a", True, " "), ("br", False, "/")]
+    assert found("<a b=\"x<p>") == [("a", False, " b=\"x"), ("p", False, "")] and found("1 < 2 <3") == []
+    assert found("<!-- <a> --><![CDATA[<b>]]><!x><?y><a") == [("", False, "")] * 4 + [("a", False, "")]
+    assert extract.Page("a <!-- b").text() == "a" and extract.Page("<p>a</ b>c").text() == "ac"
+
+
+def test_template_order():
+    page = extract.Page("<body><div class=a>x</div><div class=b>y</div></body>")
+    first, second = (p for p, t in zip(page.paths, page.tags, strict=True) if t == "div")
+    assert page.ordered({first: (7, 0.2), second: (7, 0.8)}) == {first: 7, second: 7}
+    assert page.ordered({first: (7, 0.8), second: (7, 0.2)}) == {} and page.ordered({first: (7, 0.8), second: (8, 0.2)}) == {first: 7, second: 8}
+
+
 def test_language_vectors():
     texts = ["the cat", None, "123", "", "x" * 900_000, "the cat"]
     vectors, lettered = language.document_vectors(texts, 64, 1)

@@ -249,6 +249,8 @@ def test_extraction_takes_out_text_of_the_template(spark):
     pages = [body.replace("{0}", t) for t in texts]
     assert extracted(spark, pages) == texts
     assert extracted(spark, pages[:2]) == [f"Read us every day. {t} Subscribe now" for t in texts[:2]], "two pages have no template"
+    twice = spark.createDataFrame([(i // 2, f"http://t.example/{i // 2}", p) for i, p in enumerate(p for p in pages for _ in "ab")], "page_id bigint, url string, html string")
+    assert [r["text"] for r in extract.main_texts(twice).orderBy("page_id").collect()] == [t for t in texts for _ in "ab"], "repeated rows do not cancel"
     assert extracted(spark, [pages[0]] * 4) == [f"Read us every day. {texts[0]} Subscribe now"] * 4, "copies of a page are not a template"
     assert extracted(spark, [*pages[:5], *[p.replace("<p>Read", "<p>Once</p><p>Read") for p in pages[5:]]]) == [*texts[:5], f"Once {texts[5]}"], "other texts stay"
 
