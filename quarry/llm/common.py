@@ -101,6 +101,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def utf8(df: DataFrame, column: str) -> F.Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit("")).cast("binary")

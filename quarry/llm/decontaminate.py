@@ -18,7 +18,6 @@ documents each count; a null doc_id or item_id is an id (a null item_id has no n
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -131,22 +130,26 @@ def places(source: DataFrame, marks: np.ndarray, width: int) -> DataFrame:
         marks = np.unpackbits(shared.value).astype(bool).tolist()
         known: dict[bytes, bool] = {}
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, digest, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = words(value)
                 for word in set(found).difference(known):
                     known[word] = marks[_bit(word, bits)]
                 at = [{"word": w.decode(), "place": i, "before": min(i, reach), "around": [x.decode() for x in found[max(0, i - reach) : i + width]]} for i, w in enumerate(found) if known[w]]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc, hashlib.blake2b(value, digest_size=16).digest(), len(found), at), _PLACES, strict=True)], schema=_PLACES)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc, digest, len(found), at), _PLACES, strict=True)], schema=_PLACES)
                 if len(known) > 1 << 18:
                     known.clear()
 
     return source.mapInArrow(run, _PLACES_DDL)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bits: int = BITMAP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
+def text_digest(docs: DataFrame, text: str = "text") -> F.Column:
+    return F.unhex(F.md5(utf8(docs, text)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bits: int = BITMAP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_words) of every row, and (digest, n_hit, n_items, names) of the texts that hold a window; digest is text_digest."""
     bound_batches(docs.sparkSession)
-    source = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), utf8(docs, text).alias("text"))
+    source = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), text_digest(docs, text).alias("digest"), utf8(docs, text).alias("text"))
     held = materialise(item_windows(benchmark.select(benchmark[item_id].cast("bigint").alias("item_id"), utf8(benchmark, item_text).alias("text")), width), "windows")
     prefix = materialise(prefixes(held, source.select("text")), "prefixes")
     every = materialise(places(source, bitmap(prefix, bits), width), "places")
@@ -162,8 +165,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bi
     names = hits.select("digest", "window").distinct().join(held, "window").select("digest", "item_id").distinct()
     listed = names.groupBy("digest").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("item_id").cast("string"))), ",").alias("names"))
     found = materialise(covered.select("digest", _covered("spans").alias("n_hit")).join(listed, "digest"), "found")
-    joined = every.select("doc_id", "digest", "n_words").join(found, "digest", "left")
-    return joined.select(
+    return every.select("doc_id", "digest", "n_words"), found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs."""
+    every, found = contaminated(docs, benchmark, **how)
+    return every.join(found, "digest", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),

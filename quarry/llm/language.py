@@ -171,8 +171,8 @@ def _vectors(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray], seed: int = SEED, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; only the text is looked at."""
+def identify(docs: DataFrame, learned: dict[str, np.ndarray], seed: int = SEED, text: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (or columns of other names); only the text is looked at."""
     spark = docs.sparkSession
     bound_batches(spark)
     names = list(learned)
@@ -192,9 +192,9 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], seed: int = SEED,
                 score = np.where(lettered, np.clip(cosines.max(axis=1), 0, 1), 0).astype(np.float64)
             else:
                 predicted, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(score)], names=[*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())]))
 
 
 def crc(doc_id: int) -> int:

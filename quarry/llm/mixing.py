@@ -37,8 +37,9 @@ BUCKETS = 4096
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, key, source, size) of every row, key a hash of the text."""
     size = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[source].cast("string").alias("source"), size.alias("size"))
+    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("key"), docs[source].cast("string").alias("source"), size.alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -120,12 +121,12 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFra
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, taken) of every row of docs."""
+    """(doc_id, key, source, size, source_size, target, rate, taken) of every row of docs, key a hash of the text."""
     sizes = materialise(sized(docs, doc_id, text, source), "sizes")
     solved = materialise(multipliers(sizes, source_targets(sizes, weights, cap), cap), "solved")
     rate = F.when(F.col("free"), _tilt(F.col("multiplier"), F.col("d.size"), F.col("mean"), cap)).when(F.col("d.size") > 0, F.lit(float(cap))).otherwise(0.0)
     uniform = F.shiftrightunsigned(F.xxhash64("d.doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    rated = sizes.alias("d").join(solved.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", rate.alias("rate"), uniform.alias("u"))
+    rated = sizes.alias("d").join(solved.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.key", "d.source", "d.size", "s.source_size", "s.target", rate.alias("rate"), uniform.alias("u"))
     rated = rated.withColumn("whole", F.floor("rate")).withColumn("score", F.col("u") - (F.col("rate") - F.col("whole")))
     place = F.floor((F.col("score") + 1) / 2 * F.lit(float(BUCKETS * BUCKETS)))
     rated = rated.withColumn("extra", (F.col("size") > 0) & (F.col("whole") < cap)).withColumn("high", F.floor(place / BUCKETS)).withColumn("low", F.pmod(place, F.lit(BUCKETS)))
@@ -154,10 +155,10 @@ def _rounded(rated: DataFrame) -> DataFrame:
     under = F.col("extra") & ((F.col("high") < F.col("at_high")) | ((F.col("high") == F.col("at_high")) & (F.col("low") < F.col("at_low"))))
     edge = F.coalesce(F.col("extra") & (F.col("high") == F.col("at_high")) & (F.col("low") == F.col("at_low")), F.lit(False))
     base = F.col("size") * F.col("whole")
-    columns = ["doc_id", "source", "size", "source_size", "target", "rate"]
+    columns = ["doc_id", "key", "source", "size", "source_size", "target", "rate"]
     clear = placed.where(~edge).select(*columns, (base + F.when(F.coalesce(under, F.lit(False)), F.col("size")).otherwise(0)).cast("bigint").alias("taken"))
     # One bucket of each source in 4096 squared holds the threshold: its few documents are taken in order of score.
-    order = Window.partitionBy("source").orderBy("score", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("score", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce(F.sum("size").over(order), F.lit(0))))
     marginal = placed.where(edge).withColumn("part", part).select(*columns, (base + F.col("part")).cast("bigint").alias("taken"))
     return clear.unionByName(marginal)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import exists, materialise, scratch
+from quarry.llm.common import exists, materialise, private, scratch
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, ledger: Ledger
     """docs with the union of all findings replaced by `mask`; null texts stay null, and so do all other columns."""
     paths = materialise(versions(docs, text, text).select("blob"), "paths")
     found = _listed(docs, paths, rules, ledger or Ledger(docs.sparkSession), text)
-    joined = docs.withColumn("__blob", _address(docs[text])).join(found.withColumnRenamed("blob", "__blob").withColumnRenamed("spans", "__spans"), "__blob", "left")
+    blob, spans = private(docs, "__blob", "__spans")
+    joined = docs.withColumn(blob, _address(docs[text])).join(found.withColumnsRenamed({"blob": blob, "spans": spans}), blob, "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(done: Column, span: Column) -> Column:
@@ -178,8 +179,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, ledger: Ledger
         parts = F.when(span["start"] >= done["at"], F.array_append(done["parts"], piece)).otherwise(done["parts"])
         return F.struct(F.greatest(done["at"], span["stop"]).alias("at"), parts.alias("parts"))
 
-    cleaned = F.aggregate("__spans", start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(F.col(text), (done["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(text, F.when(F.size("__spans") > 0, cleaned).otherwise(F.col(text))).select(*docs.columns)
+    cleaned = F.aggregate(spans, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(F.col(text), (done["at"] + 1).cast("int"), F.length(text))))
+    return joined.withColumn(text, F.when(F.size(spans) > 0, cleaned).otherwise(F.col(text))).select(*docs.columns)
 
 
 def digest(found: DataFrame, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:

@@ -64,15 +64,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, fp the fingerprint's bits as a signed long."""
+    """(doc_id, key, fp) of every row, key a hash of the text, fp the fingerprint's bits as a signed long."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "key", "fp"])
 
-    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), utf8(docs, text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    whole = utf8(docs, text)
+    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("key"), whole.alias("text")).mapInArrow(run, "doc_id bigint, key bigint, fp bigint")
 
 
 def block_count(fingerprints: int, radius: int, tile: int) -> int:
@@ -202,13 +203,28 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[others]], nodes[others]
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest doc_id that links reach."""
+def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, fp, component, component_id) of every row; component is the smallest fingerprint (as a signed long) that links reach, component_id the smallest doc_id."""
     marked = materialise(fingerprints(docs, shingle, doc_id, text), "fingerprints")
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     groups = components(forest(classes.select("fp"), radius, tile))
     joined = materialise(classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "grouped")
     # The root of a component is its smallest fingerprint; the smallest doc_id is what is asked for.
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = materialise(joined.join(least, "component").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(joined.join(least, "component").select("fp", "component", "component_id"), "named")
+    return marked.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    return grouped(docs, **how).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, key): of each component one row, that with the smallest doc_id (none first) and then text hash; key is text_key of its text."""
+    rows = grouped(docs, **how)
+    return rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("x.doc_id", "x.key")
+
+
+def text_key(docs: DataFrame, text: str = "text") -> F.Column:
+    return F.xxhash64(utf8(docs, text))

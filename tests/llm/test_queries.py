@@ -93,3 +93,35 @@ def test_pipeline(spark, duck, sf_dir, texts):
         if name != "mix":
             assert got == kept and now.columns == columns
     assert set(got) <= set(kept) and abs(now.agg({"taken": "sum"}).first()[0] - sum(len(brute.SPACED.findall(t)) for t in kept.values())) <= 20
+
+
+AWKWARD = "score double, doc_id bigint, text string, lang string, source string, size string, __lang string, Taken int"
+
+
+def test_pipeline_on_awkward_tables(spark, sf_dir, tmp_path):
+    prose = "the harbour was quiet when the boats came in and nobody spoke of the storm that night {0}"
+    texts = [(None, prose.format(1), "en", None), (None, prose.format(1), "en", None), (None, "entirely other words about mountains, goats and the early snow of that year", "en", "a")]
+    texts += [(7, prose.format(1), "en", "a"), (7, "a second text of this id, on bread and salt and the price of both in the town", "en", "a"), (8, None, None, None), (9, "", "en", "a"), (10, "12 34", "en", "a")]
+    texts += [(i, f"{'wort ' * i}password = 'abcdefghijkl{i}' und noch etwas anderes {i}", "de", "b") for i in range(20, 24)]
+    docs = spark.createDataFrame([(0.5, d, t, lang, source, "s", "l", 1) for d, t, lang, source in texts], AWKWARD)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.materialise(stage(spark, now, sf_dir), name)
+        got = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=repr)
+        assert now.columns == docs.columns or name == "mix"
+        if name == "language":
+            assert len(got) == 9
+        if name == "near_dedup":
+            ids = [d for d, _ in got]
+            assert ids.count(None) == 2 and ids.count(7) == 1 and not any(d == 7 and t == prose.format(1) for d, t in got), "one of the copies stays, and other texts of its id"
+        if name == "secrets":
+            assert not any("abcdefghijkl" in t for _, t in got) and all("[SECRET]" in t for d, t in got if d and d >= 20)
+    assert now.columns == ["score", "doc_id", "text", "lang", "source", "__lang", *corpus_pipeline.ADDED]
+    assert all(0 < r["taken"] <= 3 * r["size"] for r in now.collect())
+
+
+def test_pipeline_on_empty_tables(spark, sf_dir):
+    for docs in (spark.createDataFrame([], AWKWARD), spark.createDataFrame([(None, 1, "some words here", None, None, None, None, None)] * 3, AWKWARD)):
+        for name, stage in corpus_pipeline.STAGES:
+            now = docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), name)
+        assert [r["text"] for r in now.collect()] in ([], ["some words here"])
