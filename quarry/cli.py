@@ -9,10 +9,12 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import answer, facets, retrieve
+from quarry import providers
+from quarry.functions.text import parse_file_filters
+from quarry.operators import answer, events, facets, inspect, retrieve
 from quarry.operators.ingest import KnowledgeBase
-from quarry.providers import HashEmbedder, HttpEmbedder, HttpLlm
 from quarry.settings import Settings
+from quarry.sources import pdf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,9 +30,30 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--top-k", type=int, default=0)
     query.add_argument("--file", default="")
     sub.add_parser("list")
+    look = sub.add_parser("inspect", help="chunks, or with --schema what the table holds")
+    look.add_argument("--doc")
+    look.add_argument("--contains", action="store_true")
+    look.add_argument("--chunk", type=int)
+    look.add_argument("--limit", type=int, default=20)
+    look.add_argument("--width", type=int, default=200)
+    look.add_argument("--schema", action="store_true")
     return p
 
 
+def inspected(kb: KnowledgeBase, args: argparse.Namespace) -> list[dict]:
+    """Rows to print: chunks that match, or the fields of the chunk table and its vectors."""
+    chunks = kb.chunks.read()
+    if args.schema:
+        fields = [{"field": name, "type": kind} for name, kind in inspect.payload_schema(chunks)]
+        return fields + [r.asDict() for r in inspect.vector_config(chunks).collect()]
+    where = F.lit(True)
+    if args.doc is not None:
+        where = where & inspect.matches_doc(F.col("doc_id"), args.doc, args.contains)
+    if args.chunk is not None:
+        where = where & inspect.matches_chunk(F.col("chunk_id"), args.chunk)
+    return [r.asDict() for r in inspect.show(chunks, where, args.limit, args.width).collect()]
+
+
 def kb_for_query(kb: KnowledgeBase, root: str | None, kb_id: str | None) -> str:
     if kb_id:
         return kb_id
@@ -40,36 +63,36 @@ def kb_for_query(kb: KnowledgeBase, root: str | None, kb_id: str | None) -> str:
     return row["kb_id"]
 
 
-def embedder(settings: Settings):
-    if settings.embedding_base_url:
-        return HttpEmbedder(settings.embedding_base_url, settings.embedding_model, settings.llm_api_key, settings.embedding_batch_size)
-    return HashEmbedder()
+def parsed_filters(spark: SparkSession, raw: str) -> list[str]:
+    return spark.range(1).select(parse_file_filters(F.lit(raw)).alias("f")).first()["f"]
 
 
 def ask(kb: KnowledgeBase, question: str, kb_ids: list[str], top_k: int = 0, file_filter: str = "") -> dict:
     """Search one or several knowledge bases, keep the files asked for, and answer from what is left."""
     if top_k < 0:
         raise ValueError("top_k must not be negative")
-    s = kb.settings
-    provider = embedder(s)
-    chunks = kb.chunks.read()
+    s, log = kb.settings, kb.events
+    chunks = kb.chunks.read(*kb_ids)
     k = top_k or s.top_k
     per = retrieve.share(k, len(kb_ids))
-    vector = provider([question])[0]
-    parts = [retrieve.hybrid(chunks, question, vector, name, s, per).withColumn("kb_id", F.lit(name)) for name in kb_ids]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    vector = kb.embedded(question)
+    found = retrieve.hybrid_each(chunks, question, vector, kb_ids, s, per, index=kb.index(*kb_ids)).cache()
     top = retrieve.across(found, kb_ids, k).join(chunks.drop("kb_id", "embedding"), "chunk_key")
-    filters = [x.strip() for x in file_filter.split(",") if x.strip()]
+    filters = parsed_filters(kb.spark, file_filter)
     hits = facets.filter_files(top.withColumn("rank", (F.col("kb_order") * 1_000_000 + F.col("rank")).cast("int")), filters).cache()
+    for name in kb_ids:
+        rows = [r.asDict() for r in found.where(F.col("kb_id") == name).orderBy("rank").collect()]
+        sides = {side: [r for r in rows if r[score] is not None] for side, score in (("vector", "dense_score"), ("bm25", "sparse_score"), ("merged", "score"))}
+        log.write([events.Retrieval(name, question, per, max(per, s.bm25_fetch_k), filters, sides)])
     records = None
     for name in kb_ids:
         one = kb.records(name).read()
         records = one if records is None else records.unionByName(one)
-    llm = HttpLlm(s.embedding_base_url, s.llm_model, s.llm_api_key) if s.llm_model and s.embedding_base_url else None
-    got = answer.answer(question, hits, llm, s.max_context_chars, records)
-    return {"answer": got.answer, "citations": got.citations, "context": got.context, "files": [tuple(r) for r in facets.facet_files(hits).collect()]}
+    model = providers.llm(s)
+    got = answer.answer(question, hits, model, s.max_context_chars, records)
+    if model and got.citations:
+        log.write([events.Generation(s.llm_model, question, got.answer, got.error)])
+    return {"answer": got.answer, "citations": got.citations, "context": got.context, "error": got.error, "files": [tuple(r) for r in facets.facet_files(hits).collect()]}
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -77,7 +100,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.appName("quarry").getOrCreate()
     kb = KnowledgeBase(spark, Settings.from_env())
     if args.command == "ingest":
-        print(kb.ingest(args.root, args.kb, embedder(kb.settings)))
+        print(kb.ingest(args.root, args.kb, providers.embedder(kb.settings), pdf=pdf.reader() if pdf.available() else None))
+    elif args.command == "inspect":
+        for row in inspected(kb, args):
+            print(json.dumps(row, default=str, ensure_ascii=False))
     elif args.command == "list":
         for row in facets.list_kbs(kb.paths.read(), kb.manifests.read(), kb.paths.read()).collect():
             print(json.dumps(row.asDict(), default=str, ensure_ascii=False))

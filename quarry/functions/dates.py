@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import strip
+from quarry.functions.text import bound, strip
 
 #: How dates are written. Groups: year, month, day; a year of two digits is in the 2000s.
 FULL = (r"(?U)(20\d{2})[./-](\d{1,2})[./-](\d{1,2})", r"(?U)(20\d{2})年(\d{1,2})月(\d{1,2})日", r"(?U)\b(\d{2})[/-](\d{1,2})[/-](\d{1,2})\b", r"(?U)\b(20\d{2})(\d{2})(\d{2})\b")
@@ -42,11 +42,9 @@ def _serials(text: Column) -> Column:
 
 def date_tokens(text: Column) -> Column:
     """The distinct tokens of all dates in a text, sorted; the calendar is not checked, and a bad day leaves the month."""
-    every = F.concat(*[_tokens(text, p, True) for p in FULL], *[_tokens(text, p, False) for p in MONTHS], _serials(text))
-    return F.array_sort(F.array_distinct(F.array_compact(every)))
+    return bound(text, lambda t: F.array_sort(F.array_distinct(F.array_compact(F.concat(*[_tokens(t, p, True) for p in FULL], *[_tokens(t, p, False) for p in MONTHS], _serials(t))))))
 
 
 def append_date_tokens(text: Column) -> Column:
-    tokens = date_tokens(text)
-    suffix = F.array_join(F.transform(tokens, lambda t: F.concat(F.lit("["), t, F.lit("]"))), " ")
-    return F.when(F.size(tokens) > 0, strip(F.concat(text, F.lit(" "), suffix))).otherwise(text)
+    suffix = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.concat(F.lit("["), t, F.lit("]"))), " ")
+    return bound(text, lambda x: bound(date_tokens(x), lambda tokens: F.when(F.size(tokens) > 0, strip(F.concat(x, F.lit(" "), suffix(tokens)))).otherwise(x)))

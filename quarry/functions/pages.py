@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import strip
+from quarry.functions.text import bound, strip
 
 #: The mark before each page's text.
 MARK = "=== Page "
@@ -54,12 +54,15 @@ def split_sections(text: Column) -> Column:
 
     A heading's line number is where its section starts, so sections are slices of the lines: linear in their number.
     """
-    lines = F.transform(F.split(text, _LINE_END, -1), strip)
+    return bound(F.transform(F.split(text, _LINE_END, -1), strip), _sections)
+
+
+def _sections(lines: Column) -> Column:
     first = F.coalesce(F.nullif(F.array_position(F.transform(lines, lambda x: x != ""), True), F.lit(0)), F.lit(1)).cast("int")
     starts = F.filter(F.transform(lines, lambda x, i: F.when((i + 1 > first) & is_heading(x), i + 1)), lambda i: i.isNotNull())
-    edges = F.concat(F.array(first), starts, F.array(F.size(lines) + 1))
-    cut = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(lines, F.element_at(edges, k), F.element_at(edges, k + 1) - F.element_at(edges, k)))
-    return F.filter(F.transform(cut, lambda part: strip(F.array_join(part, "\n"))), lambda s: s != "")
+    part = lambda edges: lambda k: F.slice(lines, F.element_at(edges, k), F.element_at(edges, k + 1) - F.element_at(edges, k))
+    cut = bound(F.concat(F.array(first), starts, F.array(F.size(lines) + 1)), lambda edges: F.transform(F.sequence(F.lit(1), F.size(edges) - 1), part(edges)))
+    return F.filter(F.transform(cut, lambda lines: strip(F.array_join(lines, "\n"))), lambda s: s != "")
 
 
 def split_windows(text: Column, size: int, overlap: int) -> Column:
@@ -67,5 +70,5 @@ def split_windows(text: Column, size: int, overlap: int) -> Column:
     if size <= 0:
         return F.array(text)
     step = max(1, size - max(0, overlap))
-    starts = F.sequence(F.lit(1), F.length(text), F.lit(step))
-    return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.length(t), F.lit(step)), lambda i: F.substring(t, i, F.lit(size)))
+    return bound(text, lambda t: F.when(F.length(t) > 0, cut(t)).otherwise(F.array().cast("array<string>")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ MONTH = r"(?U)(\d{1,2})月(?:份)?"
 FILTER_SPLIT = r"[,\n;，；|]+"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: the plan would copy it wherever it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")

@@ -58,17 +58,19 @@ class Answer:
     answer: str
     citations: list[dict] = field(default_factory=list)
     context: str = ""
+    error: str | None = None
 
 
 def answer(question: str, hits: DataFrame, llm: Callable[[str, str], str] | None, most: int = 12000, records: DataFrame | None = None, listing: DataFrame | None = None) -> Answer:
-    """hits: the few rows of one query. Without hits, without a model, or where it fails or says nothing, the fallback."""
+    """hits: the few rows of one query. Without hits, without a model, or where it says nothing, the fallback; where it fails, that and the error."""
     one = hits.withColumn("query_id", F.lit(0))
     cited = [r.asDict() for r in citations(one, records, listing).drop("query_id").orderBy("rank").collect()]
     if not cited:
         return Answer(FALLBACK)
     text = trimmed_context(one, most).first()["context"]
+    if llm is None:
+        return Answer(FALLBACK, cited, text)
     try:
-        said = (llm(question, text) if llm else "").strip()
-    except Exception:  # noqa: BLE001  a provider may fail in any way; the hits are still of use
-        said = ""
-    return Answer(said or FALLBACK, cited, text)
+        return Answer(llm(question, text).strip() or FALLBACK, cited, text)
+    except Exception as failure:  # noqa: BLE001  a provider may fail in any way; the hits are still of use, and the failure is told
+        return Answer(FALLBACK, cited, text, str(failure) or type(failure).__name__)

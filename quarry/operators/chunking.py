@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.dates import append_date_tokens
 from quarry.functions.pages import split_pages, split_sections, split_windows
-from quarry.functions.text import normalize, strip
+from quarry.functions.text import bound, normalize, strip
 
 
 def pages_to_documents(files: DataFrame, text: str = "text", marked: bool = False, force_page: bool = False) -> DataFrame:
@@ -35,8 +35,9 @@ def chunk(docs: DataFrame, size: int = 800, overlap: int = 100, key: tuple[str,
     shuffle numbers a file's chunks.
     """
     dated = F.when(wants_dates(F.col("source_type"), F.col("sheet"), F.col("row")), append_date_tokens(F.col("text"))).otherwise(F.col("text"))
-    pieces = F.when(is_table_row(F.col("sheet"), F.col("row")), F.array("text")).otherwise(F.flatten(F.transform(split_sections(F.col("text")), lambda s: split_windows(s, size, overlap))))
-    cut = docs.withColumn("text", dated).withColumn("__pieces", pieces).select("*", F.posexplode("__pieces").alias("__pos", "__piece"))
+    whole = is_table_row(F.col("sheet"), F.col("row"))
+    pieces = bound(dated, lambda t: F.when(whole, F.array(t)).otherwise(F.flatten(F.transform(split_sections(t), lambda s: split_windows(s, size, overlap)))))
+    cut = docs.withColumn("__pieces", pieces).select("*", F.posexplode("__pieces").alias("__pos", "__piece"))
     clean = cut.withColumn("text", strip(F.col("__piece"))).where(F.col("text") != "").drop("__pieces", "__piece")
     order = Window.partitionBy(*key).orderBy("doc_pos", "__pos")
     return clean.withColumn("chunk_id", (F.row_number().over(order) - 1).cast("int")).drop("__pos")

@@ -22,12 +22,15 @@ def _length(vector: list[float]) -> float:
     return math.sqrt(sum(float(x) ** 2 for x in vector))
 
 
-def search_one(chunks: DataFrame, vector: list[float], limit: int, key: str = "chunk_key", where: Column | None = None) -> DataFrame:
-    """The best `limit` rows for one vector; the filter stands below the limit, so a partitioned table is pruned by it."""
+def search_one(chunks: DataFrame, vector: list[float], limit: int, key: str = "chunk_key", where: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best `limit` rows (of each group) for one vector; the filter stands below the limit, so a partitioned table is pruned by it."""
     rows = chunks if where is None else chunks.where(where)
     score = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]), F.lit(_length(vector)))
     scored = rows.select(*[c for c in rows.columns if c != "embedding"], F.coalesce(score, F.lit(0.0)).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(limit)
+    if not by:
+        return scored.orderBy(F.desc("score"), key).limit(limit)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), key)
+    return scored.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= limit).drop("__nth")
 
 
 def search(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_key", block: int = 256) -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
 from quarry.operators import bm25, chunking, manifest, store
-from quarry.providers import Embedder, embed
+from quarry.operators.events import Embedding, EventLog
+from quarry.providers import Embedder, embed, embedder
 from quarry.settings import Settings
-from quarry.sources import files
+from quarry.sources import files, ocr
 
 
 @dataclass
@@ -23,12 +24,12 @@ class KnowledgeBase:
     spark: SparkSession
     settings: Settings
 
-    def table(self, name: str, schema: str, partition_by: tuple[str, ...] = ()) -> store.Table:
-        return store.Table(self.spark, self.settings.path("tables", name), schema, partition_by)
+    def table(self, name: str, schema: str = "") -> store.Table:
+        return store.Table(self.spark, self.settings.path("tables", name), schema)
 
     @property
     def chunks(self) -> store.Table:
-        return self.table("chunks", schemas.CHUNK, ("kb_id",))
+        return self.table("chunks", schemas.CHUNK)
 
     @property
     def paths(self) -> store.Table:
@@ -48,8 +49,25 @@ class KnowledgeBase:
     def texts(self, kb_id: str) -> store.Table:
         return self.table(f"processed/{kb_id}", "abs_path string, text string")
 
-    def index_path(self) -> str:
-        return self.settings.path("tables", "bm25")
+    def index(self, *kb_ids: str) -> bm25.Index | None:
+        """The stored index of the knowledge bases; None before the first sync of them all."""
+        folders = self.table("bm25").folders(*kb_ids)
+        return bm25.Index.read(self.spark, folders, self.settings.bm25_k1, self.settings.bm25_b) if folders and len(folders) >= len(kb_ids) else None
+
+    @property
+    def events(self) -> EventLog:
+        return EventLog(self.spark, self.settings.path("tables", "events"), self.settings)
+
+    def embedded(self, question: str) -> list[float]:
+        """The question's vector, from the provider that the settings name."""
+        told = Embedding("query", self.settings.embedding_provider, self.settings.embedding_model, 1)
+        try:
+            found = embedder(self.settings)([question])[0]
+        except Exception as failure:
+            self.events.write([replace(told, error=str(failure))])
+            raise
+        self.events.write([told])
+        return found
 
     def resolve(self, root: str, kb_id: str | None = None) -> str:
         """The knowledge base of a root; a new root is bound to a new one, or to the one named."""
@@ -72,36 +90,45 @@ class KnowledgeBase:
         todo = planned.where("action = 'parse'").select("abs_path")
 
         source = files.files(self.spark, root).withColumn("abs_path", F.regexp_replace("path", r"^file:/+", "/")).join(todo, "abs_path", "left_semi").select("path", "content")
-        docs = files.documents(source, make_ocr, pdf, doc).cache()
+        docs = files.documents(source, make_ocr or ocr.from_settings(self.settings), pdf, doc, ocr.retry_from_settings(self.settings)).cache()
         rel = listing.select("abs_path", F.col("rel_path").alias("doc_id"))
         good = docs.where(F.col("error").isNull()).join(rel, "abs_path")
         cut = chunking.chunk(good, self.settings.chunk_size, self.settings.chunk_overlap)
         shaped = store.keyed(cut.withColumns({"kb_id": F.lit(kb), "root": F.lit(root), "source": F.col("abs_path"), "embedding": F.lit(None).cast("array<float>")}))
-        shaped = (embed(shaped, provider) if provider else shaped).cache()
+        # Written before it is used, so that no lost executor calls the provider again.
+        fresh = self.table(f"fresh/{kb}", schemas.CHUNK)
+        fresh.write(embed(shaped, provider) if provider else shaped)
+        shaped = fresh.read()
+        if provider:
+            store.check_dimension(self.chunks.read(kb).select("embedding").unionByName(shaped.select("embedding")))
+            counts = shaped.groupBy("doc_id").count().orderBy("doc_id").collect()
+            self.events.write([Embedding("documents", self.settings.embedding_provider, self.settings.embedding_model, sum(r["count"] for r in counts), [r["doc_id"] for r in counts])])
 
         per_file = docs.groupBy("abs_path").agg(F.max("error").alias("failed"), F.count_if(F.col("error").isNull()).alias("documents"))
         per_file = per_file.join(shaped.groupBy(F.col("source").alias("abs_path")).agg(F.count("*").alias("chunks")), "abs_path", "left")
         outcome = todo.join(per_file, "abs_path", "left").select("abs_path", manifest.classify(F.col("failed"), F.col("documents"), F.col("chunks")).alias("error")).cache()
 
         done = outcome.where(F.col("error").isNull()).join(rel, "abs_path").select(F.lit(kb).alias("kb_id"), F.lit(root).alias("root"), "doc_id")
-        before = self.chunks.read()
-        self.chunks.write(store.delete_docs(before, done).unionByName(shaped.select(*before.columns)))
+        before = self.chunks.read(kb)
+        self.chunks.write(store.delete_docs(before, done).unionByName(shaped.select(*before.columns)), kb)
         texts = self.texts(kb)
         was = texts.read()
         texts.write(was.join(todo, "abs_path", "left_anti").unionByName(files.full_texts(docs)))
         self.records(kb).write(manifest.records_after(planned, outcome, old, listing, root))
-        self.reports.write(self.reports.read().unionByName(manifest.report(planned, outcome, run_id, kb, root)))
+        self.reports.append(manifest.report(planned, outcome, run_id, kb, root), run_id)
         self._index(kb)
-        for cached in (listing, planned, docs, shaped, outcome):
+        for cached in (listing, planned, docs, outcome):
             cached.unpersist()
+        fresh.drop()
         return run_id
 
     def _index(self, kb: str) -> None:
-        now = self.chunks.read()
-        bm25.build(now, k1=self.settings.bm25_k1, b=self.settings.bm25_b, most=self.settings.bm25_max_doc_tokens).write(self.index_path())
-        row = manifest.doc_count(self.records(kb).read()).crossJoin(now.where(F.col("kb_id") == kb).agg(F.count("*").alias("chunk_count")))
+        now = self.chunks.read(kb)
+        index = bm25.build(now, k1=self.settings.bm25_k1, b=self.settings.bm25_b, most=self.settings.bm25_max_doc_tokens)
+        self.table("bm25").publish(index.write, kb)
+        row = manifest.doc_count(self.records(kb).read()).crossJoin(now.agg(F.count("*").alias("chunk_count")))
         row = row.select(F.lit(kb).alias("kb_id"), F.lit(self.settings.embedding_model).alias("embedding_model"), F.lit(self.settings.chunk_size).alias("chunk_size"), F.lit(self.settings.chunk_overlap).alias("chunk_overlap"), "doc_count", "chunk_count", F.current_timestamp().alias("updated_at"))
-        self.manifests.write(self.manifests.read().where(F.col("kb_id") != kb).unionByName(row))
+        self.manifests.write(row, kb)
 
     def report(self, run_id: str) -> DataFrame:
-        return manifest.nested_report(self.reports.read().where(F.col("run_id") == run_id))
+        return manifest.nested_report(self.reports.read(run_id))

@@ -39,14 +39,14 @@ def lookup(chunks: DataFrame, keys: list, key: str = "chunk_key") -> DataFrame:
     return chunks.where(F.col(key).isin(keys))
 
 
-def show(chunks: DataFrame, where: Column | None = None, limit: int = 20, width: int = 200) -> DataFrame:
-    """Rows with a label, their metadata on one line, and their text cut for display."""
+def show(chunks: DataFrame, where: Column | None = None, limit: int | None = 20, width: int = 200) -> DataFrame:
+    """Rows (so many, or all) with a label, their metadata on one line, and their text cut for display."""
     rows = chunks if where is None else chunks.where(where)
     names = [c for c in ("kb_id", "doc_id", "chunk_id", "source_type", "page", "sheet", "row") if c in chunks.columns]
     meta = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in names])
     text = F.when(F.length("text") > width, F.concat(F.substring("text", 1, width), F.lit("..."))).otherwise(F.col("text"))
     page = F.col("page") if "page" in chunks.columns else F.lit(None).cast("int")
-    return rows.limit(limit).select(format_source(F.col("source"), page).alias("label"), meta.alias("meta"), text.alias("text"))
+    return (rows if limit is None else rows.limit(limit)).select(format_source(F.col("source"), page).alias("label"), meta.alias("meta"), text.alias("text"))
 
 
 def json_types(rows: DataFrame, column: str, sample: int | None = None) -> DataFrame:

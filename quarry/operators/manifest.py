@@ -122,27 +122,43 @@ def resolve_kb_ids(roots: DataFrame, bindings: DataFrame) -> DataFrame:
     taken = bindings.select("kb_id").distinct()
     for name in ("base", "short", "long"):
         named = named.join(taken.select(F.col("kb_id").alias(name), F.lit(True).alias(f"{name}_taken")), name, "left")
-    numbered = taken.select(F.col("kb_id").alias("other"))
+    # Of names that begin with the long one, how many there are: the long name is all of theirs but the number, so they meet by equality.
+    numbered = taken.select(F.regexp_extract("kb_id", r"^(.*)_[^_]*$", 1).alias("long")).groupBy("long").agg(F.count("*").alias("n"))
     free = F.when(F.col("base_taken").isNull(), F.col("base")).when(F.col("short_taken").isNull(), F.col("short")).when(F.col("long_taken").isNull(), F.concat_ws("_", "long", F.lit("2")))
-    counted = named.join(numbered, F.col("other").startswith(F.concat(F.col("long"), F.lit("_"))), "left").groupBy("root", "wanted", "bound", "base", "short", "long", "base_taken", "short_taken", "long_taken").agg(F.count("other").alias("n"))
-    last = F.concat_ws("_", "long", (F.col("n") + 2).cast("string"))
+    counted = named.join(numbered, "long", "left")
+    last = F.concat_ws("_", "long", (F.coalesce("n", F.lit(0)) + 2).cast("string"))
     return counted.select("root", F.coalesce("wanted", "bound", free, last).alias("kb_id"))
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """One digest over (rel, mtime, size) of all files in the order of rel; empty without files."""
+def fingerprint(files: DataFrame, *by: str) -> DataFrame:
+    """One digest over (rel, mtime, size) of all files of a group in the order of rel; of no group, empty without files.
+
+    The digest needs a group's names in one place: one line a file, which for a folder of a million files is some 100 MB.
+    """
     line = F.concat_ws(":", "rel", F.col("mtime").cast("string"), F.col("size").cast("string"))
     listed = F.array_sort(F.collect_list(F.struct("rel", line.alias("line"))))
     joined = F.array_join(F.transform(listed, lambda x: x["line"]), "\n")
-    return files.agg(F.when(F.count("*") > 0, F.sha2(joined.cast("binary"), 256)).otherwise("").alias("fingerprint"))
+    return files.groupBy(*by).agg(F.when(F.count("*") > 0, F.sha2(joined.cast("binary"), 256)).otherwise("").alias("fingerprint"))
 
 
-def manifest_matches(stored: DataFrame, expected: dict) -> DataFrame:
-    """Whether a stored manifest has all expected values; False without one."""
+def manifest_matches(stored: DataFrame, expected: dict, *by: str) -> DataFrame:
+    """Whether all stored manifests (of a group) have all expected values; False without one."""
     same = F.lit(True)
     for name, value in expected.items():
         same = same & (F.col(name).eqNullSafe(F.lit(value)) if name in stored.columns else F.lit(False))
-    return stored.agg(F.coalesce(F.bool_and(same), F.lit(False)).alias("matches"))
+    return stored.groupBy(*by).agg(F.coalesce(F.bool_and(same), F.lit(False)).alias("matches"))
+
+
+def index_manifest(files: DataFrame, embedding_model: str, chunk_size: int, chunk_overlap: int) -> DataFrame:
+    """(fingerprint, embedding_model, chunk_size, chunk_overlap): what an index was made of."""
+    return fingerprint(files).select("fingerprint", F.lit(embedding_model).alias("embedding_model"), F.lit(chunk_size).alias("chunk_size"), F.lit(chunk_overlap).alias("chunk_overlap"))
+
+
+def coerced_manifests(raw: DataFrame) -> DataFrame:
+    """Index manifests read from loose JSON: every field with its type, and text or nothing where it does not fit."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    number = lambda c, kind: F.coalesce(F.try_to_number(F.col(c).cast("string"), F.lit("9999999999999999999")).cast(kind), F.lit(0).cast(kind)).alias(c)
+    return raw.select(text("kb_id"), text("embedding_model"), number("chunk_size", "int"), number("chunk_overlap", "int"), number("doc_count", "bigint"), number("chunk_count", "bigint"), text("updated_at"))
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:

@@ -9,27 +9,38 @@ from quarry.operators import bm25, dense, fusion
 from quarry.settings import Settings
 
 
-def hybrid(chunks: DataFrame, question: str, vector: list[float], kb_id: str | None = None, settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key") -> DataFrame:
+def hybrid(chunks: DataFrame, question: str, vector: list[float], kb_id: str | None = None, settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: bm25.Index | None = None) -> DataFrame:
     """The top k chunks for one question: (key, dense_score, sparse_score, score, rank).
 
     chunks: kb_id, key, text, embedding (null: none). Both sides fetch max(k, bm25_fetch_k) rows. With BM25 off, or without a sparse hit,
-    the dense order stands.
+    the dense order stands. With a stored index, the sparse side reads postings and no texts.
     """
-    settings = settings or Settings()
+    mine = chunks if kb_id is None else chunks.where(F.col("kb_id") == kb_id)
+    return _hybrid(mine, question, vector, settings or Settings(), top_k, key, index, ())
+
+
+def hybrid_each(chunks: DataFrame, question: str, vector: list[float], kb_ids: list[str], settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: bm25.Index | None = None) -> DataFrame:
+    """The top k chunks of each of several knowledge bases, with kb_id: as hybrid for each, in one pass over the tables."""
+    return _hybrid(chunks.where(F.col("kb_id").isin(kb_ids)), question, vector, settings or Settings(), top_k, key, index, ("kb_id",))
+
+
+def _hybrid(mine: DataFrame, question: str, vector: list[float], settings: Settings, top_k: int | None, key: str, index: bm25.Index | None, by: tuple[str, ...]) -> DataFrame:
     question = question.strip()
     k = top_k or settings.top_k
-    mine = chunks if kb_id is None else chunks.where(F.col("kb_id") == kb_id)
     if not question:
         mine = mine.limit(0)
     fetch = max(k, settings.bm25_fetch_k)
-    near = dense.search_one(mine.where(F.col("embedding").isNotNull()), vector, fetch, key).select(key, "score")
+    near = dense.search_one(mine.where(F.col("embedding").isNotNull()), vector, fetch, key, by=by).select(*by, key, "score")
     if not settings.bm25_enabled:
-        order = Window.partitionBy().orderBy(F.desc("score"), key)
-        plain = near.select(key, F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score"), "score")
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), key)
+        plain = near.select(*by, key, F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score"), "score")
         return plain.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    words = bm25.search_one(mine, question, fetch, key, settings.bm25_k1, settings.bm25_b, settings.bm25_max_doc_tokens, settings.bm25_max_query_tokens)
-    merged = fusion.merge(near, words.select(F.col("chunk_key").alias(key), "score"), [key])
-    return fuse_or_dense(merged, key, k, settings.alpha)
+    if index is None or not question:
+        words = bm25.search_one(mine, question, fetch, key, settings.bm25_k1, settings.bm25_b, settings.bm25_max_doc_tokens, settings.bm25_max_query_tokens, bool(by))
+    else:
+        words = bm25.search_index(index, question, fetch, bool(by), settings.bm25_max_query_tokens)
+    merged = fusion.merge(near, words.select(*by, F.col("chunk_key").alias(key), "score"), [*by, key])
+    return fuse_or_dense(merged, key, k, settings.alpha, by)
 
 
 def fuse_or_dense(merged: DataFrame, key: str, k: int, alpha: float, by: tuple[str, ...] = ()) -> DataFrame:

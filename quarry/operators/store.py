@@ -1,15 +1,19 @@
-"""Tables on disk: versioned folders behind a pointer, so that a table is never overwritten while a plan reads it."""
+"""Tables on disk: versioned folders behind numbered pointers, so that nothing is overwritten while a plan reads it, and there is always a pointer."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import chunk_key
 
+#: Pointers that stay, and with them the folders that they name: plans that were made before a write can still end.
+KEPT = 3
+
 
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -17,41 +21,75 @@ def _fs(spark: SparkSession, path: str):
 
 
 class Table:
-    """A Parquet table with versions; readers follow the pointer, which is replaced once a version is complete."""
+    """A Parquet table of folders; readers follow the newest pointer, which lists the folders of every key.
+
+    A key's rows are replaced, or added to, without touching those of other keys. A write makes its folder, then the next pointer, by renaming
+    a finished file to a name that is not taken: a writer that dies leaves the old pointer, and of two at once one fails and can go again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str = ""):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, partition_by: tuple[str, ...] = ()):
-        self.spark, self.path, self.schema, self.partition_by = spark, path.rstrip("/"), schema, partition_by
+    def _pointers(self) -> list[tuple[int, str]]:
+        where, fs = _fs(self.spark, f"{self.path}/pointer-*.json")
+        found = [str(s.getPath().getName()) for s in fs.globStatus(where) or ()]
+        return sorted((int(n.removeprefix("pointer-").removesuffix(".json")), n) for n in found)
 
-    def _pointer(self) -> str | None:
-        where, fs = _fs(self.spark, f"{self.path}/current.json")
-        if not fs.exists(where):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/current.json").collect()))["version"]
+    def _folders(self, name: str) -> dict[str, list[str]]:
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/{name}").collect()))
+
+    def folders(self, *keys: str) -> list[str]:
+        """The paths of all folders, or of the keys'."""
+        pointers = self._pointers()
+        held = self._folders(pointers[-1][1]) if pointers else {}
+        return [f"{self.path}/{f}" for k, some in sorted(held.items()) if not keys or k in keys for f in some]
 
     def exists(self) -> bool:
-        return self._pointer() is not None
+        return bool(self._pointers())
 
-    def read(self) -> DataFrame:
-        """The current version; an empty table if there is none."""
-        version = self._pointer()
+    def read(self, *keys: str) -> DataFrame:
+        """All rows, or those of the keys; an empty table if there are none."""
         empty = self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(empty.schema).parquet(f"{self.path}/{version}") if version else empty
+        folders = self.folders(*keys)
+        return self.spark.read.schema(empty.schema).parquet(*folders) if folders else empty
+
+    def write(self, rows: DataFrame, key: str = "") -> None:
+        """The rows in place of the key's; a table that is written without keys is replaced as a whole."""
+        self.publish(self._writer(rows), key)
+
+    def append(self, rows: DataFrame, key: str = "") -> None:
+        self.publish(self._writer(rows), key, add=True)
 
-    def write(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
+    def _writer(self, rows: DataFrame) -> Callable[[str], None]:
         wanted = self.spark.createDataFrame([], self.schema).columns
-        writer = rows.select(*wanted).write
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.path}/{version}")
-        where, fs = _fs(self.spark, f"{self.path}/current.{version}.json")
-        out = fs.create(where, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        return lambda folder: rows.select(*wanted).write.parquet(folder)
+
+    def publish(self, write: Callable[[str], None], key: str = "", add: bool = False) -> None:
+        """Let `write` fill a new folder, and point to it."""
+        folder = f"v-{uuid.uuid4().hex}"
+        write(f"{self.path}/{folder}")
+        pointers = self._pointers()
+        held = self._folders(pointers[-1][1]) if pointers else {}
+        held[key] = [*(held.get(key, ()) if add else ()), folder]
+        number = pointers[-1][0] + 1 if pointers else 0
+        draft, fs = _fs(self.spark, f"{self.path}/draft-{folder}.json")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(held).encode()))
         out.close()
-        target, _ = _fs(self.spark, f"{self.path}/current.json")
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(where, target)
+        target, _ = _fs(self.spark, f"{self.path}/pointer-{number:012d}.json")
+        if fs.exists(target) or not fs.rename(draft, target):
+            raise RuntimeError(f"{self.path} was written by someone else; read it again")
+        self._sweep(pointers, held)
+
+    def _sweep(self, pointers: list[tuple[int, str]], held: dict[str, list[str]]) -> None:
+        """Delete pointers older than those that stay, and folders that only they name."""
+        old, stay = pointers[: max(0, len(pointers) + 1 - KEPT)], pointers[max(0, len(pointers) + 1 - KEPT) :]
+        used = {f for folders in [held, *(self._folders(n) for _, n in stay)] for some in folders.values() for f in some}
+        for _, name in old:
+            gone = {f for some in self._folders(name).values() for f in some} - used
+            for one in (*gone, name):
+                where, fs = _fs(self.spark, f"{self.path}/{one}")
+                fs.delete(where, True)
 
     def drop(self) -> None:
         where, fs = _fs(self.spark, self.path)

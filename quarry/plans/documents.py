@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, inspect, store
 from quarry.plans.registry import query, table
-from quarry.plans.texts import _SECTIONS_CTE, lined, source_path, whole
+from quarry.plans.texts import _SECTIONS_CTE, lined, source_path
+from quarry.sources import office
 
 
 _CHUNK_IDS = """
@@ -22,29 +24,12 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lined_chunks(lined(spark, sf_dir))
 
 
-@query(whole(_SECTIONS_CTE, 200) + _CHUNK_IDS)
-def chunk_ids_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lined_chunks(lined(spark, sf_dir, None))
-
-
 def lined_chunks(made: DataFrame) -> DataFrame:
     none = F.lit(None)
     docs = made.select("doc_id", F.lit(0).alias("doc_pos"), F.col("t").alias("text"), F.lit("txt").alias("source_type"), none.cast("string").alias("sheet"), none.cast("int").alias("row"))
     return chunking.chunk(docs, 60, 10).select("doc_id", "chunk_id", "text")
 
 
-@query(
-    """
-WITH r AS (SELECT o_orderkey, o_custkey, concat(o_orderkey, chr(9), o_orderpriority, chr(9), strftime(o_orderdate, '%Y-%m-%d')) AS t, strftime(o_orderdate, '%Y-%m') AS ym, strftime(o_orderdate, '%Y-%m-%d') AS ymd, o_orderdate FROM orders WHERE year(o_orderdate) >= 2000),
-z AS (SELECT o_custkey, o_orderkey, concat(t, ' [DATE=', ym, '] [DATE=', ymd, ']') AS text FROM r)
-SELECT concat('cust_', o_custkey, '.xlsx') AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS chunk_id, text FROM z
-"""
-)
-def chunk_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders from 2000 on as spreadsheet rows: each is one chunk and gets its date tokens. chunk_table_rows_whole takes all orders."""
-    return order_chunks(table(spark, sf_dir, "orders").where(F.year("o_orderdate") >= 2000))
-
-
 def order_chunks(orders: DataFrame) -> DataFrame:
     text = F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd"))
     docs = orders.select(F.concat(F.lit("cust_"), F.col("o_custkey").cast("string"), F.lit(".xlsx")).alias("doc_id"), F.col("o_orderkey").alias("doc_pos"), text.alias("text"), F.lit("xlsx").alias("source_type"), F.lit("s").alias("sheet"), F.col("o_orderkey").cast("int").alias("row"))
@@ -60,7 +45,7 @@ z AS (SELECT *, CASE WHEN len(dates) > 0 THEN concat(t, ' ', array_to_string(lis
 SELECT concat('cust_', o_custkey, '.xlsx') AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o) - 1 AS INTEGER) AS chunk_id, text FROM z
 """
 )
-def chunk_table_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as spreadsheet rows. Dates before 2000 get no token; order numbers that read as serial days or months get theirs."""
     return order_chunks(table(spark, sf_dir, "orders"))
 
@@ -72,12 +57,18 @@ SELECT CAST(s_nationkey AS INTEGER) AS sheet, s_suppkey AS row, s_suppkey = firs
 """
 )
 def excel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as rows of one sheet for each nation: the first row of a sheet is its header, and a sheet is announced where it begins."""
-    rows = table(spark, sf_dir, "supplier")
-    sheet = Window.partitionBy("s_nationkey")
-    line = F.concat_ws("\t", F.col("s_suppkey").cast("string"), F.col("s_name"))
-    first = F.min("s_suppkey").over(sheet) == F.col("s_suppkey")
-    return rows.select(F.col("s_nationkey").alias("sheet"), F.col("s_suppkey").alias("row"), first.alias("is_header"), F.when(first, F.concat(F.lit("[Sheet: "), F.col("s_nationkey").cast("string"), F.lit("]\n"), line)).otherwise(line).alias("text"))
+    """Suppliers as a workbook with one sheet for each nation, through the reader's own shaping: the first row of a sheet is its header, and a sheet is announced where it begins."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("sheet"), F.col("s_suppkey").cast("long").alias("row"), F.array(F.col("s_suppkey").cast("string"), "s_name").alias("cells"))
+
+    def shape(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+        name = str(key[0].as_py())
+        ordered = found.sort_by("row")
+        shaped = list(office.shaped_rows(name, zip(ordered.column("row").to_pylist(), ordered.column("cells").to_pylist(), strict=True)))
+        texts = office.rows_to_text(shaped).split("\n")
+        lines = ["\n".join(texts[:2]), *texts[2:]]
+        return pa.table({"sheet": pa.array([int(name)] * len(shaped), pa.int32()), "row": pa.array([r["row"] for r in shaped], pa.int64()), "is_header": [r["is_header"] for r in shaped], "text": lines})
+
+    return rows.groupBy("sheet").applyInArrow(shape, "sheet int, row bigint, is_header boolean, text string")
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +114,7 @@ SELECT concat(regexp_extract(source, '[^/]+$'), coalesce('#p' || page, '')) AS l
 """
 )
 def inspect_show(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inspect.show(chunk_table(spark, sf_dir), limit=1 << 30, width=80)
+    return inspect.show(chunk_table(spark, sf_dir), limit=None, width=80)
 
 
 @query(

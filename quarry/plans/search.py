@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import answer, bm25, dense, facets, fusion, retrieve
 from quarry.plans.registry import query, table
-from quarry.plans.texts import source_path, start, tokens_sql, whole
+from quarry.plans.texts import source_path, tokens_sql
 from quarry.settings import Settings
 
 
@@ -197,23 +197,20 @@ SELECT kb_id, chunk_key, rank, score FROM (SELECT kb_id, k AS chunk_key, CAST(ra
 def multi_kb_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked_, near = with_vectors(spark, sf_dir, None), question(spark, sf_dir, 1), vector(spark, sf_dir)
     per = retrieve.share(10, len(KBS))
-    settings = Settings()
-    parts = [retrieve.hybrid(rows, asked_, near, name, settings, per).withColumn("kb_id", F.lit(name)) for name in KBS]
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return retrieve.across(found, KBS, 10).select("kb_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+    return retrieve.across(retrieve.hybrid_each(rows, asked_, near, KBS, Settings(), per), KBS, 10).select("kb_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
 
 
-def hits(spark: SparkSession, sf_dir: str, most: int | None = 150) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked hits: a query is a language, rank goes by document number, pages by threes, several documents share a file."""
     docs = table(spark, sf_dir, "documents")
     order = Window.partitionBy("lang").orderBy("doc_id")
     file = F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("/kb/"), F.col("source"), F.lit("/doc_"), (F.col("doc_id") % 40).cast("string"), F.lit(".txt")))
-    return docs.select(F.col("lang").alias("query_id"), F.row_number().over(order).alias("rank"), file.alias("source"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 2).cast("int")).alias("page"), F.col("doc_id").cast("string").alias("doc_id"), start(most).alias("text"))
+    return docs.select(F.col("lang").alias("query_id"), F.row_number().over(order).alias("rank"), file.alias("source"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 2).cast("int")).alias("page"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
 HITS_SQL = """
 h AS (SELECT lang AS query_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, CASE WHEN doc_id % 11 <> 0 THEN concat('/kb/', source, '/doc_', doc_id % 40, '.txt') END AS source,
-    CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 2 AS INTEGER) END AS page, CAST(doc_id AS VARCHAR) AS doc_id, substring(text, 1, 150) AS text FROM documents),
+    CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 2 AS INTEGER) END AS page, CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents),
 b AS (SELECT *, concat('[', coalesce(regexp_extract(source, '[^/]+$'), 'unknown'), coalesce('#p' || page, ''), ']', chr(10), text) AS block FROM h)
 """
 
@@ -223,33 +220,23 @@ def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.context(hits(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context"))
 
 
-@query(f"WITH {HITS_SQL}, u AS (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b) SELECT query_id, regexp_replace(string_agg(block || chr(10), chr(10) ORDER BY rank), '^\\s+|\\s+$', '', 'g') AS context FROM u WHERE used <= 1200 GROUP BY query_id")
+@query(f"WITH {HITS_SQL}, u AS (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b) SELECT query_id, coalesce(regexp_replace(string_agg(block || chr(10), chr(10) ORDER BY rank) FILTER (WHERE used <= 1200), '^\\s+|\\s+$', '', 'g'), '') AS context FROM u GROUP BY query_id")
 def trim_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.trimmed_context(hits(spark, sf_dir), 1200)
-
-
-@query(f"WITH {whole(HITS_SQL, 150)} SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS context FROM b GROUP BY query_id")
-def format_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.context(hits(spark, sf_dir, None)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context"))
-
-
-@query(f"WITH {whole(HITS_SQL, 150)}, u AS (SELECT *, sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b) SELECT query_id, coalesce(regexp_replace(string_agg(block || chr(10), chr(10) ORDER BY rank) FILTER (WHERE used <= 1200), '^\\s+|\\s+$', '', 'g'), '') AS context FROM u GROUP BY query_id")
-def trim_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of whole texts; a query whose first block alone is too long has an empty context."""
-    return answer.trimmed_context(hits(spark, sf_dir, None), 1200)
+    return answer.trimmed_context(hits(spark, sf_dir), 1200)
 
 
 @query(
     f"""
 WITH {HITS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, page ORDER BY rank) AS nth FROM h),
-rec AS (SELECT DISTINCT concat('/kb/', source, '/doc_', doc_id, '.txt') AS p, doc_id % 5 = 0 AS gone FROM documents WHERE doc_id < 40),
+rec AS (SELECT DISTINCT concat('/kb/', source, '/doc_', doc_id, '.txt') AS p, doc_id % 5 = 0 AS gone FROM documents),
 lst AS (SELECT concat('/kb/', source, '/doc_', doc_id % 40, '.txt') AS p FROM documents GROUP BY ALL)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, o.source, page, doc_id, coalesce(gone, false) OR lst.p IS NULL AS source_deleted FROM o LEFT JOIN rec ON rec.p = o.source LEFT JOIN lst ON lst.p = o.source WHERE nth = 1
 """
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    records = docs.where("doc_id < 40").select(source_path().alias("abs_path"), F.lit(False).alias("source_deleted"), F.when(F.col("doc_id") % 5 == 0, "deleted").otherwise("indexed").alias("status"))
+    records = docs.select(source_path().alias("abs_path"), F.lit(False).alias("source_deleted"), F.when(F.col("doc_id") % 5 == 0, "deleted").otherwise("indexed").alias("status"))
     listed = docs.select(F.concat(F.lit("/kb/"), F.col("source"), F.lit("/doc_"), (F.col("doc_id") % 40).cast("string"), F.lit(".txt")).alias("abs_path")).distinct()
     return answer.citations(hits(spark, sf_dir), records, listed)
 

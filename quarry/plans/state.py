@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import facets, manifest, store
 from quarry.plans.registry import query, table
 from quarry.plans.texts import source_path
+from quarry.sources import files
 
 #: A listing and older records made from documents: some files are new, changed, touched, gone, or of a kind that is not read.
 _STATE = """
@@ -38,8 +39,11 @@ def suffix_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS hash, regexp_replace(concat(source, '/doc_', doc_id, '.pdf'), '\\.[^./]+$', '.txt') AS legacy, concat(source, '/doc_', doc_id, '.pdf.txt') AS processed FROM documents")
 def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rel = F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), store.legacy_path(rel).alias("legacy"), store.processed_path(rel).alias("processed"))
+    """Documents as files of a folder, through the listing."""
+    path = F.concat(F.lit("file:///kb/"), F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    held = table(spark, sf_dir, "documents").select(path.alias("path"), F.timestamp_seconds(F.lit(0)).alias("modificationTime"), F.octet_length("text").cast("bigint").alias("length"), F.col("text").cast("binary").alias("content"))
+    found = files.listed(held, "/kb")
+    return found.select(F.regexp_extract("rel_path", r"doc_(\d+)", 1).cast("bigint").alias("doc_id"), "hash", store.legacy_path(F.col("rel_path")).alias("legacy"), store.processed_path(F.col("rel_path")).alias("processed"))
 
 
 @query(f"WITH {_STATE} SELECT abs_path, action, CASE action WHEN 'deleted' THEN 'source_missing' WHEN 'unsupported' THEN 'unsupported' WHEN 'unchanged' THEN 'unchanged' END AS reason, old_status FROM p")
@@ -100,16 +104,16 @@ def upsert_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(chunk_rows(spark, sf_dir), fresh)
 
 
-@query("SELECT source AS kb_id, sha256(string_agg(concat_ws(':', concat('doc_', doc_id, '.txt'), n_chars, length(text)), chr(10) ORDER BY concat('doc_', doc_id, '.txt'))) AS fingerprint FROM documents WHERE source = 'src1' GROUP BY source")
+@query("SELECT source AS kb_id, sha256(string_agg(concat_ws(':', concat('doc_', doc_id, '.txt'), n_chars, length(text)), chr(10) ORDER BY concat('doc_', doc_id, '.txt'))) AS fingerprint FROM documents GROUP BY source")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.col("n_chars").alias("mtime"), F.length("text").alias("size"))
-    return manifest.fingerprint(files).select(F.lit("src1").alias("kb_id"), "fingerprint")
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("kb_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.col("n_chars").alias("mtime"), F.length("text").alias("size"))
+    return manifest.fingerprint(files, "kb_id")
 
 
-@query("SELECT source, bool_and(n_chars IS NOT DISTINCT FROM length(text)) AS matches FROM documents WHERE source = 'src2' GROUP BY source UNION ALL SELECT 'none', false")
+@query("SELECT source, bool_and(n_chars IS NOT DISTINCT FROM length(text)) AS matches FROM documents GROUP BY source UNION ALL SELECT 'none', false")
 def manifest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("source = 'src2'").withColumn("same", F.col("n_chars") == F.length("text"))
-    there = manifest.manifest_matches(rows, {"same": True, "source": "src2"}).select(F.lit("src2").alias("source"), "matches")
+    rows = table(spark, sf_dir, "documents").withColumn("same", F.col("n_chars") == F.length("text"))
+    there = manifest.manifest_matches(rows, {"same": True}, "source")
     return there.unionByName(manifest.manifest_matches(rows.limit(0), {"same": True}).select(F.lit("none").alias("source"), "matches"))
 
 

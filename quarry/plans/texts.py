@@ -50,13 +50,8 @@ def bm25_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("k").alias("n_tokens"), F.md5(joined(F.col("k")).cast("binary")).alias("tokens"))
 
 
-@query(f"SELECT doc_id, array_to_string({first_seen_sql(grams_sql('substring(t, 1, 300)', 5))}, ' ') AS grams FROM {MIXED_SQL}")
-def cjk_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir).select("doc_id", joined(text.cjk_ngrams(F.substring("t", 1, 300))).alias("grams"))
-
-
 @query(f"SELECT doc_id, array_to_string({first_seen_sql(grams_sql('t', 5))}, ' ') AS grams FROM {MIXED_SQL}")
-def cjk_ngrams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cjk_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).select("doc_id", joined(text.cjk_ngrams(F.col("t"))).alias("grams"))
 
 
@@ -152,29 +147,19 @@ def date_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", dates.append_date_tokens(written).alias("dated"))
 
 
-def whole(sql: str, most: int) -> str:
-    """SQL over text prefixes, over whole texts instead."""
-    return sql.replace(f"substring(text, 1, {most})", "text")
-
-
-def start(most: int | None) -> Column:
-    """The first characters of a document, or its whole text."""
-    return F.substring("text", 1, most) if most else F.col("text")
-
-
-#: Text with headings of all kinds, made from each document's number and its first words (or, in the queries named whole, all of its text).
+#: Text with headings of all kinds, made from each document's number and its text.
 _LINES = ["intro {0}", "", "  第{0}章 总则", "{1}", "附件3 {0}", "CHAPTER {0}", "body", "{0}.2.1 Title {0}", "{0}.2no title", "", "Sections are many"]
-_LINED_SQL = "concat_ws(chr(10), " + ", ".join("concat('" + line.replace("{0}", "', doc_id, '").replace("{1}", "', substring(text, 1, 200), '") + "')" for line in _LINES) + ")"
+_LINED_SQL = "concat_ws(chr(10), " + ", ".join("concat('" + line.replace("{0}", "', doc_id, '").replace("{1}", "', text, '") + "')" for line in _LINES) + ")"
 _HEADING_SQL = r"(l <> '' AND length(l) <= 120 AND (regexp_matches(l, '^第[一二三四五六七八九十百千0-9]+[章节条款].*$') OR regexp_matches(l, '^附件[一二三四五六七八九十0-9]+.*$') OR regexp_matches(l, '(?i)^(chapter|section|article|appendix)\b.*$') OR regexp_matches(l, '^\d+(?:\.\d+){0,3}\s+\S+.*$')))"
 
 
-def lined(spark: SparkSession, sf_dir: str, most: int | None = 200) -> DataFrame:
+def lined(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("doc_id").cast("string")
 
     def line(pattern: str) -> Column:
         parts: list[Column] = []
         for i, piece in enumerate(pattern.replace("{1}", "\0{1}\0").replace("{0}", "\0{0}\0").split("\0")):
-            parts.append({"{0}": at, "{1}": start(most)}.get(piece, F.lit(piece)))
+            parts.append({"{0}": at, "{1}": F.col("text")}.get(piece, F.lit(piece)))
         return F.concat(*parts)
 
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *[line(x) for x in _LINES]).alias("t"))
@@ -193,11 +178,6 @@ def heading_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged(lined(spark, sf_dir))
 
 
-@query(whole(_LINES_CTE, 200) + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, heading FROM h")
-def heading_flag_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagged(lined(spark, sf_dir, None))
-
-
 def flagged(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "l"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("pos"), pages.is_heading(text.strip(F.col("l"))).alias("heading"))
@@ -217,22 +197,17 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lined(spark, sf_dir).select("doc_id", F.posexplode(pages.split_sections(F.col("t"))).alias("nth", "section"))
 
 
-@query(whole(_SECTIONS_CTE, 200) + "SELECT doc_id, CAST(nth AS INTEGER) AS nth, section FROM sections WHERE section <> ''")
-def chunk_sections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lined(spark, sf_dir, None).select("doc_id", F.posexplode(pages.split_sections(F.col("t"))).alias("nth", "section"))
-
-
 @query("SELECT doc_id, CAST(i AS INTEGER) AS nth, CAST(length(substring(text, CAST(i * 700 + 1 AS BIGINT), 800)) AS INTEGER) AS chars, md5(substring(text, CAST(i * 700 + 1 AS BIGINT), 800)) AS piece FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 700.0) AS BIGINT))) AS i FROM documents)")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages.split_windows(F.col("text"), 800, 100)).alias("nth", "piece"))
     return cut.select("doc_id", "nth", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("piece"))
 
 
-_PAGED_SQL = "concat('lost === Page 1 ===', chr(10), chr(10), substring(text, 1, 40), chr(10), '=== Page 7 ===', chr(10), doc_id, chr(10), '=== Page 8 === ')"
+_PAGED_SQL = "concat('lost === Page 1 ===', chr(10), chr(10), text, chr(10), '=== Page 7 ===', chr(10), doc_id, chr(10), '=== Page 8 === ')"
 
 
-def paged(spark: SparkSession, sf_dir: str, most: int | None = 40) -> DataFrame:
-    t = F.concat(F.lit("lost === Page 1 ===\n\n"), start(most), F.lit("\n=== Page 7 ===\n"), F.col("doc_id").cast("string"), F.lit("\n=== Page 8 === "))
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("lost === Page 1 ===\n\n"), F.col("text"), F.lit("\n=== Page 7 ===\n"), F.col("doc_id").cast("string"), F.lit("\n=== Page 8 === "))
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
 
 
@@ -250,29 +225,13 @@ def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_to_documents(paged(spark, sf_dir), "text", marked=True).select("doc_id", "page", "text")
 
 
-@query(whole(_PAGES_SQL, 40))
-def page_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.operators.chunking import pages_to_documents
-
-    return pages_to_documents(paged(spark, sf_dir, None), "text", marked=True).select("doc_id", "page", "text")
-
-
-_JOIN_SQL = "SELECT doc_id, concat('=== Page 1 ===', chr(10), chr(10), regexp_replace(substring(text, 1, 20), '^\\s+|\\s+$', '', 'g'), chr(10), chr(10), '=== Page 2 ===', chr(10), chr(10), doc_id) AS pages, concat('=== Page 1 ===', chr(10), chr(10), doc_id) AS marked FROM documents"
+_JOIN_SQL = "SELECT doc_id, concat('=== Page 1 ===', chr(10), chr(10), regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), chr(10), '=== Page 2 ===', chr(10), chr(10), doc_id) AS pages, concat('=== Page 1 ===', chr(10), chr(10), doc_id) AS marked FROM documents"
 
 
 @query(_JOIN_SQL)
 def page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined_pages(spark, sf_dir, 20)
-
-
-@query(whole(_JOIN_SQL, 20))
-def page_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined_pages(spark, sf_dir, None)
-
-
-def joined_pages(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
     at = F.col("doc_id").cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", pages.join_pages(F.array(start(most), at)).alias("pages"), pages.ensure_marks(at).alias("marked"))
+    return table(spark, sf_dir, "documents").select("doc_id", pages.join_pages(F.array(F.col("text"), at)).alias("pages"), pages.ensure_marks(at).alias("marked"))
 
 
 @query(

@@ -31,7 +31,11 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 def listing(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:
     """(abs_path, rel_path, suffix, hash, mtime, length); mtime in milliseconds."""
-    found = files(spark, root)
+    return listed(files(spark, root), root, with_hash)
+
+
+def listed(found: DataFrame, root: str, with_hash: bool = True) -> DataFrame:
+    """The listing of binaryFile rows."""
     path = F.regexp_replace("path", r"^file:/+", "/")
     base = root.replace("file://", "").rstrip("/")
     return found.select(

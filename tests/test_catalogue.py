@@ -23,11 +23,11 @@ def test_entry_runs(spark):
 
 
 def test_all_orders_are_chunked(spark, duck, sf_dir):
-    got = [r["text"] for r in QUERIES["chunk_table_rows_whole"](spark, sf_dir).collect()]
+    got = [r["text"] for r in QUERIES["chunk_table_rows"](spark, sf_dir).collect()]
     assert len(got) == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0]
     assert {"[DATE=" in t for t in got} == {True, False}
 
 
 def test_whole_texts_are_joined(spark, duck, sf_dir):
-    got = {r["doc_id"]: r["pages"] for r in QUERIES["page_join_whole"](spark, sf_dir).collect()}
+    got = {r["doc_id"]: r["pages"] for r in QUERIES["page_join"](spark, sf_dir).collect()}
     assert all(text.strip() in got[doc] for doc, text in duck.sql("SELECT doc_id, text FROM documents").fetchall())

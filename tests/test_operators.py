@@ -39,9 +39,39 @@ def test_bm25_limits(spark, chunks):
 
 
 def test_index_round_trip(spark, chunks, tmp_path):
-    bm25.build(chunks).write(str(tmp_path))
+    index = bm25.build(chunks)
+    index.write(f"file://{tmp_path}/one")
     asked = spark.createDataFrame([(1, "apple")], "query_id int, text string")
-    assert bm25.search(bm25.Index.read(spark, str(tmp_path)), asked, 5).count() == 2
+    stored = bm25.Index.read(spark, [f"file://{tmp_path}/one"])
+    assert bm25.search(stored, asked, 5).count() == 2
+    for per_kb in (False, True):
+        plain = sorted(map(tuple, bm25.search_one(chunks, "apple pie", 3, per_kb=per_kb).collect()))
+        assert plain and sorted(map(tuple, bm25.search_index(stored, "apple pie", 3, per_kb).collect())) == plain
+    assert "EqualTo(term,apple)" in bm25.search_index(stored, "apple", 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_keep_what_others_hold(spark, tmp_path):
+    table = store.Table(spark, f"file://{tmp_path}/t", "k string, v int")
+    rows = lambda *made: spark.createDataFrame(list(made), "k string, v int")
+    held = lambda *keys: sorted(tuple(r) for r in table.read(*keys).collect())
+    assert held() == [] and not table.exists()
+    table.write(rows(("a", 1)), "a")
+    table.write(rows(("b", 2)), "b")
+    before = table.read()
+    table.append(rows(("a", 3)), "a")
+    assert held() == [("a", 1), ("a", 3), ("b", 2)] and held("b") == [("b", 2)] and held("c") == []
+    table.write(rows(("a", 4)), "a")
+    assert held("a") == [("a", 4)] and sorted(tuple(r) for r in before.collect()) == [("a", 1), ("b", 2)], "a plan made before still reads what it saw"
+    for i in range(4):
+        table.write(rows(("a", i)), "a")
+    kept = {p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")}
+    assert sum(n.startswith("pointer-") for n in kept) == store.KEPT and sum(n.startswith("v-") for n in kept) == store.KEPT + 1
+    def dies(folder):
+        rows(("a", 9)).write.parquet(folder)
+        raise OSError
+    with pytest.raises(OSError):
+        table.publish(dies, "a")
+    assert held() == [("a", 3), ("b", 2)], "a writer that dies leaves the old state"
 
 
 def test_dense_top_k_takes_ordered(spark):

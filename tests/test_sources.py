@@ -139,14 +139,42 @@ def test_settings():
 
 
 def test_events(spark, tmp_path):
-    assert events.safe({"b": b"xyz", "p": PurePosixPath("/a"), "l": (1, object)})["b"] == {"type": "bytes", "length": 3}
+    assert json.loads(events.as_json({"b": b"xyz", "p": PurePosixPath("/a"), "l": (1, {2})})) == {"b": {"type": "bytes", "length": 3}, "p": "/a", "l": [1, [2]]}
     log = events.EventLog(spark, f"file://{tmp_path}/log")
-    log.retrieval("kb", "q", 1, 2, [], [{"doc_id": "x"}], [])
-    log.embedding("p", "m", 2, ["a"], "query", "bad")
-    events.EventLog(spark, f"file://{tmp_path}/log", Settings(log_embedding=False)).embedding("p", "m", 2, None, "query")
-    rows = spark.read.parquet(f"file://{tmp_path}/log")
+    log.write([events.Retrieval("kb", "q", 1, 2, [], {"vector": [], "bm25": [{"doc_id": "x"}], "merged": []}), events.Embedding("query", "p", "m", 2, ["a"], "bad")])
+    events.EventLog(spark, log.path, Settings(log_embedding=False)).write([events.Embedding("query", "p", "m", 2)])
+    rows = log.read()
     assert sorted(r["kind"] for r in rows.collect()) == ["embedding_query", "retrieval"]
-    assert json.loads(rows.where("kind = 'retrieval'").first()["response"])["bm25_hits"] == [{"doc_id": "x"}]
+    found = rows.where("kind = 'retrieval'").first()
+    assert json.loads(found["response"])["bm25_hits"] == [{"doc_id": "x"}] and found["name"][8] == "T" and found["name"].endswith("Z_retrieval")
+    assert rows.where("kind = 'embedding_query'").first()["error"] == "bad"
+
+
+def test_engines_from_settings():
+    assert ocr.from_settings(Settings()) is None
+    made = ocr.from_settings(Settings(ocr_url="http://ocr", ocr_file_field="f"))()
+    assert (made.url, made.field) == ("http://ocr", "f") and ocr.retry_from_settings(Settings(ocr_max_retries=3)).most == 3
+    assert ocr.timed(lambda image, name: [name])(b"", "x", 3.0) == ["x"] and ocr.timed(lambda image, name, timeout: [timeout])(b"", "x", 3.0) == [3.0]
+    env = {"PPOCR_LANG": "ch", "OCR_USE_DOC_UNWARPING": "yes", "OCR_VERSION": "v"}
+    assert ocr.local_options(env, ocr_version="w") == {"lang": "ch", "ocr_version": "w", "use_doc_orientation_classify": False, "use_doc_unwarping": True, "use_textline_orientation": False}
+
+
+def test_image_files(tmp_path):
+    (tmp_path / "a.png").write_bytes(b"x")
+    assert ocr.read_image(lambda image, name, timeout: [name, image.decode(), timeout], str(tmp_path / "a.png"), 2.0) == ["a.png", "x", 2.0]
+
+
+def test_providers_from_settings():
+    assert isinstance(providers.embedder(Settings()), providers.HashEmbedder) and providers.llm(Settings()) is None
+    made = providers.embedder(Settings(embedding_provider="hosted", embedding_base_url="http://e", embedding_model="m", embedding_batch_size=7))
+    assert (made.url, made.model, made.batch) == ("http://e", "m", 7)
+    for wrong in (Settings(embedding_provider="other"), Settings(embedding_base_url="http://e")):
+        with pytest.raises(ValueError, match="embedding"):
+            providers.embedder(wrong)
+    for wrong in (Settings(llm_model="m"), Settings(llm_model="m", llm_provider="x")):
+        with pytest.raises(ValueError, match="language model"):
+            providers.llm(wrong)
+    assert providers.llm(Settings(llm_model="m", embedding_base_url="http://e")).model == "m"
 
 
 def test_documents_of_each_format(spark, tmp_path):
