@@ -13,7 +13,7 @@ from quarry.functions.text import bound, normalize, strip
 def pages_to_documents(files: DataFrame, text: str = "text", marked: bool = False, force_page: bool = False) -> DataFrame:
     """One row for each page that is not blank; page is the ordinal of the part, set if forced or if there are several marked ones."""
     parts = split_pages(normalize(F.col(text)), marked)
-    exploded = files.withColumn("__parts", parts).select("*", F.posexplode("__parts").alias("doc_pos", "__part"))
+    exploded = files.withColumn("__parts", parts).select("*", F.posexplode_outer("__parts").alias("doc_pos", "__part"))
     page = (F.col("doc_pos") + 1).cast("int")
     number = page if force_page else F.when(F.size("__parts") > 1, page) if marked else F.lit(None).cast("int")
     shaped = exploded.withColumn("page", number).withColumn(text, strip(F.col("__part"))).drop("__parts", "__part")
@@ -37,7 +37,7 @@ def chunk(docs: DataFrame, size: int = 800, overlap: int = 100, key: tuple[str,
     dated = F.when(wants_dates(F.col("source_type"), F.col("sheet"), F.col("row")), append_date_tokens(F.col("text"))).otherwise(F.col("text"))
     whole = is_table_row(F.col("sheet"), F.col("row"))
     pieces = bound(dated, lambda t: F.when(whole, F.array(t)).otherwise(F.flatten(F.transform(split_sections(t), lambda s: split_windows(s, size, overlap)))))
-    cut = docs.withColumn("__pieces", pieces).select("*", F.posexplode("__pieces").alias("__pos", "__piece"))
+    cut = docs.withColumn("__pieces", pieces).select("*", F.posexplode_outer("__pieces").alias("__pos", "__piece"))  # outer: else the plan computes the pieces again to filter them
     clean = cut.withColumn("text", strip(F.col("__piece"))).where(F.col("text") != "").drop("__pieces", "__piece")
     order = Window.partitionBy(*key).orderBy("doc_pos", "__pos")
     return clean.withColumn("chunk_id", (F.row_number().over(order) - 1).cast("int")).drop("__pos")

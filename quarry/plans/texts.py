@@ -194,12 +194,12 @@ sections AS (SELECT doc_id, nth, regexp_replace(string_agg(l, chr(10) ORDER BY p
 
 @query(_SECTIONS_CTE + "SELECT doc_id, CAST(nth AS INTEGER) AS nth, section FROM sections WHERE section <> ''")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lined(spark, sf_dir).select("doc_id", F.posexplode(pages.split_sections(F.col("t"))).alias("nth", "section"))
+    return lined(spark, sf_dir).select("doc_id", F.posexplode_outer(pages.split_sections(F.col("t"))).alias("nth", "section")).where("section IS NOT NULL")
 
 
 @query("SELECT doc_id, CAST(i AS INTEGER) AS nth, CAST(length(substring(text, CAST(i * 700 + 1 AS BIGINT), 800)) AS INTEGER) AS chars, md5(substring(text, CAST(i * 700 + 1 AS BIGINT), 800)) AS piece FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 700.0) AS BIGINT))) AS i FROM documents)")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages.split_windows(F.col("text"), 800, 100)).alias("nth", "piece"))
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(pages.split_windows(F.col("text"), 800, 100)).alias("nth", "piece")).where("piece IS NOT NULL")
     return cut.select("doc_id", "nth", F.length("piece").alias("chars"), F.md5(F.col("piece").cast("binary")).alias("piece"))
 
 
