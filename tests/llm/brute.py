@@ -124,3 +124,31 @@ def top_k(rows: list[tuple], k: int = 10, every: int = 100) -> set[tuple]:
             best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good.items() if i != q and len(w) == len(v))[:k]
             out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     return out
+
+
+def mixture(docs: list[tuple], weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> dict:
+    """(source, size) -> (target, rate) of documents (source, size): shares filled up to their caps one round after the other, and each tilt found by halving."""
+    import math
+
+    sources = sorted({s for s, _ in docs}, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    total = {s: sum(n for t, n in docs if t == s) for s in sources}
+    target: dict = {}
+    while True:
+        left = [s for s in sources if s not in target]
+        rest = sum(total.values()) - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[t] for t in left) for s in left}
+        if not (over := [s for s in left if share[s] > cap * total[s]]):
+            break
+        target |= {s: cap * total[s] for s in over}
+    target |= share
+    rates = {}
+    for s in sources:
+        sizes = [n for t, n in docs if t == s and n]
+        rate = lambda x, n: min(cap, math.exp(min(x * n, 9)))
+        low, high = -1000.0, 1000.0
+        for _ in range(200):
+            x = (low + high) / 2
+            low, high = (low, x) if sum(n * rate(x, n) for n in sizes) > target[s] else (x, high)
+        rates |= {(s, n): (target[s], rate((low + high) / 2, n)) for n in sizes} | {(s, 0): (target[s], 0.0)}
+    return rates

@@ -178,6 +178,19 @@ def test_mixing(frame, empty, corpus):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_rates(spark):
+    rng = random.Random(8)
+    made = [(i, ["a", "b", "c", None][min(3, i % 7 // 2)], rng.choice([0, 1, 2, 5, 40, 41, 300])) for i in range(200)]
+    made += [(300, "tiny", 2), (301, "tiny", 0), (302, "none", 0), (300, "tiny", 2)]
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in made], "doc_id bigint, source string, text string")
+    got, wanted = mixing.mix(docs).collect(), brute.mixture([(s, n) for _, s, n in made])
+    assert len(got) == len(made)
+    for r in got:
+        target, rate = wanted[r["source"], r["size"]]
+        assert abs(r["target"] - target) < 1e-6 and (rate in (0, 3) or abs(r["rate"] - rate) < 1e-6 * rate), (r, target, rate)
+        assert r["taken"] in (int(r["rate"]) * r["size"], int(r["rate"] + 1) * r["size"]) or r["taken"] < int(r["rate"] + 1) * r["size"]
+
+
 def test_mixing_caps_small_sources(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c " * 100), (3, "d " * 100), (4, "")], "doc_id bigint, text string").withColumn("source", F.concat(F.lit("s"), F.col("doc_id").cast("string")))
     got = {r["source"]: (r["target"], r["taken"]) for r in mixing.mix(docs, weights=(1,)).collect()}
