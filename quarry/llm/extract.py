@@ -70,6 +70,8 @@ MAIN_WORDS = frozenset("article main content post entry story body-content artic
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th")}
 
+#: A tag without angle brackets in its quotes, which is nearly every one; and the parts of any other.
+_SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+)*+)>")
 _OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
 _PLAIN = re.compile(r"[^<>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -85,7 +87,10 @@ def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
     last = {q: source.rfind(q) for q in "\"'"}
     at = source.find("<")
     while at >= 0:
-        if m := _OPENING.match(source, at):
+        if m := _SIMPLE.match(source, at):
+            stop = m.end()
+            found = (at, stop, m[2].lower(), bool(m[1]), m[3])
+        elif m := _OPENING.match(source, at):
             end = m.end()
             while True:  # to the first > or < outside quotes; a quote that is never closed is a character like others
                 end = _PLAIN.match(source, end).end()
@@ -201,13 +206,13 @@ class Page:
 
     def _element(self, tag: str, attributes: str, parent: int) -> int:
         named, role, off = self._names(attributes) if attributes else (frozenset(), "", False)
-        mark = ".".join(sorted(_DIGITS.sub("0", n) for n in named))
+        mark = ".".join(sorted(_DIGITS.sub("0", n) for n in named)) if named else ""
         self.tags.append(tag)
         self.paths.append(number(f"{self.paths[parent]}/{tag}.{mark}"))
         self.depths.append(self.depths[parent] + 1)
         self.parents.append(parent)
         self.hidden.append(self.hidden[parent] or off or tag in HIDDEN)
-        self.hints.append(0 if tag in ("html", "body") else self._hint(tag, named, role))
+        self.hints.append(0 if tag in ("html", "body") else self._hint(tag, named, role) if named or role else 2 if tag in INNER else int(tag in FURNITURE))
         return len(self.tags) - 1
 
     def _join(self) -> None:
@@ -229,30 +234,34 @@ class Page:
         for element, texts, _, _ in self.runs:
             text = " ".join("".join(texts).split())
             at = self.paths[element]
-            folded = _DIGITS.sub("0", text)
-            loose = number(f"{at}\1{folded}") if _DIGITS.search(text) and any(map(str.isalpha, folded)) else 0
+            loose = 0
+            if _DIGITS.search(text):
+                folded = _DIGITS.sub("0", text)
+                loose = number(f"{at}\1{folded}") if any(map(str.isalpha, folded)) else 0
             found.append((number(f"{at}\0{text}"), loose, element))
         return found
 
     def counts(self) -> dict[tuple[int, int], tuple[int, float]]:
         """Occurrences and mean place of each token on the page: (0, opening tag at its place), (1, text), (2, text with digits folded)."""
         found: dict[tuple[int, int], list[int]] = {}
-        for token, place in self._placed():
-            entry = found.setdefault(token, [0, 0])
-            entry[0] += 1
-            entry[1] += place
-        return {token: (n, sum_ / n / (1 + len(self.tags) + len(self.runs))) for token, (n, sum_) in found.items()}
-
-    def _placed(self) -> Iterator[tuple[tuple[int, int], int]]:
-        """Tokens with their places in page order, texts behind the element that they stand in or the last one before them."""
+
+        def add(kind: int, token: int, place: int) -> None:
+            if entry := found.get((kind, token)):
+                entry[0] += 1
+                entry[1] += place
+            else:
+                found[kind, token] = [1, place]
+
         for e, path in enumerate(self.paths):
-            yield (0, path), e
-        highest = 0
-        for (exact, loose, e), i in zip(self.tokens(), range(len(self.runs)), strict=True):
+            add(0, path, e)
+        highest = 0  # texts stand behind the last element that one of them before has been in
+        for i, (exact, loose, e) in enumerate(self.tokens()):
             highest = max(highest, e)
-            yield (1, exact), highest + i
+            add(1, exact, highest + i)
             if loose:
-                yield (2, loose), highest + i
+                add(2, loose, highest + i)
+        length = 1 + len(self.tags) + len(self.runs)
+        return {token: (n, places / n / length) for token, (n, places) in found.items()}
 
     def ordered(self, template: dict[int, tuple[int, float]]) -> dict[int, int]:
         """The template's tokens with their classes, without classes whose elements the page has in another order than their mean places."""
