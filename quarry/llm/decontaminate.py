@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, materialise, utf8
+from quarry.llm.common import bound_batches, materialise, record, utf8
 
 WINDOW = 10
 #: Bits of the bitmap of rarest words: 1 MB.
@@ -130,14 +130,22 @@ def places(source: DataFrame, marks: np.ndarray, width: int) -> DataFrame:
         marks = np.unpackbits(shared.value).astype(bool).tolist()
         known: dict[bytes, bool] = {}
         for batch in batches:
+            rows: list[tuple] = []
+            size = 0
             for doc, digest, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = words(value)
                 for word in set(found).difference(known):
                     known[word] = marks[_bit(word, bits)]
                 at = [{"word": w.decode(), "place": i, "before": min(i, reach), "around": [x.decode() for x in found[max(0, i - reach) : i + width]]} for i, w in enumerate(found) if known[w]]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc, digest, len(found), at), _PLACES, strict=True)], schema=_PLACES)
+                rows.append((doc, digest, len(found), at))
+                size += 1 + len(at)
+                if size >= 4096:
+                    yield record(_PLACES, zip(*rows, strict=True))
+                    rows, size = [], 0
                 if len(known) > 1 << 18:
                     known.clear()
+            if rows:
+                yield record(_PLACES, zip(*rows, strict=True))
 
     return source.mapInArrow(run, _PLACES_DDL)
 
