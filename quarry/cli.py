@@ -9,12 +9,12 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry import providers
+from quarry import logs, providers
 from quarry.functions.text import parse_file_filters
 from quarry.operators import answer, events, facets, inspect, retrieve
 from quarry.operators.ingest import KnowledgeBase
 from quarry.settings import Settings
-from quarry.sources import pdf
+from quarry.sources import office, pdf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -95,12 +95,24 @@ def ask(kb: KnowledgeBase, question: str, kb_ids: list[str], top_k: int = 0, fil
     return {"answer": got.answer, "citations": got.citations, "context": got.context, "error": got.error, "files": [tuple(r) for r in facets.facet_files(hits).collect()]}
 
 
+def ingested(kb: KnowledgeBase, root: str, kb_id: str | None) -> str:
+    """A sync with every reader there is, and its log; the run's id."""
+    with logs.kept(kb_id or root.strip("/").replace("/", "_"), kb.settings.log_root, logs.level(kb.settings.log_level)) as log:
+        try:
+            run = kb.ingest(root, kb_id, providers.embedder(kb.settings), pdf=pdf.reader() if pdf.available() else None, doc=office.first_of(office.doc_by_package, office.doc_by_office))
+        except Exception:
+            log.exception("sync of %s failed", root)
+            raise
+        log.info("run %s of %s: %s", run, root, {r["bucket"]: r["count"] for r in kb.reports.read(run).groupBy("bucket").count().collect()})
+    return run
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quarry").getOrCreate()
     kb = KnowledgeBase(spark, Settings.from_env())
     if args.command == "ingest":
-        print(kb.ingest(args.root, args.kb, providers.embedder(kb.settings), pdf=pdf.reader() if pdf.available() else None))
+        print(ingested(kb, args.root, args.kb))
     elif args.command == "inspect":
         for row in inspected(kb, args):
             print(json.dumps(row, default=str, ensure_ascii=False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +19,17 @@ def reach_workers(spark: SparkSession | None) -> None:
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([*known, ROOT])
+
+
+_local_root: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode without it a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_root.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='quarry-stored-')}")

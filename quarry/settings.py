@@ -40,6 +40,10 @@ def env_path(names: Iterable[str], env: Mapping[str, str] = os.environ) -> Path
 @dataclass(frozen=True)
 class Settings:
     root: str = "."
+    store: str = ""
+    store_url: str = ""
+    log_root: str = ""
+    log_level: str = "INFO"
     llm_provider: str = "hosted"
     llm_model: str = ""
     llm_api_key: str | None = None
@@ -90,5 +94,5 @@ class Settings:
         return cls(**found)
 
     def path(self, *parts: str) -> str:
-        """A table's place under the root; the root may be any path that Spark reads."""
-        return "/".join([self.root.rstrip("/"), *parts])
+        """A table's place under the store's address, else its path, else the root; each may be any path that Spark reads."""
+        return "/".join([(self.store_url or self.store or self.root).rstrip("/"), *parts])

@@ -142,6 +142,18 @@ def doc_by_office(content: bytes, timeout: float = 120) -> str | None:
         return out.read_text("utf-8", "replace") if done.returncode == 0 and out.exists() else None
 
 
+def doc_by_package(content: bytes) -> str | None:
+    """The text of a .doc file by a text extraction package, or None where it is not installed."""
+    if importlib.util.find_spec("textract") is None:
+        return None
+    import textract
+
+    with tempfile.NamedTemporaryFile(suffix=".doc") as held:
+        held.write(content)
+        held.flush()
+        return (textract.process(held.name) or b"").decode("utf-8", "replace")
+
+
 def first_of(*extractors: Callable[[bytes], str | None]) -> Callable[[bytes], str]:
     """An extractor that takes the first answer of several."""
 

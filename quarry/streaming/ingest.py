@@ -7,6 +7,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from quarry.operators.ingest import KnowledgeBase
 from quarry.providers import Embedder
+from quarry.sources import office, pdf
 
 
 def watch(spark: SparkSession, kb: KnowledgeBase, root: str, checkpoint: str, kb_id: str | None = None, provider: Embedder | None = None, once: bool = False) -> StreamingQuery:
@@ -15,7 +16,7 @@ def watch(spark: SparkSession, kb: KnowledgeBase, root: str, checkpoint: str, kb
 
     def sync(batch, _: int) -> None:
         if batch.select("path").head(1):
-            kb.ingest(root, kb_id, provider)
+            kb.ingest(root, kb_id, provider, pdf=pdf.reader() if pdf.available() else None, doc=office.first_of(office.doc_by_package, office.doc_by_office))
 
     writer = found.select("path", "modificationTime", "length").writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

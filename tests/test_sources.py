@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.machinery
 import io
 import json
+import logging
+import sys
 import types
 import zipfile
 from pathlib import PurePosixPath
@@ -11,7 +14,7 @@ from pathlib import PurePosixPath
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import providers
+from quarry import logs, providers
 from quarry.operators import events
 from quarry.settings import Settings, env_bool, env_first, env_number, env_path
 from quarry.sources import files, ocr, office
@@ -204,3 +207,32 @@ def test_documents_of_each_format(spark, tmp_path):
     listed = files.listing(spark, str(tmp_path)).orderBy("abs_path").collect()
     assert [r["rel_path"] for r in listed][:2] == ["a.txt", "b.csv"] and listed[0]["suffix"] == ".txt"
     assert files.listing(spark, str(tmp_path)).where(F.length("hash") == 64).count() == 8
+
+
+def test_logs_of_a_knowledge_base(tmp_path):
+    assert (logs.level(" debug "), logs.level("nothing"), logs.level("")) == (logging.DEBUG, logging.INFO, logging.INFO)
+    before = list(logs.LOGGER.handlers)
+    with logs.kept("kb", str(tmp_path), logging.WARNING) as log:
+        log.info("left out")
+        log.warning("written")
+    with logs.kept("kb", str(tmp_path)) as log:
+        log.info("more")
+    lines = logs.log_file(str(tmp_path), "kb").read_text().splitlines()
+    assert [line.rsplit(" ", 1)[1] for line in lines] == ["written", "more"] and "WARNING quarry:" in lines[0]
+    assert logs.LOGGER.handlers == before
+
+
+def test_place_of_the_tables():
+    assert Settings(root="/r/").path("tables") == "/r/tables" and Settings(root="/r", store="/s").path("t") == "/s/t"
+    assert Settings.from_env("/r", {"QUARRY_STORE": "/s", "QUARRY_STORE_URL": "hdfs://u/"}).path("t") == "hdfs://u/t"
+
+
+def test_doc_by_package(monkeypatch):
+    assert office.doc_by_package(b"x") is None
+    made = types.ModuleType("textract")
+    made.__spec__ = importlib.machinery.ModuleSpec("textract", None)
+    made.process = lambda path: open(path, "rb").read() + b"\xff"
+    monkeypatch.setitem(sys.modules, "textract", made)
+    assert office.doc_by_package(b"abc") == "abc\ufffd"
+    made.process = lambda path: None
+    assert office.doc_by_package(b"abc") == ""
