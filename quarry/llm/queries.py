@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, extract, language, mixing, secrets, simhash, suffixarrays, suffixtrees, topk, toxicity
+from quarry.llm import decontaminate, extract, filteraudit, language, mixing, secrets, simhash, suffixarrays, suffixtrees, topk, toxicity
 from quarry.llm.common import table
 from quarry.llm.oracles import ORACLE_SQL
 
@@ -52,6 +52,10 @@ def op10_suffixarrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarrays.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -65,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffixarrays": op10_suffixarrays,
+    "op13_filteraudit": op13_filteraudit,
 }
