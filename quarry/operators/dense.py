@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import blocks
+from quarry.runtime import materialise
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
@@ -33,27 +36,12 @@ def search_one(chunks: DataFrame, vector: list[float], limit: int, key: str = "c
     return scored.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= limit).drop("__nth")
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_key", block: int = 256) -> DataFrame:
-    """(query_id, key, score, rank) for queries (query_id, embedding), which go in blocks of bounded size against all rows.
+def search(chunks: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_key") -> DataFrame:
+    """(query_id, key, score, rank) for all queries (query_id, embedding) against all rows, exactly: one job, blocks of queries against blocks of rows.
 
-    Each block is broadcast; a group limit on the map side leaves at most `limit` rows of each query in a partition before the shuffle.
+    Rows and queries without a whole vector take no part; a vector of length 0 has the score 0; only vectors of a query's length are met.
     """
-    found = None
-    held: list = []
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    spark, schema = chunks.sparkSession, queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"), F.lit(0.0).alias("length")).schema
-
-    def one(block_rows: list) -> DataFrame:
-        asked = spark.createDataFrame([(r[0], [float(x) for x in r[1]], _length(r[1])) for r in block_rows], schema)
-        scored = chunks.select(key, "embedding").crossJoin(F.broadcast(asked)).select("query_id", key, F.coalesce(cosine(F.col("embedding"), F.col("q"), F.col("length")), F.lit(0.0)).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-
-    for row in rows:
-        held.append(row)
-        if len(held) == block:
-            found = one(held) if found is None else found.unionByName(one(held))
-            held = []
-    if held or found is None:
-        found = one(held) if found is None else found.unionByName(one(held))
-    return found
+    asked, rows = queries.where(blocks.whole("embedding")), chunks.where(blocks.whole("embedding"))
+    with blocks.batches(chunks.sparkSession):
+        found = blocks.nearest(asked.select(F.col("query_id").alias("query"), F.col("embedding").alias("v")), rows.select(F.col(key).alias("key"), F.col("embedding").alias("v")), limit, cosine=True)
+        return materialise(found.select(F.col("query").alias("query_id"), F.col("key").alias(key), "score", "rank"), "nearest")

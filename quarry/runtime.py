@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+from contextlib import suppress
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -33,3 +36,18 @@ def shared_root(spark: SparkSession) -> str:
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_root.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='quarry-stored-')}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended before the program
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and the planner knows its size. Deleted when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

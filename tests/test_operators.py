@@ -80,7 +80,7 @@ def test_dense_top_k_takes_ordered(spark):
     assert [(r["chunk_key"], r["score"]) for r in found.collect()] == [(1, 1.0), (3, 1.0)]
     assert "TakeOrderedAndProject" in found._jdf.queryExecution().executedPlan().toString()
     asked = spark.createDataFrame([(7, [0.0, 2.0])], "query_id int, embedding array<float>")
-    assert [r["chunk_key"] for r in dense.search(rows.where("chunk_key < 4"), asked, 1, block=1).collect()] == [2]
+    assert [r["chunk_key"] for r in dense.search(rows.where("chunk_key < 4"), asked, 1).collect()] == [2]
 
 
 def test_fusion_golden(spark):
