@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, extract, filteraudit, language, mixing, secrets, simhash, suffixarrays, suffixtrees, topk, toxicity
+from quarry.llm import crosspolytope, decontaminate, extract, filteraudit, language, mixing, pivots, secrets, simhash, suffixarrays, suffixtrees, topk, toxicity
 from quarry.llm.common import table
 from quarry.llm.oracles import ORACLE_SQL
 
@@ -52,6 +52,14 @@ def op10_suffixarrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarrays.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.search(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,5 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_suffixarrays": op10_suffixarrays,
+    "op11_pivots": op11_pivots,
+    "op12_crosspolytope": op12_crosspolytope,
     "op13_filteraudit": op13_filteraudit,
 }
