@@ -140,8 +140,7 @@ def vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
 
 def shapes(rows: DataFrame) -> dict[int, Shape]:
     """The shape of the hash for each length of vectors: one row a length comes to the driver."""
-    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    length = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / most) * (x / most)))
+    length = F.aggregate("v", F.lit(0.0), lambda total, x: F.hypot(total, x))  # no square that overflows
     out = {}
     for r in rows.groupBy("size").agg(F.count("*").alias("n"), F.min(length).alias("low"), F.max(length).alias("high")).collect():
         largest = r["high"] * (1 + 1e-9) if r["high"] - r["low"] > EVEN * r["high"] else 0.0
