@@ -92,8 +92,7 @@ class Pivots:
 
 def chosen(rows: DataFrame) -> dict[int, Pivots]:
     """The pivots for each length of vectors: `SAMPLE` rows a length come to the driver."""
-    most = F.greatest(F.array_max(F.transform("v", lambda x: F.abs(x))).cast("double"), F.lit(1.0))
-    length = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / most) * (x / most)))
+    length = F.aggregate("v", F.lit(0.0), lambda total, x: F.hypot(total, x.cast("double")))
     largest = {r["size"]: r["most"] for r in rows.groupBy("size").agg(F.max(length).alias("most")).collect()}
     order = Window.partitionBy("size").orderBy(F.xxhash64("row"), "row")
     sample: dict[int, list] = {size: [] for size in largest}
