@@ -103,7 +103,7 @@ def ingested(kb: KnowledgeBase, root: str, kb_id: str | None) -> str:
         except Exception:
             log.exception("sync of %s failed", root)
             raise
-        log.info("run %s of %s: %s", run, root, {r["bucket"]: r["count"] for r in kb.reports.read(run).groupBy("bucket").count().collect()})
+        log.info("run %s of %s: %s", run, root, {r["bucket"]: r["count"] for r in kb.reports.read().where(F.col("run_id") == run).groupBy("bucket").count().collect()})
     return run
 
 

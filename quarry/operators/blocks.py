@@ -45,40 +45,57 @@ def _is_list(kind: T.DataType) -> bool:
     return isinstance(kind, T.ArrayType)
 
 
-def packed(rows: DataFrame, vector: str, most: int = ROWS) -> DataFrame:
+def packed(rows: DataFrame, vector: str, most: int = ROWS, by: str | None = None) -> DataFrame:
     """(size, n, one array for each column): blocks of rows whose vectors have the same length, `size`; array columns are flattened and have a fixed length each.
 
-    Rows of a partition are packed in their order.
+    Rows of a partition are packed in their order. With `by`, which sorts each partition, a block holds rows of one value, which is a column of its own.
     """
-    fields = [(f.name, f.dataType.elementType if _is_list(f.dataType) else f.dataType, _is_list(f.dataType)) for f in rows.schema]
-    schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("n", T.IntegerType()), *[T.StructField(name, T.ArrayType(kind)) for name, kind, _ in fields]])
-    at = rows.columns.index(vector)
-
-    def block(part: pa.Table, size: int) -> pa.RecordBatch:
-        columns: list[pa.Array] = [pa.array([size], pa.int32()), pa.array([part.num_rows], pa.int32())]
-        for column, (_, _, nested) in zip(part.columns, fields, strict=True):
-            flat = pa.concat_arrays([c.flatten() if nested else c for c in column.chunks]) if column.num_chunks else pa.array([], column.type)
+    fields = [(f.name, f.dataType.elementType if _is_list(f.dataType) else f.dataType, _is_list(f.dataType)) for f in rows.schema if f.name != by]
+    schema = T.StructType([*([T.StructField(by, rows.schema[by].dataType)] if by else []), T.StructField("size", T.IntegerType()), T.StructField("n", T.IntegerType()), *[T.StructField(name, T.ArrayType(kind)) for name, kind, _ in fields]])
+    names = [f.name for f in schema]
+
+    def block(part: pa.Table, size: int, value: pa.Scalar | None) -> pa.RecordBatch:
+        columns: list[pa.Array] = [] if value is None else [pa.array([value.as_py()], value.type)]
+        columns += [pa.array([size], pa.int32()), pa.array([part.num_rows], pa.int32())]
+        for name, _, nested in fields:
+            chunks = part.column(name).chunks
+            flat = pa.concat_arrays([c.flatten() if nested else c for c in chunks])
             columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-        return pa.RecordBatch.from_arrays(columns, names=["size", "n", *[f[0] for f in fields]])
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[pa.RecordBatch]] = {}
+        value: pa.Scalar | None = None
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column(at)).to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes).tolist():
-                mine = held.setdefault(size, [])
-                mine.append(batch.filter(pa.array(sizes == size)))
-                while sum(b.num_rows for b in mine) >= most:
-                    whole = pa.Table.from_batches(mine)
-                    yield block(whole.slice(0, most), size)
-                    mine[:] = whole.slice(most).to_batches()
-        for size, mine in held.items():
-            if sum(b.num_rows for b in mine):
-                yield block(pa.Table.from_batches(mine), size)
+            for part in _parts(batch, by):
+                if by and part.column(by)[0] != value:
+                    yield from (block(pa.Table.from_batches(mine), size, value) for size, mine in held.items() if mine)
+                    held, value = {}, part.column(by)[0]
+                sizes = pa.compute.list_value_length(part.column(vector)).to_numpy(zero_copy_only=False)
+                for size in np.unique(sizes).tolist():
+                    mine = held.setdefault(size, [])
+                    mine.append(part.filter(pa.array(sizes == size)))
+                    while sum(b.num_rows for b in mine) >= most:
+                        whole = pa.Table.from_batches(mine)
+                        yield block(whole.slice(0, most), size, value)
+                        mine[:] = whole.slice(most).to_batches()
+        yield from (block(pa.Table.from_batches(mine), size, value) for size, mine in held.items() if mine)
 
     return rows.mapInArrow(run, schema)
 
 
+def _parts(batch: pa.RecordBatch, by: str | None) -> Iterator[pa.RecordBatch]:
+    """The batch, or its runs of equal values."""
+    if not batch.num_rows:
+        return
+    ends = [batch.num_rows]
+    if by:
+        values = batch.column(by)
+        ends = [*(np.flatnonzero(pa.compute.not_equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+    for start, end in zip([0, *ends[:-1]], ends, strict=True):
+        yield batch.slice(start, end - start)
+
+
 class Block:
     """One packed block inside a task: arrays by column name; `matrix` gives an array column as rows."""
 
@@ -114,11 +131,11 @@ class Seen:
         raise NotImplementedError
 
 
-def pairs(queries: DataFrame, rows: DataFrame, state: State, schema: str) -> DataFrame:
+def pairs(queries: DataFrame, rows: DataFrame, state: State, schema: str, on: str | None = None) -> DataFrame:
     """What the states of all packed query blocks have found in all packed row blocks of their size; several rows may come for a query, from several tasks.
 
     The queries are a stated set, met with all rows block by block: one row of this product is two whole blocks. The planner broadcasts the smaller side if
-    it is below its threshold, and else sets partitions against each other.
+    it is below its threshold, and else sets partitions against each other. With `on`, only blocks of equal values meet, by an ordinary join.
     """
     mine = queries.select(F.monotonically_increasing_id().alias("block"), *[F.col(c).alias(f"q_{c}") for c in queries.columns])
     theirs = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns])
@@ -137,7 +154,8 @@ def pairs(queries: DataFrame, rows: DataFrame, state: State, schema: str) -> Dat
                 states[at].add(r)
         yield from (s.found() for s in states.values())
 
-    return mine.crossJoin(theirs).mapInArrow(run, schema)
+    met = mine.join(theirs, mine[f"q_{on}"] == theirs[f"r_{on}"]).drop(f"q_{on}", f"r_{on}") if on else mine.crossJoin(theirs)
+    return met.mapInArrow(run, schema)
 
 
 def best(rows: pa.Table, by: list[str], score: str, key: list[str], k: int) -> pa.Table:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.operators import bm25, chunking, manifest, store
+from quarry.operators import chunking, manifest, segments, store
+from quarry.operators.embeddings import EmbeddingCache
 from quarry.operators.events import Embedding, EventLog
-from quarry.providers import Embedder, embed, embedder
+from quarry.providers import Embedder, embedder
+from quarry.runtime import materialise
 from quarry.settings import Settings
 from quarry.sources import files, ocr
 
@@ -28,16 +30,17 @@ class KnowledgeBase:
         return store.Table(self.spark, self.settings.path("tables", name), schema)
 
     @property
-    def chunks(self) -> store.Table:
-        return self.table("chunks", schemas.CHUNK)
+    def chunks(self) -> segments.Indexed:
+        """Chunks and their index, a table for each knowledge base."""
+        return segments.Indexed(self.table("chunks", schemas.CHUNK), ("root", "doc_id"), self.settings.bm25_k1, self.settings.bm25_b, self.settings.bm25_max_doc_tokens)
 
     @property
     def paths(self) -> store.Table:
         return self.table("kb_paths", schemas.KB_PATHS)
 
     @property
-    def reports(self) -> store.Table:
-        return self.table("reports", schemas.INGEST_ITEM)
+    def reports(self) -> store.Deltas:
+        return store.Deltas(self.table("reports", schemas.INGEST_ITEM), ("run_id",))
 
     @property
     def manifests(self) -> store.Table:
@@ -46,13 +49,18 @@ class KnowledgeBase:
     def records(self, kb_id: str) -> store.Table:
         return self.table(f"records/{kb_id}", schemas.FILE_RECORD)
 
-    def texts(self, kb_id: str) -> store.Table:
-        return self.table(f"processed/{kb_id}", "abs_path string, text string")
+    @property
+    def texts(self) -> store.Deltas:
+        """The whole text of each file, a table for each knowledge base."""
+        return store.Deltas(self.table("processed", "abs_path string, text string"), ("abs_path",))
 
-    def index(self, *kb_ids: str) -> bm25.Index | None:
+    def index(self, *kb_ids: str) -> segments.Segments | None:
         """The stored index of the knowledge bases; None before the first sync of them all."""
-        folders = self.table("bm25").folders(*kb_ids)
-        return bm25.Index.read(self.spark, folders, self.settings.bm25_k1, self.settings.bm25_b) if folders and len(folders) >= len(kb_ids) else None
+        return self.chunks.index(*kb_ids)
+
+    @property
+    def vectors(self) -> EmbeddingCache:
+        return EmbeddingCache(self.table("vectors", EmbeddingCache.SCHEMA), self.settings.embedding_provider, self.settings.embedding_model)
 
     @property
     def events(self) -> EventLog:
@@ -84,51 +92,42 @@ class KnowledgeBase:
             raise ValueError("the root must be an absolute path")
         kb = self.resolve(root, kb_id)
         run_id = uuid.uuid4().hex
-        listing = files.listing(self.spark, root).cache()
+        # Written once: a lost executor hashes no file twice, and reads none again for OCR or a provider.
+        listing = materialise(files.listing(self.spark, root), "listing")
         old = self.records(kb).read()
-        planned = manifest.plan(listing, old, root).cache()
+        planned = materialise(manifest.plan(listing, old, root), "planned")
         todo = planned.where("action = 'parse'").select("abs_path")
 
-        source = files.files(self.spark, root).withColumn("abs_path", F.regexp_replace("path", r"^file:/+", "/")).join(todo, "abs_path", "left_semi").select("path", "content")
-        docs = files.documents(source, make_ocr or ocr.from_settings(self.settings), pdf, doc, ocr.retry_from_settings(self.settings)).cache()
+        source = files.some(self.spark, root, [r["abs_path"] for r in todo.toLocalIterator()])
+        docs = materialise(files.documents(source, make_ocr or ocr.from_settings(self.settings), pdf, doc, ocr.retry_from_settings(self.settings)), "documents")
         rel = listing.select("abs_path", F.col("rel_path").alias("doc_id"))
         good = docs.where(F.col("error").isNull()).join(rel, "abs_path")
         cut = chunking.chunk(good, self.settings.chunk_size, self.settings.chunk_overlap)
         shaped = store.keyed(cut.withColumns({"kb_id": F.lit(kb), "root": F.lit(root), "source": F.col("abs_path"), "embedding": F.lit(None).cast("array<float>")}))
-        # Written before it is used, so that no lost executor calls the provider again.
-        fresh = self.table(f"fresh/{kb}", schemas.CHUNK)
-        fresh.write(embed(shaped, provider) if provider else shaped)
-        shaped = fresh.read()
+        shaped = materialise(shaped.select(*self.spark.createDataFrame([], schemas.CHUNK).columns), "shaped")
         if provider:
+            shaped = materialise(self.vectors.embed(shaped, provider).select(*shaped.columns), "embedded")
             store.check_dimension(self.chunks.read(kb).select("embedding").unionByName(shaped.select("embedding")))
             counts = shaped.groupBy("doc_id").count().orderBy("doc_id").collect()
             self.events.write([Embedding("documents", self.settings.embedding_provider, self.settings.embedding_model, sum(r["count"] for r in counts), [r["doc_id"] for r in counts])])
 
         per_file = docs.groupBy("abs_path").agg(F.max("error").alias("failed"), F.count_if(F.col("error").isNull()).alias("documents"))
         per_file = per_file.join(shaped.groupBy(F.col("source").alias("abs_path")).agg(F.count("*").alias("chunks")), "abs_path", "left")
-        outcome = todo.join(per_file, "abs_path", "left").select("abs_path", manifest.classify(F.col("failed"), F.col("documents"), F.col("chunks")).alias("error")).cache()
-
-        done = outcome.where(F.col("error").isNull()).join(rel, "abs_path").select(F.lit(kb).alias("kb_id"), F.lit(root).alias("root"), "doc_id")
-        before = self.chunks.read(kb)
-        self.chunks.write(store.delete_docs(before, done).unionByName(shaped.select(*before.columns)), kb)
-        texts = self.texts(kb)
-        was = texts.read()
-        texts.write(was.join(todo, "abs_path", "left_anti").unionByName(files.full_texts(docs)))
+        outcome = materialise(todo.join(per_file, "abs_path", "left").select("abs_path", manifest.classify(F.col("failed"), F.col("documents"), F.col("chunks")).alias("error")), "outcome")
+
+        done = outcome.where(F.col("error").isNull()).join(rel, "abs_path").select(F.lit(root).alias("root"), "doc_id")
+        if todo.head(1):
+            self.chunks.change(shaped, done, kb)
+            self.texts.change(files.full_texts(docs), todo, kb)
         self.records(kb).write(manifest.records_after(planned, outcome, old, listing, root))
-        self.reports.append(manifest.report(planned, outcome, run_id, kb, root), run_id)
-        self._index(kb)
-        for cached in (listing, planned, docs, outcome):
-            cached.unpersist()
-        fresh.drop()
+        self.reports.change(manifest.report(planned, outcome, run_id, kb, root), self.spark.createDataFrame([], "run_id string"), kb)
+        self._manifest(kb)
         return run_id
 
-    def _index(self, kb: str) -> None:
-        now = self.chunks.read(kb)
-        index = bm25.build(now, k1=self.settings.bm25_k1, b=self.settings.bm25_b, most=self.settings.bm25_max_doc_tokens)
-        self.table("bm25").publish(index.write, kb)
-        row = manifest.doc_count(self.records(kb).read()).crossJoin(now.agg(F.count("*").alias("chunk_count")))
+    def _manifest(self, kb: str) -> None:
+        row = manifest.doc_count(self.records(kb).read()).crossJoin(self.chunks.read(kb).agg(F.count("*").alias("chunk_count")))
         row = row.select(F.lit(kb).alias("kb_id"), F.lit(self.settings.embedding_model).alias("embedding_model"), F.lit(self.settings.chunk_size).alias("chunk_size"), F.lit(self.settings.chunk_overlap).alias("chunk_overlap"), "doc_count", "chunk_count", F.current_timestamp().alias("updated_at"))
         self.manifests.write(row, kb)
 
     def report(self, run_id: str) -> DataFrame:
-        return manifest.nested_report(self.reports.read(run_id))
+        return manifest.nested_report(self.reports.read().where(F.col("run_id") == run_id))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import bm25, dense, fusion
+from quarry.functions.text import strip
+from quarry.operators import bm25, dense, fusion, ivf, segments
 from quarry.settings import Settings
 
 
-def hybrid(chunks: DataFrame, question: str, vector: list[float], kb_id: str | None = None, settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: bm25.Index | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, question: str, vector: list[float], kb_id: str | None = None, settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: segments.Segments | None = None) -> DataFrame:
     """The top k chunks for one question: (key, dense_score, sparse_score, score, rank).
 
     chunks: kb_id, key, text, embedding (null: none). Both sides fetch max(k, bm25_fetch_k) rows. With BM25 off, or without a sparse hit,
@@ -19,12 +20,12 @@ def hybrid(chunks: DataFrame, question: str, vector: list[float], kb_id: str | N
     return _hybrid(mine, question, vector, settings or Settings(), top_k, key, index, ())
 
 
-def hybrid_each(chunks: DataFrame, question: str, vector: list[float], kb_ids: list[str], settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: bm25.Index | None = None) -> DataFrame:
+def hybrid_each(chunks: DataFrame, question: str, vector: list[float], kb_ids: list[str], settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: segments.Segments | None = None) -> DataFrame:
     """The top k chunks of each of several knowledge bases, with kb_id: as hybrid for each, in one pass over the tables."""
     return _hybrid(chunks.where(F.col("kb_id").isin(kb_ids)), question, vector, settings or Settings(), top_k, key, index, ("kb_id",))
 
 
-def _hybrid(mine: DataFrame, question: str, vector: list[float], settings: Settings, top_k: int | None, key: str, index: bm25.Index | None, by: tuple[str, ...]) -> DataFrame:
+def _hybrid(mine: DataFrame, question: str, vector: list[float], settings: Settings, top_k: int | None, key: str, index: segments.Segments | None, by: tuple[str, ...]) -> DataFrame:
     question = question.strip()
     k = top_k or settings.top_k
     if not question:
@@ -38,11 +39,30 @@ def _hybrid(mine: DataFrame, question: str, vector: list[float], settings: Setti
     if index is None or not question:
         words = bm25.search_one(mine, question, fetch, key, settings.bm25_k1, settings.bm25_b, settings.bm25_max_doc_tokens, settings.bm25_max_query_tokens, bool(by))
     else:
-        words = bm25.search_index(index, question, fetch, bool(by), settings.bm25_max_query_tokens)
+        asked = mine.sparkSession.createDataFrame([(0, question)], "query_id int, text string")
+        words = segments.search(index, asked, fetch, bool(by), settings.bm25_max_query_tokens)
     merged = fusion.merge(near, words.select(*by, F.col("chunk_key").alias(key), "score"), [*by, key])
     return fuse_or_dense(merged, key, k, settings.alpha, by)
 
 
+def hybrid_batch(chunks: DataFrame, questions: DataFrame, index: segments.Segments, settings: Settings | None = None, top_k: int | None = None, vectors: ivf.Index | None = None, key: str = "chunk_key") -> DataFrame:
+    """(query_id, key, dense_score, sparse_score, score, rank): as hybrid, for a table of questions (query_id, text, embedding) over one knowledge base.
+
+    The sparse side reads blocks of stored postings, the dense side all vectors or, with an inverted file, the lists near each question. Blank questions find nothing.
+    """
+    s = settings or Settings()
+    k = top_k or s.top_k
+    fetch = max(k, s.bm25_fetch_k)
+    asked = questions.where(F.length(strip(F.col("text"))) > 0)
+    near = ivf.search(vectors, asked, fetch) if vectors else dense.search(chunks.select(key, "embedding"), asked, fetch, key)
+    near = near.select("query_id", key, "score")
+    if not s.bm25_enabled:
+        words = near.limit(0)
+    else:
+        words = segments.search(index, asked, fetch, most=s.bm25_max_query_tokens).select("query_id", F.col("chunk_key").alias(key), "score")
+    return fuse_or_dense(fusion.merge(near, words, ["query_id", key]), key, k, s.alpha, ("query_id",))
+
+
 def fuse_or_dense(merged: DataFrame, key: str, k: int, alpha: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Fused scores, or dense ones where the sparse side is empty."""
     within = Window.partitionBy(*by)

@@ -101,13 +101,14 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""
+NEAR_BATCH_SQL = f"""
 WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM z WHERE rank <= 10
 """
-)
+
+
+@query(NEAR_BATCH_SQL)
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     found = dense.search(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, "vec_id")

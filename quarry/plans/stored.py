@@ -9,9 +9,9 @@ from contextlib import suppress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import bm25, manifest, store
+from quarry.operators import bm25, ivf, manifest, store
 from quarry.plans.registry import query, table
-from quarry.plans.search import asked, chunks, scored_sql
+from quarry.plans.search import NEAR_BATCH_SQL, asked, chunks, scored_sql
 from quarry.runtime import shared_root
 from quarry.sources import files
 
@@ -92,3 +92,28 @@ def coerce_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = table(spark, sf_dir, "documents").select(F.to_json(F.struct(*fields)).alias("json"))
     names = ("kb_id", "embedding_model", "chunk_size", "chunk_overlap", "doc_count", "chunk_count", "updated_at")
     return manifest.coerced_manifests(loose.select(F.from_json("json", ", ".join(f"{n} string" for n in names)).alias("m")).select("m.*"))
+
+
+def inverted_file(spark: SparkSession, sf_dir: str) -> ivf.Index:
+    """All vectors in an inverted file, written and read back."""
+    held = written(spark, "ivf")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    held.publish(lambda folder: ivf.build(rows, folder, "vec_id"), "all")
+    return ivf.Index.read(spark, held.folders("all")[0])
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query()
+def ivf_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector against the lists nearest to it; tests hold it against all rows (recall)."""
+    return ivf.search(inverted_file(spark, sf_dir), _asked_vectors(spark, sf_dir), 10)
+
+
+@query(NEAR_BATCH_SQL)
+def ivf_topk_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all lists: the exact result, through the inverted file."""
+    found = ivf.search(inverted_file(spark, sf_dir), _asked_vectors(spark, sf_dir), 10, probes=0)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))

@@ -5,6 +5,7 @@ Binary formats are parsed by mapInArrow over binaryFile rows; plain text stays i
 
 from __future__ import annotations
 
+import re
 import traceback
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,16 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
 
+def some(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """Some files under the root: (path, content); no other file is opened. Their paths are on the driver, as Spark's own list of files is."""
+    local = root.startswith("file:")
+    # Characters that a path may hold and a pattern would read otherwise.
+    plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", f"file://{p}" if local and p.startswith("/") else p) for p in paths]
+    if not plain:
+        return spark.createDataFrame([], "path string, content binary")
+    return spark.read.format("binaryFile").load(plain).select("path", "content")
+
+
 def listing(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:
     """(abs_path, rel_path, suffix, hash, mtime, length); mtime in milliseconds."""
     return listed(files(spark, root), root, with_hash)
