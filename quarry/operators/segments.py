@@ -6,7 +6,7 @@ each term. A reader adds these up over all segments, so scores are those of an i
 
 Within a segment chunks are dealt to ranges of about `RANGE` chunks by a hash of their key, and a term's postings of one range are a block: one row, whose `impacts` are the least length for each
 term frequency. With the statistics of today they give the block's largest contribution exactly, whatever has been added since. The sum of these over a question's terms bounds every chunk of
-a range. Questions first score the `FIRST` ranges of highest bound; the limit-th best score is a threshold, and of the other ranges only those whose bound reaches it are read.
+a range. Questions first score the `FIRST` (and at least as many as are asked for) ranges of highest bound; the limit-th best score is a threshold, and of the other ranges only those whose bound reaches it are read.
 """
 
 from __future__ import annotations
@@ -69,7 +69,8 @@ def _write_blocks(postings: DataFrame, chunks: DataFrame, path: str) -> None:
     seen = F.array_sort(F.array_distinct(F.transform("postings", lambda p: p["tf"])))
     impacts = F.transform(seen, lambda tf: F.struct(tf.alias("tf"), F.array_min(F.transform(F.filter("postings", lambda p: p["tf"] == tf), lambda p: p["dl"])).alias("dl")))
     rows = held.select("kb_id", "segment", "term", "range", F.size("postings").alias("n"), impacts.alias("impacts"), "postings")
-    rows.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
+    # Dealt by the grouping already: a term that all chunks hold is in every file, sorted, and readers of other terms skip it by the statistics of row groups.
+    rows.sortWithinPartitions("term", "range").write.parquet(f"{path}/blocks")
 
 
 def write(path: str, number: int, added: DataFrame, removed: DataFrame, most: int = bm25.DOC_TOKENS) -> None:
@@ -140,7 +141,7 @@ def search(index: Segments, queries: DataFrame, limit: int, per_kb: bool = False
     keys = ["query_id", "kb_id"] if per_kb else ["query_id"]
     terms = materialise(bm25.query_terms(queries, most), "terms")
     stats = materialise(index.term_stats(terms), "stats")
-    read = _reading(index, terms, stats, max(1, limit), keys, first)
+    read = _reading(index, terms, stats, max(1, limit), keys, max(first, limit))
     found = read.started.unionByName(score(index, terms, stats, materialise(read.rest, "rest")))
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, limit))

@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Callable
 from contextlib import suppress
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,10 +167,12 @@ class Deltas:
 
     def _alive(self, rows: DataFrame, gone: DataFrame) -> DataFrame:
         last = gone.groupBy(*[F.col(k).alias(f"__{k}") for k in self.keys]).agg(F.max("change").alias("__last"))
-        same = F.col("change") < F.col("__last")
-        for k in self.keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        return rows.join(last, same, "left_anti")
+        return rows.join(last, self._same() & (F.col("change") < F.col("__last")), "left_anti")
+
+    def _same(self) -> Column:
+        """Keys agree with those of the other side, which have two strokes before their names; a null is a key."""
+        found = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.keys]
+        return reduce(Column.__and__, found)
 
     def read(self, *names: str) -> DataFrame:
         """All rows that hold, or those of the tables of these names."""
@@ -178,8 +181,8 @@ class Deltas:
     def of(self, keys: DataFrame, name: str) -> DataFrame:
         """The rows that hold of some keys."""
         rows, gone = self._parts(self.table.folders(name))
-        wanted = keys.select(*self.keys).distinct()
-        return self._alive(rows.join(wanted, list(self.keys), "left_semi"), gone.join(wanted, list(self.keys), "left_semi")).select(*self.columns)
+        wanted = keys.select(*[F.col(k).alias(f"__{k}") for k in self.keys]).distinct()
+        return self._alive(rows.join(wanted, self._same(), "left_semi"), gone.join(wanted, self._same(), "left_semi")).select(*self.columns)
 
     def change(self, rows: DataFrame, gone: DataFrame, name: str = "") -> int:
         """Add rows, and remove what there is of the keys in `gone`; the number of the change."""

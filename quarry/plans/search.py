@@ -85,8 +85,8 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
 
 
-_COSINE = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
-_NEAR_SQL = f"SELECT e.vec_id, e.label, {_COSINE.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+COSINE = "list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+_NEAR_SQL = f"SELECT e.vec_id, e.label, {COSINE.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 
 
 @query(f"SELECT vec_id, round(score, 6) AS score FROM ({_NEAR_SQL}) ORDER BY score DESC, vec_id LIMIT 10")
@@ -102,7 +102,7 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEAR_BATCH_SQL = f"""
-WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0),
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0),
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM z WHERE rank <= 10
 """
@@ -126,13 +126,13 @@ def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source", "doc_id", F.round(score, 6).alias("score"))
 
 
-_FUSED = "SELECT {by} k, 0.7 * coalesce(CASE WHEN dh > dl THEN (d - dl) / (dh - dl) ELSE 0 END, 0) + 0.3 * coalesce(CASE WHEN sh > sl THEN (s - sl) / (sh - sl) ELSE 0 END, 0) AS f FROM (SELECT *, min(d) OVER ({w}) AS dl, max(d) OVER ({w}) AS dh, min(s) OVER ({w}) AS sl, max(s) OVER ({w}) AS sh FROM m)"
+FUSED = "SELECT {by} k, 0.7 * coalesce(CASE WHEN dh > dl THEN (d - dl) / (dh - dl) ELSE 0 END, 0) + 0.3 * coalesce(CASE WHEN sh > sl THEN (s - sl) / (sh - sl) ELSE 0 END, 0) AS f FROM (SELECT *, min(d) OVER ({w}) AS dl, max(d) OVER ({w}) AS dh, min(s) OVER ({w}) AS sl, max(s) OVER ({w}) AS sh FROM m)"
 
 
 @query(
     f"""
 WITH m AS (SELECT source AS kb_id, doc_id AS k, CASE WHEN doc_id % 3 <> 0 THEN CAST(n_chars AS DOUBLE) END AS d, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id * 7 % 101 AS DOUBLE) END AS s FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0),
-f AS ({_FUSED.format(by="kb_id,", w="PARTITION BY kb_id")}), z AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY f DESC, k) AS rank FROM f)
+f AS ({FUSED.format(by="kb_id,", w="PARTITION BY kb_id")}), z AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY f DESC, k) AS rank FROM f)
 SELECT kb_id, k AS sig, CAST(rank AS INTEGER) AS rank, round(f, 6) AS score FROM z WHERE rank <= 10
 """
 )
@@ -147,7 +147,7 @@ def fusion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH m AS (SELECT source, doc_id AS k, CAST(n_chars AS DOUBLE) AS d, CAST(CASE WHEN source IN ('src0', 'src1') THEN 0 ELSE doc_id % 13 END AS DOUBLE) AS s FROM documents),
-f AS ({_FUSED.format(by="source, d, s,", w="PARTITION BY source")}), g AS (SELECT source, k, CASE WHEN max(s) OVER (PARTITION BY source) > 0 THEN f ELSE d END AS f FROM f),
+f AS ({FUSED.format(by="source, d, s,", w="PARTITION BY source")}), g AS (SELECT source, k, CASE WHEN max(s) OVER (PARTITION BY source) > 0 THEN f ELSE d END AS f FROM f),
 z AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY f DESC, k) AS rank FROM g)
 SELECT source, k AS doc_id, CAST(rank AS INTEGER) AS rank, round(f, 6) AS final FROM z WHERE rank <= 5
 """
@@ -163,10 +163,10 @@ def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     scored_sql("'all'", "item_id = 0")
     + f""",
-v AS (SELECT e.vec_id AS k, {_COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings e JOIN documents ON vec_id = doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, k LIMIT 24),
+v AS (SELECT e.vec_id AS k, {COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings e JOIN documents ON vec_id = doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, k LIMIT 24),
 b AS (SELECT chunk_key AS k, score FROM r ORDER BY score DESC, k LIMIT 24),
 m AS (SELECT k, v.score AS d, b.score AS s FROM v FULL JOIN b USING (k)),
-f AS ({_FUSED.format(by="d, s,", w="")})
+f AS ({FUSED.format(by="d, s,", w="")})
 SELECT k AS chunk_key, round(d, 6) AS dense_score, round(s, 6) AS sparse_score, round(f, 6) AS score, CAST(row_number() OVER (ORDER BY f DESC, k) AS INTEGER) AS rank FROM f QUALIFY rank <= 10
 """
 )
@@ -187,10 +187,10 @@ KBS = ["src1", "src0", "src2"]
 @query(
     scored_sql("source", "item_id = 1")
     + f""",
-v AS (SELECT source AS kb_id, e.vec_id AS k, {_COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings e JOIN documents ON vec_id = doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE source IN ('src0', 'src1', 'src2') QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, k) <= 24),
+v AS (SELECT source AS kb_id, e.vec_id AS k, {COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings e JOIN documents ON vec_id = doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE source IN ('src0', 'src1', 'src2') QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, k) <= 24),
 b AS (SELECT kb_id, chunk_key AS k, score FROM r WHERE kb_id IN ('src0', 'src1', 'src2') QUALIFY row_number() OVER (PARTITION BY kb_id ORDER BY score DESC, k) <= 24),
 m AS (SELECT kb_id, k, v.score AS d, b.score AS s FROM v FULL JOIN b USING (kb_id, k)),
-f AS ({_FUSED.format(by="kb_id,", w="PARTITION BY kb_id")}),
+f AS ({FUSED.format(by="kb_id,", w="PARTITION BY kb_id")}),
 z AS (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY f DESC, k) AS rank, CASE kb_id WHEN 'src1' THEN 1 WHEN 'src0' THEN 2 ELSE 3 END AS o FROM f QUALIFY rank <= 4)
 SELECT kb_id, chunk_key, rank, score FROM (SELECT kb_id, k AS chunk_key, CAST(rank AS INTEGER) AS rank, round(f, 6) AS score, o FROM z ORDER BY o, rank LIMIT 10)
 """

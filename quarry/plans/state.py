@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import facets, manifest, store
 from quarry.plans.registry import query, table
+from quarry.plans.stored import written
 from quarry.plans.texts import source_path
 from quarry.sources import files
 
@@ -89,19 +90,30 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("kb_id"), (F.col("doc_id") % 100).alias("doc_id"), F.col("n_chars").alias("v"))
 
 
+def _chunk_table(spark: SparkSession, sf_dir: str) -> store.Deltas:
+    """The rows as one change of a table on disk."""
+    held = store.Deltas(written(spark, "chunks", "kb_id string, doc_id bigint, v bigint"), ("kb_id", "doc_id"))
+    held.change(chunk_rows(spark, sf_dir), chunk_rows(spark, sf_dir).limit(0))
+    return held
+
+
 _CHANGED = "SELECT DISTINCT source AS kb_id, doc_id % 100 AS doc_id FROM documents WHERE doc_id % 8 = 3"
 
 
 @query(f"SELECT source AS kb_id, doc_id % 100 AS doc_id, n_chars AS v FROM documents d ANTI JOIN ({_CHANGED}) c ON c.kb_id = d.source AND c.doc_id = d.doc_id % 100")
 def delete_doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = table(spark, sf_dir, "documents").where("doc_id % 8 = 3").select(F.col("source").alias("kb_id"), (F.col("doc_id") % 100).alias("doc_id"))
-    return store.delete_docs(chunk_rows(spark, sf_dir), changed)
+    held = _chunk_table(spark, sf_dir)
+    held.change(chunk_rows(spark, sf_dir).limit(0), changed)
+    return held.read()
 
 
 @query(f"SELECT source AS kb_id, doc_id % 100 AS doc_id, n_chars AS v FROM documents d ANTI JOIN ({_CHANGED}) c ON c.kb_id = d.source AND c.doc_id = d.doc_id % 100 UNION ALL SELECT source, doc_id % 100, -1 FROM documents WHERE doc_id % 8 = 3")
 def upsert_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = table(spark, sf_dir, "documents").where("doc_id % 8 = 3").select(F.col("source").alias("kb_id"), (F.col("doc_id") % 100).alias("doc_id"), F.lit(-1).cast("bigint").alias("v"))
-    return store.upsert(chunk_rows(spark, sf_dir), fresh)
+    held = _chunk_table(spark, sf_dir)
+    held.change(fresh, fresh)
+    return held.read()
 
 
 @query("SELECT source AS kb_id, sha256(string_agg(concat_ws(':', concat('doc_', doc_id, '.txt'), n_chars, length(text)), chr(10) ORDER BY concat('doc_', doc_id, '.txt'))) AS fingerprint FROM documents GROUP BY source")

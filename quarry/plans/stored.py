@@ -9,10 +9,11 @@ from contextlib import suppress
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import bm25, ivf, manifest, store
+from quarry.operators import bm25, ivf, manifest, retrieve, segments, store
+from quarry.operators.embeddings import EmbeddingCache
 from quarry.plans.registry import query, table
-from quarry.plans.search import NEAR_BATCH_SQL, asked, chunks, scored_sql
-from quarry.runtime import shared_root
+from quarry.plans.search import COSINE, FUSED, NEAR_BATCH_SQL, asked, chunks, scored_sql, with_vectors
+from quarry.runtime import materialise, shared_root
 from quarry.sources import files
 
 
@@ -117,3 +118,97 @@ def ivf_topk_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with all lists: the exact result, through the inverted file."""
     found = ivf.search(inverted_file(spark, sf_dir), _asked_vectors(spark, sf_dir), 10, probes=0)
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+INDEXED = "kb_id string, doc_id bigint, chunk_key bigint, text string"
+
+
+def indexed(spark: SparkSession, rows: DataFrame, name: str = "all") -> segments.Indexed:
+    """A chunk table with its index that holds the rows (kb_id, chunk_key, text) as one change."""
+    held = segments.Indexed(written(spark, "indexed", INDEXED), ("doc_id",))
+    held.change(rows.withColumn("doc_id", F.col("chunk_key")), rows.select(F.col("chunk_key").alias("doc_id")).limit(0), name)
+    return held
+
+
+_RANKED = ", z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_key) AS rank FROM r) SELECT query_id, chunk_key, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM z WHERE rank <= 10"
+
+
+def _ten(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+
+
+@query(scored_sql("'all'", "true") + _RANKED)
+def blockmax_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions against stored blocks of postings, of which only those are read that can reach the ten best."""
+    return _ten(segments.search(indexed(spark, chunks(spark, sf_dir)).index("all"), asked(spark, sf_dir), 10))
+
+
+@query((scored_sql("'all'", "true") + _RANKED).replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 7 <> 0)"))
+def segmented_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions after three changes of an index: two thirds of the documents, a fifth of them with another text; the rest, and the right texts; a seventh is removed.
+
+    Scores are those of an index that is built anew.
+    """
+    rows = chunks(spark, sf_dir).withColumn("doc_id", F.col("chunk_key"))
+    at = F.col("doc_id")
+    held = segments.Indexed(written(spark, "indexed", INDEXED), ("doc_id",))
+    wrong = F.when(at % 5 == 0, F.concat(F.lit("entirely other words "), F.substring("text", 1, 200))).otherwise(F.col("text"))
+    held.change(rows.where(at % 3 != 0).withColumn("text", wrong), rows.select("doc_id").limit(0), "all")
+    held.change(rows.where((at % 3 == 0) | (at % 5 == 0)), rows.where(at % 5 == 0).select("doc_id"), "all")
+    held.change(rows.limit(0), rows.where(at % 7 == 0).select("doc_id"), "all")
+    return _ten(segments.search(held.index("all"), asked(spark, sf_dir), 10))
+
+
+#: A question's vector is that of its number.
+_HYBRID = (
+    scored_sql("'all'", "true")
+    + f""",
+v AS (SELECT q.vec_id AS query_id, e.vec_id AS k, {COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings e JOIN documents ON e.vec_id = doc_id, embeddings q JOIN benchmark ON q.vec_id = item_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, k) <= 24),
+b AS (SELECT query_id, chunk_key AS k, score FROM r WHERE query_id IN (SELECT vec_id FROM embeddings) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, k) <= 24),
+m AS (SELECT query_id, k, v.score AS d, b.score AS s FROM v FULL JOIN b USING (query_id, k)),
+f AS ({FUSED.format(by="query_id, d, s,", w="PARTITION BY query_id")}), g AS (SELECT *, CASE WHEN count(s) OVER (PARTITION BY query_id) > 0 THEN f ELSE d END AS best FROM f)
+SELECT query_id, k AS chunk_key, round(d, 6) AS dense_score, round(s, 6) AS sparse_score, round(best, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best DESC, k) AS INTEGER) AS rank FROM g QUALIFY rank <= 10
+"""
+)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, vectors: ivf.Index | None = None, probes: int | None = None) -> DataFrame:
+    rows = materialise(with_vectors(spark, sf_dir, "all").where(F.col("embedding").isNotNull()), "vectors")
+    questions = asked(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    if probes is not None:
+        held = written(spark, "ivf")
+        held.publish(lambda folder: ivf.build(rows.select("chunk_key", "embedding"), folder))
+        vectors = ivf.Index.read(spark, held.folders()[0])
+    found = retrieve.hybrid_batch(rows, questions, indexed(spark, chunks(spark, sf_dir)).index("all"), vectors=vectors)
+    return found.select("query_id", "chunk_key", *[F.round(c, 6).alias(c) for c in ("dense_score", "sparse_score", "score")], "rank")
+
+
+@query(_HYBRID)
+def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval for all questions as one table, over stored postings and all vectors."""
+    return _hybrid(spark, sf_dir)
+
+
+class Measured:
+    """A provider whose vectors SQL can tell: characters, blanks, and one."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+
+
+class Refusing:
+    """A provider that must not be asked."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        raise RuntimeError(f"asked for {len(texts)} texts")
+
+
+@query("SELECT doc_id, CAST(length(coalesce(text, '')) AS FLOAT) AS n_chars, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS FLOAT) AS n_blanks, (SELECT count(DISTINCT coalesce(text, '')) FROM documents) AS texts_sent FROM documents")
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents embedded, then again under other names by a provider that fails if it is called; `texts_sent` is how many texts the first one was given."""
+    cache = EmbeddingCache(written(spark, "vectors", EmbeddingCache.SCHEMA), "measured", "m")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache.embed(rows, Measured())
+    again = cache.embed(rows.select(F.col("doc_id"), F.concat(F.lit("renamed_"), F.col("doc_id").cast("string")).alias("name"), "text"), Refusing())
+    sent = cache.held.read().count()
+    return again.select("doc_id", F.col("embedding")[0].alias("n_chars"), F.col("embedding")[1].alias("n_blanks"), F.lit(sent).cast("bigint").alias("texts_sent"))
