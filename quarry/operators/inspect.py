@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import format_source
+from quarry.runtime import materialise
 
 
 def matches_doc(doc_id: Column, wanted: str, contains: bool = False) -> Column:
@@ -49,20 +50,44 @@ def show(chunks: DataFrame, where: Column | None = None, limit: int | None = 20,
     return (rows if limit is None else rows.limit(limit)).select(format_source(F.col("source"), page).alias("label"), meta.alias("meta"), text.alias("text"))
 
 
-def json_types(rows: DataFrame, column: str, sample: int | None = None) -> DataFrame:
-    """(key, types): for each key of a JSON column, the types its values are seen with, in `sample` rows or all."""
+def json_types(rows: DataFrame, column: str, sample: int | None = None, nested: bool = False) -> DataFrame:
+    """(key, types): for each key of a JSON column, the types its values are seen with, in `sample` rows or all.
+
+    With `nested`, keys of objects inside are there as well, by their path (`a.b`; `a[]` are the elements of a list): level by level, until there is none. Text is parsed once, so a text that
+    looks like a number is a text. Rows that are no JSON, or no object, say nothing. An integer of more than 38 digits counts as a float.
+    """
     taken = rows.limit(sample) if sample else rows
-    entries = taken.select(F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
-    kind = (
-        F.when(F.col("value").isNull(), "null")
-        .when(F.col("value").rlike(r"^-?\d+$"), "int")
-        .when(F.col("value").rlike(r"^-?\d+\.\d+([eE][-+]?\d+)?$"), "float")
-        .when(F.col("value").isin("true", "false"), "bool")
-        .when(F.col("value").rlike(r"^\["), "list")
-        .when(F.col("value").rlike(r"^\{"), "dict")
+    level = taken.select(F.lit("").alias("at"), F.try_parse_json(column).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    found, depth = None, 0
+    while True:
+        of = level.lateralJoin(taken.sparkSession.tvf.variant_explode(F.col("v").outer())).select("at", "key", "value")
+        path = F.when(F.col("key").isNull(), F.concat("at", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("at", F.lit("")), "key"))
+        of = of.select(path.alias("key"), "value", F.schema_of_variant("value").alias("kind"))
+        of = materialise(of, "values") if nested else of
+        counted = of.groupBy("key").agg(F.collect_set(_json_kind(F.col("value"), F.col("kind"))).alias("kinds"))
+        found = counted if found is None else found.unionByName(counted)
+        if not nested or depth > 100:
+            break
+        depth += 1
+        level = of.where(F.col("kind").startswith("OBJECT<") | F.col("kind").startswith("ARRAY<")).select(F.col("key").alias("at"), F.col("value").alias("v"))
+        if not level.head(1):
+            break
+    return found.select("key", F.array_join(F.sort_array("kinds"), ",").alias("types")).orderBy("key")
+
+
+def _json_kind(value: Column, kind: Column) -> Column:
+    """The name of a value's type; a whole number beyond 64 bits is kept as a decimal, as are 1.0 and 0.5."""
+    wide = F.abs(F.try_variant_get(value, "$", "decimal(38,0)")) >= F.lit(2**63 - 1).cast("decimal(38,0)")
+    return (
+        F.when(kind == "VOID", "null")
+        .when(kind == "BIGINT", "int")
+        .when(kind == "DOUBLE", "float")
+        .when(kind.startswith("DECIMAL"), F.when(kind.endswith(",0)") & F.coalesce(wide, F.lit(False)), "int").otherwise("float"))
+        .when(kind == "BOOLEAN", "bool")
+        .when(kind.startswith("ARRAY"), "list")
+        .when(kind.startswith("OBJECT"), "dict")
         .otherwise("str")
     )
-    return entries.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set(kind)), ",").alias("types")).orderBy("key")
 
 
 def vector_config(rows: DataFrame, column: str = "embedding") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import basename, sanitize_kb_id
+from quarry.runtime import materialise
 from quarry.schemas import DELETED, ERROR, INDEXED, SKIPPED
 
 #: Suffixes that can be ingested.
@@ -96,9 +97,9 @@ def doc_count(records: DataFrame) -> DataFrame:
 
 
 def coerced_records(raw: DataFrame) -> DataFrame:
-    """Records read from loose JSON: every field with its type and default."""
+    """Records read from loose JSON: every field with its type and default. A record without a status has none, so its file is parsed again."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return raw.select(text("abs_path"), text("rel_path"), text("hash"), F.coalesce(F.try_to_number(F.col("mtime_ns").cast("string"), F.lit("9999999999999999999")).cast("bigint"), F.lit(0)).alias("mtime_ns"), F.coalesce(F.col("status").cast("string"), F.lit(INDEXED)).alias("status"), F.coalesce(F.col("source_deleted").cast("boolean"), F.lit(False)).alias("source_deleted"), F.col("error").cast("string").alias("error"), text("updated_at"))
+    return raw.select(text("abs_path"), text("rel_path"), text("hash"), F.coalesce(F.try_to_number(F.col("mtime_ns").cast("string"), F.lit("9999999999999999999")).cast("bigint"), F.lit(0)).alias("mtime_ns"), text("status"), F.coalesce(F.col("source_deleted").cast("boolean"), F.lit(False)).alias("source_deleted"), F.col("error").cast("string").alias("error"), text("updated_at"))
 
 
 def as_json(rows: DataFrame) -> DataFrame:
@@ -113,21 +114,29 @@ def kb_paths_from_json(raw: DataFrame, column: str = "value") -> DataFrame:
 def resolve_kb_ids(roots: DataFrame, bindings: DataFrame) -> DataFrame:
     """(root, kb_id) for roots (root, wanted): the wanted name, else the root's binding, else a clean name no one has.
 
-    A name that is taken gets six digits of the root's SHA-1, one that is still taken all of them and a number.
+    A name that is taken gets six digits of the root's SHA-1, one that is still taken a number from 2 on as well. Many roots at once get different names: in each round the roots
+    without one ask for their next, the least root of those that ask for the same gets it, and the rest go on, until all have one. As roots differ in their digits, that is two rounds, and one
+    more for each number.
     """
     bound = roots.join(bindings.withColumnRenamed("kb_id", "bound"), "root", "left")
-    base = sanitize_kb_id(basename(F.col("root")))
-    named = bound.withColumn("wanted", F.nullif("wanted", F.lit(""))).withColumn("base", base).withColumn("sha", F.sha1(F.col("root").cast("binary")))
-    named = named.withColumn("short", F.concat_ws("_", "base", F.substring("sha", 1, 6))).withColumn("long", F.concat_ws("_", "base", "sha"))
-    taken = bindings.select("kb_id").distinct()
-    for name in ("base", "short", "long"):
-        named = named.join(taken.select(F.col("kb_id").alias(name), F.lit(True).alias(f"{name}_taken")), name, "left")
-    # Of names that begin with the long one, how many there are: the long name is all of theirs but the number, so they meet by equality.
-    numbered = taken.select(F.regexp_extract("kb_id", r"^(.*)_[^_]*$", 1).alias("long")).groupBy("long").agg(F.count("*").alias("n"))
-    free = F.when(F.col("base_taken").isNull(), F.col("base")).when(F.col("short_taken").isNull(), F.col("short")).when(F.col("long_taken").isNull(), F.concat_ws("_", "long", F.lit("2")))
-    counted = named.join(numbered, "long", "left")
-    last = F.concat_ws("_", "long", (F.coalesce("n", F.lit(0)) + 2).cast("string"))
-    return counted.select("root", F.coalesce("wanted", "bound", free, last).alias("kb_id"))
+    named = materialise(bound.select("root", F.coalesce(F.nullif("wanted", F.lit("")), "bound").alias("kb_id")), "named")
+    kept = named.where(F.col("kb_id").isNotNull())
+    base, digits = sanitize_kb_id(basename(F.col("root"))), F.substring(F.sha1(F.col("root").cast("binary")), 1, 6)
+    asking = named.where(F.col("kb_id").isNull()).select("root").distinct().select("root", base.alias("base"), F.concat_ws("_", base, digits).alias("short"))
+    taken, won, attempt = bindings.select("kb_id").unionByName(kept.select("kb_id")), [], 0
+    while asking.head(1):
+        attempt += 1
+        name = F.col("base") if attempt == 1 else F.col("short") if attempt == 2 else F.concat_ws("_", "short", F.lit(str(attempt - 1)))
+        free = asking.withColumn("kb_id", name).join(taken, "kb_id", "left_anti")
+        # A minimum, and not a sorted group: many roots may ask for one name.
+        got = materialise(free.groupBy("kb_id").agg(F.min("root").alias("root")).select("root", "kb_id"), "got")
+        won.append(got)
+        taken = taken.unionByName(got.select("kb_id"))
+        asking = materialise(asking.join(got, "root", "left_anti"), "asking")
+    found = kept
+    for got in won:
+        found = found.unionByName(named.select("root").join(got, "root"))
+    return found
 
 
 def fingerprint(files: DataFrame, *by: str) -> DataFrame:

@@ -121,13 +121,32 @@ def inspect_show(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH e AS (SELECT unnest(json_keys(props)) AS key, props FROM events),
 v AS (SELECT key, json_type(json_extract(props, concat('$."', key, '"'))) AS t FROM e)
-SELECT key, string_agg(DISTINCT CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN t = 'DOUBLE' THEN 'float' WHEN t = 'BOOLEAN' THEN 'bool' WHEN t = 'ARRAY' THEN 'list' WHEN t = 'OBJECT' THEN 'dict' WHEN t = 'NULL' THEN 'null' ELSE 'str' END, ',' ORDER BY 1) AS types FROM v GROUP BY key
+SELECT key, array_to_string(list_sort(list(DISTINCT CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN t = 'DOUBLE' THEN 'float' WHEN t = 'BOOLEAN' THEN 'bool' WHEN t = 'ARRAY' THEN 'list' WHEN t = 'OBJECT' THEN 'dict' WHEN t = 'NULL' THEN 'null' ELSE 'str' END)), ',') AS types FROM v GROUP BY key
 """
 )
 def metadata_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.json_types(table(spark, sf_dir, "events"), "props")
 
 
+#: Events with nested values, of types that differ from event to event; texts that look like numbers and words of JSON.
+_NESTED_SQL = """concat('{"id":', event_id, ',"text":"', event_id, '","flag":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '"true"' END, ',"n":{"x":', event_id % 7, CASE event_id % 3 WHEN 0 THEN '.5' WHEN 1 THEN 'e2' ELSE '' END, ',"y":{"z":[1,"[x",{"w":null}]}},"p":', props, '}')"""
+
+
+@query(
+    f"""
+WITH v AS (SELECT regexp_replace(substr(t.fullkey, 3), '\\[\\d+\\]', '[]', 'g') AS key, t.type AS t FROM (SELECT {_NESTED_SQL} AS j FROM events) e, json_tree(e.j) t WHERE t.fullkey <> '$')
+SELECT key, array_to_string(list_sort(list(DISTINCT CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'int' WHEN t = 'DOUBLE' THEN 'float' WHEN t = 'BOOLEAN' THEN 'bool' WHEN t = 'ARRAY' THEN 'list' WHEN t = 'OBJECT' THEN 'dict' WHEN t = 'NULL' THEN 'null' ELSE 'str' END)), ',') AS types FROM v GROUP BY key
+"""
+)
+def metadata_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("event_id")
+    text, lit = at.cast("string"), F.lit
+    flag = F.when(at % 2 == 0, "true").otherwise('"true"')
+    more = F.when(at % 3 == 0, ".5").when(at % 3 == 1, "e2").otherwise("")
+    j = F.concat(lit('{"id":'), text, lit(',"text":"'), text, lit('","flag":'), flag, lit(',"n":{"x":'), (at % 7).cast("string"), more, lit(',"y":{"z":[1,"[x",{"w":null}]}},"p":'), F.col("props"), lit("}"))
+    return inspect.json_types(table(spark, sf_dir, "events").select(j.alias("j")), "j", nested=True)
+
+
 @query("SELECT 'embedding' AS name, CAST(min(len(embedding)) AS INTEGER) AS least, CAST(max(len(embedding)) AS INTEGER) AS most, 'cosine' AS distance FROM embeddings")
 def vector_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.vector_config(table(spark, sf_dir, "embeddings"))

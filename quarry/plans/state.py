@@ -149,6 +149,26 @@ def unique_kb_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("root", r"^(/root/\d+)", 1).alias("root"), "kb_id")
 
 
+@query(
+    """
+WITH r AS (SELECT concat('/', doc_id, '/Docs ', doc_id % 5) AS root, concat('docs_', doc_id % 5) AS base, CASE WHEN doc_id % 50 = 7 THEN 1 ELSE 0 END AS short_taken FROM documents),
+d AS (SELECT *, concat(base, '_', substring(sha1(root), 1, 6)) AS short, row_number() OVER (PARTITION BY base ORDER BY root) AS nth FROM r),
+s AS (SELECT *, base <> 'docs_0' AND nth = 1 AS first FROM d),
+n AS (SELECT root, base, short, first, CASE WHEN NOT first THEN row_number() OVER (PARTITION BY short, first ORDER BY root) + max(short_taken) OVER (PARTITION BY short) END AS number FROM s)
+SELECT root, CASE WHEN first THEN base WHEN number = 1 THEN short ELSE concat(short, '_', number) END AS kb_id FROM n
+"""
+)
+def unique_kb_ids_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root for each document, which share five base names; one base name is taken before, and so are some that have the digits."""
+    docs, at = table(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    root = F.concat(F.lit("/"), at, F.lit("/Docs "), (F.col("doc_id") % 5).cast("string"))
+    roots = docs.select("doc_id", root.alias("root"), F.lit(None).cast("string").alias("wanted"))
+    short = F.concat(F.lit("docs_"), (F.col("doc_id") % 5).cast("string"), F.lit("_"), F.substring(F.sha1(F.col("root").cast("binary")), 1, 6))
+    taken = roots.where("doc_id % 50 = 7").select(F.concat(F.lit("/elsewhere"), F.col("root")).alias("root"), short.alias("kb_id"))
+    bindings = taken.unionByName(spark.createDataFrame([("/elsewhere/docs 0", "docs_0")], "root string, kb_id string"))
+    return manifest.resolve_kb_ids(roots.drop("doc_id"), bindings)
+
+
 @query("SELECT source AS kb_id, string_agg(DISTINCT concat('/r/', lang), ',' ORDER BY concat('/r/', lang)) AS roots, CASE WHEN source <> 'src1' THEN count(*) END AS doc_count FROM documents GROUP BY source")
 def list_kbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -186,12 +206,12 @@ def suggest_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.suggest(facets.file_names(records(spark, sf_dir)), "zz qq").select("name", "rank", "message")
 
 
-@query("SELECT concat('/p/', doc_id) AS abs_path, '' AS rel_path, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'h' END, '') AS hash, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS mtime_ns, 'indexed' AS status, doc_id % 2 = 1 AS source_deleted FROM documents")
+@query("SELECT concat('/p/', doc_id) AS abs_path, '' AS rel_path, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'h' END, '') AS hash, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS mtime_ns, CASE WHEN doc_id % 5 = 0 THEN 'indexed' ELSE '' END AS status, doc_id % 2 = 1 AS source_deleted FROM documents")
 def coerce_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("doc_id")
     raw = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("/p/"), at.cast("string")).alias("abs_path"), F.lit(None).cast("string").alias("rel_path"), F.when(at % 2 == 0, "h").alias("hash"), F.when(at % 3 == 0, at.cast("string")).when(at % 3 == 1, "bad").alias("mtime_ns"),
-        F.lit(None).cast("string").alias("status"), F.when(at % 2 == 1, "true").alias("source_deleted"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("updated_at"),
+        F.when(at % 5 == 0, "indexed").alias("status"), F.when(at % 2 == 1, "true").alias("source_deleted"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("updated_at"),
     )
     return manifest.coerced_records(raw).select("abs_path", "rel_path", "hash", "mtime_ns", "status", "source_deleted")
 

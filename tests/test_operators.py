@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,7 +187,31 @@ def test_chunk_rows_and_sections(spark):
     assert got == [("f", 0, "Chapter 1\nbody"), ("f", 1, "Chapter 2"), ("g", 0, "x\t2024-01-05 [DATE=2024-01] [DATE=2024-01-05]"), ("g", 1, "y")]
 
 
-def test_json_types(spark):
-    rows = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": 1.5, "c": null, "d": [1]}',)], "props string")
-    assert {r["key"]: r["types"] for r in inspect.json_types(rows, "props").collect()} == {"a": "float,int", "b": "str", "c": "null", "d": "list"}
+def test_json_types(spark, duck):
+    texts = ['{"a": 1, "b": "x"}', '{"a": 1.5, "c": null, "d": [1], "n": {"a": {"b": "2"}}}', '{"a": "12", "b": "true", "d": "[x", "e": 1e5, "f": 1.0, "g": -3, "h": "null", "i": "", "n": {"a": 1}}', '{"j": {}, "k": [], "l": [[1, "a"], {"x": 0.5}], "m": 18446744073709551615}']
+    rows = spark.createDataFrame([(t,) for t in [*texts, "no json", "[1]", "7", None]], "props string")
+    names = {"UBIGINT": "int", "BIGINT": "int", "DOUBLE": "float", "BOOLEAN": "bool", "ARRAY": "list", "OBJECT": "dict", "NULL": "null", "VARCHAR": "str"}
+    want: dict = {}
+    for t in texts:
+        for path, kind in duck.execute(r"SELECT regexp_replace(substr(fullkey, 3), '\[\d+\]', '[]', 'g'), type FROM json_tree(?) WHERE fullkey <> '$'", [t]).fetchall():
+            want.setdefault(path, set()).add(names[kind])
+    want = {k: ",".join(sorted(v)) for k, v in want.items()}
+    assert {r["key"]: r["types"] for r in inspect.json_types(rows, "props", nested=True).collect()} == want
+    assert {r["key"]: r["types"] for r in inspect.json_types(rows, "props").collect()} == {k: v for k, v in want.items() if not {".", "["} & set(k)}
+    big = spark.createDataFrame([('{"a": 18446744073709551616, "b": 123456789012345678901234567890.0}',)], "props string")
+    assert {r["key"]: r["types"] for r in inspect.json_types(big, "props").collect()}["a"] == "int"
+
+
+def test_point_ids():
     assert inspect.point_id("12") == 12 and inspect.point_id("x1") == "x1"
+
+
+def test_names_of_many_roots(spark):
+    roots = [("/a/docs", None), ("/b/docs", None), ("/c/Docs", ""), ("/d/other", "mine"), ("/e/known", None), ("/f/docs", None), ("/g/---", None), ("/b/docs", None)]
+    digits = lambda root: hashlib.sha1(root.encode()).hexdigest()[:6]
+    taken = [("/z/1", "docs"), ("/z/2", f"docs_{digits('/b/docs')}"), ("/z/3", f"docs_{digits('/f/docs')}"), ("/z/4", f"docs_{digits('/f/docs')}_2"), ("/e/known", "bound")]
+    got = manifest.resolve_kb_ids(spark.createDataFrame(roots, "root string, wanted string"), spark.createDataFrame(taken, "root string, kb_id string")).collect()
+    want = {"/a/docs": f"docs_{digits('/a/docs')}", "/b/docs": f"docs_{digits('/b/docs')}_2", "/c/Docs": f"docs_{digits('/c/Docs')}", "/d/other": "mine", "/e/known": "bound", "/f/docs": f"docs_{digits('/f/docs')}_3", "/g/---": "kb"}
+    assert dict(map(tuple, got)) == want and len(got) == len(roots)
+    free = manifest.resolve_kb_ids(spark.createDataFrame(roots[:3], "root string, wanted string"), spark.createDataFrame([], "root string, kb_id string"))
+    assert dict(map(tuple, free.collect())) == {"/a/docs": "docs", "/b/docs": f"docs_{digits('/b/docs')}", "/c/Docs": f"docs_{digits('/c/Docs')}"}
