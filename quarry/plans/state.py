@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import facets, manifest, store
+from quarry.operators import facets, manifest, names, store
 from quarry.plans.registry import query, table
 from quarry.plans.stored import written
 from quarry.plans.texts import source_path
@@ -206,6 +206,30 @@ def suggest_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.suggest(facets.file_names(records(spark, sf_dir)), "zz qq").select("name", "rank", "message")
 
 
+@query(
+    r"""
+WITH d AS (SELECT concat(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 1), '_', regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2), '.TXT') AS name, n_chars FROM documents),
+n AS (SELECT name, lower(name) AS low, regexp_replace(lower(name), '(.)\.[^.]*$', '\1') AS base, max(n_chars) AS seen FROM d GROUP BY ALL),
+q AS (SELECT item_id AS query_id, lower(text) AS q, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: lower(t)), lambda t: length(t) >= 2)) AS ts FROM benchmark
+    UNION ALL SELECT id, t, list_distinct(list_filter(regexp_extract_all(t, '[a-z0-9]+'), lambda t: length(t) >= 2)) FROM (SELECT 100000 + nth AS id, CASE WHEN nth % 50 = 0 THEN low ELSE base END AS t FROM (SELECT *, row_number() OVER (ORDER BY name) AS nth FROM n))
+    UNION ALL SELECT -1, '?!', []),
+s AS (SELECT query_id, name, seen, (CASE WHEN contains(q, low) THEN 30 ELSE 0 END) + (CASE WHEN contains(q, base) THEN 20 ELSE 0 END) + (CASE WHEN query_id > 100000 AND q = low THEN 50 ELSE 0 END)
+    + coalesce(list_sum(list_transform(ts, lambda t: CASE WHEN contains(base, t) THEN 3 WHEN contains(low, t) THEN 1 ELSE 0 END)), 0) AS score FROM n, q),
+z AS (SELECT query_id, name, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, name) AS INTEGER) AS rank FROM s WHERE score > 0 QUALIFY rank <= 8)
+SELECT *, NULL AS message FROM z UNION ALL
+SELECT query_id, name, 0, rank, '未识别到文件名，以下为最近文件' FROM (SELECT query_id FROM q WHERE query_id NOT IN (SELECT query_id FROM z)), (SELECT name, CAST(row_number() OVER (ORDER BY seen DESC, name) AS INTEGER) AS rank FROM n QUALIFY rank <= 8)
+"""
+)
+def suggest_files_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names made of two words of each document, for all questions, for one question about each name (every 50th with the suffix), and for one that says nothing."""
+    word = lambda i: F.regexp_extract("text", "([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)", i)
+    files = table(spark, sf_dir, "documents").groupBy(F.concat(word(1), F.lit("_"), word(2), F.lit(".TXT")).alias("name")).agg(F.timestamp_seconds(F.max("n_chars")).alias("updated_at"))
+    nth = F.row_number().over(Window.partitionBy().orderBy("name"))
+    about = files.select((F.lit(100_000) + nth).cast("bigint").alias("query_id"), F.when(nth % 50 == 0, F.lower("name")).otherwise(F.regexp_replace(F.lower("name"), r"\.txt$", "")).alias("text"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint").alias("query_id"), "text").unionByName(about).unionByName(spark.createDataFrame([(-1, "?!")], "query_id bigint, text string"))
+    return names.suggest_all(files, asked).select("query_id", "name", "score", "rank", "message")
+
+
 @query("SELECT concat('/p/', doc_id) AS abs_path, '' AS rel_path, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'h' END, '') AS hash, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS mtime_ns, CASE WHEN doc_id % 5 = 0 THEN 'indexed' ELSE '' END AS status, doc_id % 2 = 1 AS source_deleted FROM documents")
 def coerce_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("doc_id")
