@@ -29,6 +29,12 @@ def _garbled(text: str) -> int:
     return 2 * text.count("�") + len(_LATIN1.findall(text))
 
 
+def garbled(text: str) -> bool:
+    """As text.looks_garbled, for one text."""
+    score, cjk = _garbled(text), len(_CJK.findall(text))
+    return score >= 20 and (not cjk or score > 2 * cjk)
+
+
 def repair_text(text: str) -> str:
     """The reading of the text's Latin-1 bytes as UTF-8 or GB 18030 that is less garbled and has no less CJK, if there is one."""
     try:

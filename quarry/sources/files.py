@@ -59,7 +59,7 @@ def listed(found: DataFrame, root: str, with_hash: bool = True) -> DataFrame:
     )
 
 
-def _shaped(rows: list[tuple]) -> pa.RecordBatch:
+def shaped(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
@@ -116,7 +116,7 @@ def documents(found: DataFrame, make_ocr: Callable[[], Callable] | None = None,
                 except Exception as failure:  # noqa: BLE001  one bad file must not end the run
                     rows = [(at, 0, None, kind.lstrip("."), None, None, None, None, str(failure) or traceback.format_exc(limit=1))]
                 if rows:
-                    yield _shaped(rows)
+                    yield shaped(rows)
 
     binary = kinds.where(~F.col("kind").isin(*TEXT)).mapInArrow(parse, DOCUMENT)
     return plain.unionByName(binary)
