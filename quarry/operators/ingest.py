@@ -46,8 +46,8 @@ class KnowledgeBase:
     def manifests(self) -> store.Table:
         return self.table("index_manifests", schemas.INDEX_MANIFEST)
 
-    def records(self, kb_id: str) -> store.Table:
-        return self.table(f"records/{kb_id}", schemas.FILE_RECORD)
+    def records(self, kb_id: str) -> store.Deltas:
+        return store.Deltas(self.table(f"records/{kb_id}", schemas.FILE_RECORD), ("abs_path",))
 
     @property
     def texts(self) -> store.Deltas:
@@ -86,15 +86,19 @@ class KnowledgeBase:
         self.paths.write(kept.unionByName(self.spark.createDataFrame([(root, found)], schemas.KB_PATHS)))
         return found
 
-    def ingest(self, root: str, kb_id: str | None = None, provider: Embedder | None = None, make_ocr: Callable | None = None, pdf: Callable | None = None, doc: Callable | None = None) -> str:
-        """Sync: parse what is new or changed, mark what is gone, replace chunks by key, derive the index. Returns the run's id."""
+    def ingest(self, root: str, kb_id: str | None = None, provider: Embedder | None = None, make_ocr: Callable | None = None, pdf: Callable | None = None, doc: Callable | None = None, only: DataFrame | None = None) -> str:
+        """Sync: parse what is new or changed, mark what is gone, replace chunks by key, derive the index. Returns the run's id.
+
+        With `only`, a listing of some files, no other file is looked at: none is listed, hashed or marked as gone.
+        """
         if "://" not in root and not root.startswith("/"):
             raise ValueError("the root must be an absolute path")
         kb = self.resolve(root, kb_id)
         run_id = uuid.uuid4().hex
         # Written once: a lost executor hashes no file twice, and reads none again for OCR or a provider.
-        listing = materialise(files.listing(self.spark, root), "listing")
+        listing = materialise(files.listing(self.spark, root) if only is None else only, "listing")
         old = self.records(kb).read()
+        old = old if only is None else old.join(listing.select("abs_path"), "abs_path", "left_semi")
         planned = materialise(manifest.plan(listing, old, root), "planned")
         todo = planned.where("action = 'parse'").select("abs_path")
 
@@ -119,7 +123,10 @@ class KnowledgeBase:
         if todo.head(1):
             self.chunks.change(shaped, done, kb)
             self.texts.change(files.full_texts(docs), todo, kb)
-        self.records(kb).write(manifest.records_after(planned, outcome, old, listing, root))
+        lost = old.join(planned.where(F.col("action") == schemas.DELETED).select("abs_path"), "abs_path", "left_semi")
+        changed = materialise(manifest.records_after(planned, outcome, lost, listing, root), "records")
+        if changed.head(1):
+            self.records(kb).change(changed, changed)
         self.reports.change(manifest.report(planned, outcome, run_id, kb, root), self.spark.createDataFrame([], "run_id string"), kb)
         self._manifest(kb)
         return run_id

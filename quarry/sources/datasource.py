@@ -7,11 +7,13 @@
 Both give DOCUMENT rows: a page, a table row or a whole text each, and one row with the error for a file that cannot be read. The format lists the folder once and deals files to partitions by their size; files
 of kinds that are not asked for are never opened. (Kinds are an option and no pushed filter: Spark keeps what a filter was pushed to for later queries of the same frame, which would lose
 rows there.) It opens files by itself, from local folders or what pyarrow's file systems reach; for stores that
-only Spark's readers reach there is the function, over binaryFile rows.
+only Spark's readers reach there is the function, over binaryFile rows. `folder_listing` is the folder's listing as a stream, which Spark's own file stream is not: that one gives each path once, and
+no file that has changed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import traceback
 from collections.abc import Iterator
@@ -21,17 +23,19 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quarry.functions.encoding import decode_bytes, garbled, repair_text
 from quarry.runtime import reach_workers
 from quarry.schemas import DOCUMENT
 from quarry.sources import files, ocr, office, pdf
 
-NAME, FUNCTION = "folder_documents", "parse_file"
+NAME, LISTING, FUNCTION = "folder_documents", "folder_listing", "parse_file"
 #: Bytes of files that one partition reads, unless the option of this name says otherwise.
 PARTITION_BYTES = "partitionBytes"
 DEFAULT_BYTES = 32 << 20
+#: Rows of a listing in one partition of the stream.
+LISTED = 10_000
 
 
 def rows(path: str, content: bytes) -> list[tuple]:
@@ -113,6 +117,56 @@ class FolderSource(DataSource):
         return FolderReader(self.options)
 
 
+class FolderStream(DataSourceStreamReader):
+    """The listing of a folder, again whenever it differs; an offset is a digest of names, times and sizes."""
+
+    def __init__(self, options: dict):
+        self.folder = FolderReader({**options, "kinds": ""})
+        self.folder.kinds = None
+
+    def _rows(self) -> list[tuple[str, int, int]]:
+        store, root = self.folder._at()
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        return sorted((f.path, f.mtime_ns // 1_000_000, f.size) for f in found if f.is_file)
+
+    def initialOffset(self) -> dict:
+        return {"digest": ""}
+
+    def latestOffset(self) -> dict:
+        return {"digest": hashlib.sha256(repr(self._rows()).encode()).hexdigest()}
+
+    def partitions(self, start: dict, end: dict) -> list[Rows]:
+        """What is there now: of a batch that runs again, the state behind it lets go on what it has not seen."""
+        if start == end:
+            return [Rows([])]
+        found = self._rows()
+        return [Rows(found[i : i + LISTED]) for i in range(0, len(found), LISTED)] or [Rows([])]
+
+    def read(self, partition: Rows) -> Iterator[tuple]:
+        yield from partition.rows
+
+
+@dataclass
+class Rows(InputPartition):
+    """Some rows of a listing."""
+
+    rows: list[tuple[str, int, int]]
+
+
+class FolderListing(DataSource):
+    """(abs_path, mtime, length) of the files in a folder, as a stream."""
+
+    @classmethod
+    def name(cls) -> str:
+        return LISTING
+
+    def schema(self) -> str:
+        return "abs_path string, mtime bigint, length bigint"
+
+    def streamReader(self, schema: object) -> FolderStream:
+        return FolderStream(self.options)
+
+
 class ParseFile:
     """The table function."""
 
@@ -125,4 +179,5 @@ def register(spark: SparkSession) -> None:
     """Make the format and the function known to the session."""
     reach_workers(spark)
     spark.dataSource.register(FolderSource)
+    spark.dataSource.register(FolderListing)
     spark.udtf.register(FUNCTION, F.udtf(ParseFile, returnType=DOCUMENT))

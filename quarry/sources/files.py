@@ -31,13 +31,13 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def some(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """Some files under the root: (path, content); no other file is opened. Their paths are on the driver, as Spark's own list of files is."""
+    """Some files under the root, as `files` gives them; no other file is opened. Their paths are on the driver, as Spark's own list of files is."""
     local = root.startswith("file:")
     # Characters that a path may hold and a pattern would read otherwise.
     plain = [re.sub(r"([\\{}\[\]*?])", r"\\\1", f"file://{p}" if local and p.startswith("/") else p) for p in paths]
     if not plain:
-        return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(plain).select("path", "content")
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
+    return spark.read.format("binaryFile").load(plain)
 
 
 def listing(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:

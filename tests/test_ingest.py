@@ -11,6 +11,7 @@ from quarry import cli
 from quarry.operators.ingest import KnowledgeBase
 from quarry.providers import HashEmbedder
 from quarry.settings import Settings
+from quarry.sources import files
 from quarry.streaming.ingest import watch
 
 
@@ -70,6 +71,33 @@ def test_stream_syncs_new_files(spark, kb, tmp_path):
     assert sorted(r["text"] for r in kb.chunks.read().select(F.col("text")).collect()) == ["one text", "two texts"]
 
 
+def test_a_batch_touches_its_own_files(spark, kb, tmp_path, monkeypatch):
+    docs, cp = tmp_path / "stream", str(tmp_path / "cp")
+    docs.mkdir()
+    for i in range(6):
+        (docs / f"f{i}.txt").write_text(f"text number {i}")
+    opened = []
+    whole, some = files.listing, files.some
+    monkeypatch.setattr(files, "listing", lambda *a, **k: opened.append("folder") or whole(*a, **k))
+    monkeypatch.setattr(files, "some", lambda spark, root, paths: opened.append(sorted(p.rsplit("/", 1)[1] for p in paths)) or some(spark, root, paths))
+    run = lambda: watch(spark, kb, str(docs), cp, provider=HashEmbedder(), once=True).awaitTermination()
+    run()
+    (docs / "f2.txt").write_text("another text")
+    touch(docs / "f2.txt", 1_900_000_000)
+    (docs / "new.txt").write_text("new text")
+    run()
+    # Each file is opened twice, to be hashed and to be parsed.
+    assert opened == [[f"f{i}.txt" for i in range(6)]] * 2 + [["f2.txt", "new.txt"]] * 2, "no other file is hashed or opened"
+    run()
+    assert len(opened) == 4
+    records = lambda: {(r["rel_path"], r["hash"], r["mtime"], r["status"]) for r in kb.records("stream").read().collect()}
+    streamed = records()
+    monkeypatch.setattr(files, "listing", whole)
+    report = kb.report(kb.ingest(str(docs), provider=HashEmbedder())).first()
+    assert report["ingested"] == [] and records() == streamed and len(streamed) == 7, "the records of a full sync"
+    assert sorted(r["text"] for r in kb.chunks.read().collect()) == sorted([f"text number {i}" for i in (0, 1, 3, 4, 5)] + ["another text", "new text"])
+
+
 def test_arguments():
     args = cli.parser().parse_args(["query", "q", "--kb", "k", "--top-k", "3"])
     assert (args.command, args.question, args.kb, args.top_k) == ("query", "q", "k", 3)
