@@ -17,6 +17,8 @@ from quarry.functions.text import chunk_key
 
 #: Pointers that stay, and with them the folders that they name: plans that were made before a write can still end.
 KEPT = 3
+#: So many folders of a key are left as they are, whatever their sizes.
+FEW = 4
 #: How often a writer looks again for a pointer that is being written, and how long it waits each time.
 LOOKS, WAIT = 20, 0.1
 
@@ -136,7 +138,7 @@ class Table:
 def to_fold(sizes: list[int]) -> int:
     """How many of the newest of a key's folders to make one, from sizes in the order of age: those that together are as large as the next older one; 0: none.
 
-    Sizes then grow geometrically, so their number is logarithmic, and a row is rewritten as often.
+    A few may stay as they are. Sizes then grow geometrically, so their number is logarithmic, and a row is rewritten as often.
     """
     taken, total = 0, 0
     for size in reversed(sizes):
@@ -144,7 +146,7 @@ def to_fold(sizes: list[int]) -> int:
             break
         total += size
         taken += 1
-    return taken if taken > 1 else 0
+    return taken if taken > 1 and len(sizes) > FEW else 0
 
 
 class Deltas:

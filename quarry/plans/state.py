@@ -122,6 +122,21 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.fingerprint(files, "kb_id")
 
 
+@query(
+    """
+WITH f AS (SELECT source AS kb_id, concat('doc_', doc_id, '.txt') AS rel, n_chars AS mtime, length(text) AS size FROM documents),
+l AS (SELECT kb_id, substring(sha256(rel), 1, 3) AS leaf, sha256(concat_ws(':', strlen(rel), rel, mtime, size)) AS digest FROM f),
+a AS (SELECT kb_id, leaf, sha256(string_agg(concat(leaf, '=', digest), chr(10) ORDER BY concat(leaf, '=', digest))) AS digest FROM l GROUP BY kb_id, leaf),
+b AS (SELECT kb_id, left(leaf, 2) AS up, sha256(string_agg(concat(leaf, '=', digest), chr(10) ORDER BY concat(leaf, '=', digest))) AS digest FROM a GROUP BY ALL),
+c AS (SELECT kb_id, left(up, 1) AS top, sha256(string_agg(concat(up, '=', digest), chr(10) ORDER BY concat(up, '=', digest))) AS digest FROM b GROUP BY ALL)
+SELECT kb_id, sha256(string_agg(concat(top, '=', digest), chr(10) ORDER BY concat(top, '=', digest))) AS fingerprint FROM c GROUP BY kb_id
+"""
+)
+def fingerprint_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "documents").select(F.col("source").alias("kb_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.col("n_chars").alias("mtime"), F.length("text").alias("size"))
+    return manifest.tree_fingerprint(held, "kb_id")
+
+
 @query("SELECT source, bool_and(n_chars IS NOT DISTINCT FROM length(text)) AS matches FROM documents GROUP BY source UNION ALL SELECT 'none', false")
 def manifest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("same", F.col("n_chars") == F.length("text"))

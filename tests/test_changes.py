@@ -20,7 +20,8 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_changes_equal_a_plain_table(spark, tmp_path):
+def test_changes_equal_a_plain_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FEW", 1)
     rng = random.Random(1)
     held = store.Deltas(store.Table(spark, f"file://{tmp_path}/t", "k string, part int, v int"), ("k", "part"))
     plain: list[tuple] = []
@@ -38,7 +39,9 @@ def test_changes_equal_a_plain_table(spark, tmp_path):
     assert held.read("other").collect() == []
 
 
-def test_folding_by_size():
+def test_folding_by_size(monkeypatch):
+    assert store.to_fold([1] * store.FEW) == 0 and store.to_fold([1] * (store.FEW + 1)) == store.FEW + 1
+    monkeypatch.setattr(store, "FEW", 1)
     assert store.to_fold([]) == store.to_fold([5]) == 0 and store.to_fold([5, 1]) == 0
     assert store.to_fold([5, 5]) == 2 and store.to_fold([100, 3, 2, 1]) == 0 and store.to_fold([100, 3, 2, 2]) == 3
     sizes: list[int] = []
@@ -91,6 +94,7 @@ def text(rng):
 @pytest.mark.parametrize("seed", [1])
 def test_segments_score_as_a_new_index(spark, tmp_path, seed, monkeypatch):
     monkeypatch.setattr(segments, "RANGE", 4)
+    monkeypatch.setattr(store, "FEW", 1)
     rng = random.Random(seed)
     held = segments.Indexed(store.Table(spark, f"file://{tmp_path}/t", CHUNK), ("doc_id",))
     plain: dict = {}

@@ -215,3 +215,12 @@ def test_names_of_many_roots(spark):
     assert dict(map(tuple, got)) == want and len(got) == len(roots)
     free = manifest.resolve_kb_ids(spark.createDataFrame(roots[:3], "root string, wanted string"), spark.createDataFrame([], "root string, kb_id string"))
     assert dict(map(tuple, free.collect())) == {"/a/docs": "docs", "/b/docs": f"docs_{digits('/b/docs')}", "/c/Docs": f"docs_{digits('/c/Docs')}"}
+
+
+def test_a_folder_as_a_tree_of_digests(spark):
+    names = spark.range(1_000_000).select(F.concat(F.lit("folder/file_"), F.col("id").cast("string")).alias("rel"), F.col("id").alias("mtime"), (F.col("id") % 7).alias("size"))
+    digest = lambda df: manifest.tree_fingerprint(df).first()["fingerprint"]
+    whole = digest(names)
+    assert whole == digest(names.repartition(3, F.reverse("rel"))), "whatever the partitions"
+    assert len({whole, digest(names.where("mtime <> 77")), digest(names.withColumn("size", F.when(F.col("mtime") == 77, 100).otherwise(F.col("size"))))}) == 3
+    assert digest(names.limit(0)) == "" and digest(names.limit(1)) != ""
