@@ -58,9 +58,12 @@ FURNITURE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended pagination pager "
     "toolbar copyright legal disclaimer skip search form".split()
 )
-#: The hints that count inside the main slot too, where no template can tell.
-INNER = frozenset("nav aside form menu dialog".split())
-INNER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense".split())
+#: The hints that count inside the main slot too. Words that authors also give to parts of their text (header, legal, discussion, alert) are not among them.
+INNER = frozenset("nav aside form menu dialog footer".split())
+INNER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer cookie cookies consent gdpr notice notices "
+    "popup modal overlay newsletter subscribe signup comment comments commentlist respond replies disqus share sharing related recommended pagination pager".split()
+)
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 MAIN_TAGS = ("article", "main")
 #: Elements that can be the main slot of a page without these.
@@ -336,7 +339,7 @@ class Page:
         for e in range(len(self.tags)):
             above = self.parents[e]
             inside[e] = e in main or e > 0 and inside[above]
-            least = (2 if not template else 3) if inside[e] else 1
+            least = 2 if inside[e] else 1  # whatever the host's other pages say: furniture of its own text is on no template
             most = weights[e] * 2 >= total and (not marked or self.tags[e] not in FURNITURE or self.tags[e] == "form")
             furniture = self.hints[e] >= least and e not in holds and not most
             gone[e] = e > 0 and gone[above] or furniture

@@ -244,6 +244,23 @@ def extracted(spark, pages: list[str], url: str = "http://t.example/") -> list[s
     return [r["text"] for r in extract.main_texts(frame).orderBy("page_id").collect()]
 
 
+INSIDE = ('<aside class="ad">{0}</aside>', "<form><label>{0}</label></form>", "<nav><a href=x>{0}</a></nav>", '<div class="comments"><ol><li>{0}</li></ol></div>', '<div class="notice cookie">{0}</div>', '<div class="related">{0}</div>', "<footer>{0}</footer>", '<section id=comment-list><p>{0}</p></section>')
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_extraction_takes_out_furniture_inside_the_article(spark, n):
+    rng = random.Random(8)
+    pages, wanted = [], {}
+    for k, block in enumerate(INSIDE):
+        for i in range(n):
+            title, first, last, other = (sentence(rng, m) for m in (4, 25, 25, 12))
+            body = f"<html><body><div class=top>Home</div><article><header><h1>{title}</h1></header><p>{first}</p>{block.format(other)}<p>{last}</p></article><div id=foot>End</div></body></html>"
+            pages.append((k * 100 + i, f"http://host{k}.example/{i}", body))
+            wanted[k * 100 + i] = f"{title} {first} {last}"
+    got = {r[0]: r[2] for r in rows(extract.main_texts(spark.createDataFrame(pages, "page_id bigint, url string, html string")))}
+    assert got == wanted, "on hosts with and without a template"
+
+
 def test_extraction_keeps_what_names_alone_speak_against(spark):
     texts = ["apples and pears were sold", "nobody came to the harbour", "rain fell on seven hills", "the old mill burned down"]
     inner = '<article><h2 class="section-header">On {0}</h2><p class="legal">{0} in law</p><section id="discussion"><p>{0} again</p></section></article>'
