@@ -13,7 +13,7 @@ the query's own), which a group limit keeps on the map side, so a vector that a
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as query or candidate; rows that share an id
 are one row (its smallest vector); only vectors of the query's length are candidates; extra columns are ignored; an empty
-table gives an empty result. Products must fit 64 bits, which is checked.
+table gives an empty result; rows without an id take no part; components beyond 2^61 count as 2^61, and products beyond 64 bits as the largest number of 64 bits.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ CELLS = 64
 BLOCK = 1024
 K = 10
 FIRST = 4
+#: Components beyond it count as it.
+LARGEST = 2**61
 
 _BOUNDS = pa.schema([("query_id", pa.int64()), ("bounds", pa.list_(pa.float64()))])
 _CANDIDATES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("bound", pa.float64())])
@@ -50,11 +52,9 @@ def integers(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", s
                 if at is None or not x.is_valid or x.values.null_count:
                     continue
                 v = np.floor(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) * scale)
-                if np.isfinite(v).all():
-                    if len(v) and float(np.abs(v).max()) ** 2 * len(v) >= 2**62:
-                        raise ValueError(f"vector {at}: products would not fit 64 bits")
+                if np.isfinite(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)).all():
                     ids.append(at)
-                    values.append(v.astype("<i8").tobytes())
+                    values.append(np.clip(v, -LARGEST, LARGEST).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["vec_id", "v"])
 
     found = df.select(df[vec_id].cast("bigint"), df[vector].cast("array<double>")).mapInArrow(run, "vec_id bigint, v binary")
@@ -88,7 +88,8 @@ def edges(vectors: DataFrame, cells: int = CELLS) -> dict[int, np.ndarray]:
     out = {}
     for size, bounds in found.items():
         low, high = np.array(bounds, dtype=np.int64).T
-        out[size] = low[:, None] + -(-(high - low + 1)[:, None] * steps // cells)
+        low, high = low.astype(object), high.astype(object)  # Python's integers: widths times steps may not fit 64 bits
+        out[size] = (low[:, None] + -(-(high - low + 1)[:, None] * steps // cells)).astype(np.int64)
     return out
 
 
@@ -188,7 +189,7 @@ def _scored(candidates: DataFrame, exact: DataFrame, block: Block, k: int) -> Da
             if batch.num_rows:
                 q = by[np.searchsorted(ids, batch.column(0).to_numpy(), sorter=by)]
                 vectors = _matrix(batch.column(2).to_pylist(), queries.shape[1])
-                best = _best([np.concatenate(x) for x in zip(best, (ids[q], batch.column(1).to_numpy(), np.einsum("ij,ij->i", queries[q], vectors)), strict=True)], k)
+                best = _best([np.concatenate(x) for x in zip(best, (ids[q], batch.column(1).to_numpy(), _products(queries[q], vectors)), strict=True)], k)
         if len(best[0]):
             yield record(_SCORED, best)
 
@@ -196,6 +197,14 @@ def _scored(candidates: DataFrame, exact: DataFrame, block: Block, k: int) -> Da
     return read.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of each row of a with that of b: in 64 bits where they fit, else in Python's integers, cut to 64 bits at the end."""
+    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2**62:
+        return np.einsum("ij,ij->i", a, b)
+    exact = (a.astype(object) * b.astype(object)).sum(axis=1)
+    return np.array([max(1 - 2**63, min(2**63 - 1, int(x))) for x in exact], np.int64)
+
+
 def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
     """Of (query, id, score) the k best rows of each query, ties by id."""
     query, at, score = rows

@@ -160,6 +160,17 @@ def test_top_k(spark):
     assert rows(topk.top_k(frame.limit(0))) == []
 
 
+def test_top_k_of_large_components(spark):
+    vectors = [(i * 50, [(-1.0) ** i * 10.0 ** (i % 7), float(i), 1e6]) for i in range(30)] + [(5000, [1e9] * 3), (5100, [-1e9, 1e9, 3.0]), (5200, [1e300, -1e300, 0.0])]
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    whole = {i: [max(-(2**61), min(2**61, int(1024 * x // 1))) for x in v] for i, v in vectors}
+    want = set()
+    for q, a in whole.items():
+        scored = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), i) for i, b in whole.items() if i != q)
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(scored[:10], 1) if q % 100 == 0}
+    assert set(rows(topk.top_k(frame))) == want
+
+
 def test_mixing(frame, empty, corpus):
     got = mixing.mix(frame).collect()
     assert len(got) == len(corpus) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
