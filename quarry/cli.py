@@ -73,31 +73,35 @@ def ask(kb: KnowledgeBase, question: str, kb_ids: list[str], top_k: int = 0, fil
         raise ValueError("top_k must not be negative")
     s, log = kb.settings, kb.events
     chunks = kb.chunks.read(*kb_ids)
-    k = top_k or s.top_k
+    k = top_k or s.search.results
     per = retrieve.share(k, len(kb_ids))
     vector = kb.embedded(question)
-    found = retrieve.hybrid_each(chunks, question, vector, kb_ids, s, per, index=kb.index(*kb_ids)).cache()
+    lists = kb.lists(kb_ids[0]) if s.search.lists and len(kb_ids) == 1 else None
+    if lists:
+        found = retrieve.hybrid(chunks, question, vector, kb_ids[0], s, per, index=kb.index(*kb_ids), vectors=lists).withColumn("kb_id", F.lit(kb_ids[0])).cache()
+    else:
+        found = retrieve.hybrid_each(chunks, question, vector, kb_ids, s, per, index=kb.index(*kb_ids)).cache()
     top = retrieve.across(found, kb_ids, k).join(chunks.drop("kb_id", "embedding"), "chunk_key")
     filters = parsed_filters(kb.spark, file_filter)
     hits = facets.filter_files(top.withColumn("rank", (F.col("kb_order") * 1_000_000 + F.col("rank")).cast("int")), filters).cache()
     for name in kb_ids:
         rows = [r.asDict() for r in found.where(F.col("kb_id") == name).orderBy("rank").collect()]
         sides = {side: [r for r in rows if r[score] is not None] for side, score in (("vector", "dense_score"), ("bm25", "sparse_score"), ("merged", "score"))}
-        log.write([events.Retrieval(name, question, per, max(per, s.bm25_fetch_k), filters, sides)])
+        log.write([events.Retrieval(name, question, per, max(per, s.search.candidates), filters, sides)])
     records = None
     for name in kb_ids:
         one = kb.records(name).read()
         records = one if records is None else records.unionByName(one)
     model = providers.llm(s)
-    got = answer.answer(question, hits, model, s.max_context_chars, records)
+    got = answer.answer(question, hits, model, s.search.context, records)
     if model and got.citations:
-        log.write([events.Generation(s.llm_model, question, got.answer, got.error)])
+        log.write([events.Generation(s.answering.model, question, got.answer, got.error)])
     return {"answer": got.answer, "citations": got.citations, "context": got.context, "error": got.error, "files": [tuple(r) for r in facets.facet_files(hits).collect()]}
 
 
 def ingested(kb: KnowledgeBase, root: str, kb_id: str | None) -> str:
     """A sync with every reader there is, and its log; the run's id."""
-    with logs.kept(kb_id or root.strip("/").replace("/", "_"), kb.settings.log_root, logs.level(kb.settings.log_level)) as log:
+    with logs.kept(kb_id or root.strip("/").replace("/", "_"), kb.settings.logs.root, logs.level(kb.settings.logs.level)) as log:
         try:
             run = kb.ingest(root, kb_id, providers.embedder(kb.settings), pdf=pdf.reader() if pdf.available() else None, doc=office.first_of(office.doc_by_package, office.doc_by_office))
         except Exception:

@@ -93,7 +93,7 @@ class EventLog:
     def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None):
         settings = settings or Settings()
         self.spark, self.path = spark, path
-        self.off = tuple(kind for kind, on in ((Embedding, settings.log_embedding), (Retrieval, settings.log_retrieval)) if not on)
+        self.off = tuple(kind for kind, on in ((Embedding, settings.logs.embeddings), (Retrieval, settings.logs.retrievals)) if not on)
 
     def write(self, events: Iterable[Event]) -> None:
         now = datetime.now(timezone.utc)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.operators import chunking, manifest, segments, store
+from quarry.operators import chunking, ivf, manifest, segments, store
 from quarry.operators.embeddings import EmbeddingCache
 from quarry.operators.events import Embedding, EventLog
 from quarry.providers import Embedder, embedder
@@ -32,7 +32,7 @@ class KnowledgeBase:
     @property
     def chunks(self) -> segments.Indexed:
         """Chunks and their index, a table for each knowledge base."""
-        return segments.Indexed(self.table("chunks", schemas.CHUNK), ("root", "doc_id"), self.settings.bm25_k1, self.settings.bm25_b, self.settings.bm25_max_doc_tokens)
+        return segments.Indexed(self.table("chunks", schemas.CHUNK), ("root", "doc_id"), self.settings.search.k1, self.settings.search.b, self.settings.search.document_terms)
 
     @property
     def paths(self) -> store.Table:
@@ -58,9 +58,27 @@ class KnowledgeBase:
         """The stored index of the knowledge bases; None before the first sync of them all."""
         return self.chunks.index(*kb_ids)
 
+    def lists(self, kb_id: str) -> ivf.Index | None:
+        """The inverted file of a knowledge base's vectors, if there is one of its chunks as they are now."""
+        held = self.table("lists")
+        for folder in held.folders(kb_id):
+            if [r["folder"] for r in self.spark.read.parquet(f"{folder}/of").orderBy("nth").collect()] == self.chunks.table.held(kb_id):
+                return ivf.Index.read(self.spark, folder)
+        return None
+
+    def build_lists(self, kb_id: str) -> None:
+        """Fit and write the inverted file, with the names of the folders of chunks that it stands for."""
+        now = self.chunks.table.held(kb_id)
+
+        def write(folder: str) -> None:
+            ivf.build(self.chunks.read(kb_id).select("chunk_key", "embedding"), folder)
+            self.spark.createDataFrame(list(enumerate(now)), "nth int, folder string").coalesce(1).write.parquet(f"{folder}/of")
+
+        self.table("lists").publish(write, kb_id)
+
     @property
     def vectors(self) -> EmbeddingCache:
-        return EmbeddingCache(self.table("vectors", EmbeddingCache.SCHEMA), self.settings.embedding_provider, self.settings.embedding_model)
+        return EmbeddingCache(self.table("vectors", EmbeddingCache.SCHEMA), self.settings.embedding.provider, self.settings.embedding.model)
 
     @property
     def events(self) -> EventLog:
@@ -68,7 +86,7 @@ class KnowledgeBase:
 
     def embedded(self, question: str) -> list[float]:
         """The question's vector, from the provider that the settings name."""
-        told = Embedding("query", self.settings.embedding_provider, self.settings.embedding_model, 1)
+        told = Embedding("query", self.settings.embedding.provider, self.settings.embedding.model, 1)
         try:
             found = embedder(self.settings)([question])[0]
         except Exception as failure:
@@ -106,14 +124,14 @@ class KnowledgeBase:
         docs = materialise(files.documents(source, make_ocr or ocr.from_settings(self.settings), pdf, doc, ocr.retry_from_settings(self.settings)), "documents")
         rel = listing.select("abs_path", F.col("rel_path").alias("doc_id"))
         good = docs.where(F.col("error").isNull()).join(rel, "abs_path")
-        cut = chunking.chunk(good, self.settings.chunk_size, self.settings.chunk_overlap)
+        cut = chunking.chunk(good, self.settings.cutting.size, self.settings.cutting.overlap)
         shaped = store.keyed(cut.withColumns({"kb_id": F.lit(kb), "root": F.lit(root), "source": F.col("abs_path"), "embedding": F.lit(None).cast("array<float>")}))
         shaped = materialise(shaped.select(*self.spark.createDataFrame([], schemas.CHUNK).columns), "shaped")
         if provider:
             shaped = materialise(self.vectors.embed(shaped, provider).select(*shaped.columns), "embedded")
             store.check_dimension(self.chunks.read(kb).select("embedding").unionByName(shaped.select("embedding")))
             counts = shaped.groupBy("doc_id").count().orderBy("doc_id").collect()
-            self.events.write([Embedding("documents", self.settings.embedding_provider, self.settings.embedding_model, sum(r["count"] for r in counts), [r["doc_id"] for r in counts])])
+            self.events.write([Embedding("documents", self.settings.embedding.provider, self.settings.embedding.model, sum(r["count"] for r in counts), [r["doc_id"] for r in counts])])
 
         per_file = docs.groupBy("abs_path").agg(F.max("error").alias("failed"), F.count_if(F.col("error").isNull()).alias("documents"))
         per_file = per_file.join(shaped.groupBy(F.col("source").alias("abs_path")).agg(F.count("*").alias("chunks")), "abs_path", "left")
@@ -129,11 +147,13 @@ class KnowledgeBase:
             self.records(kb).change(changed, changed)
         self.reports.change(manifest.report(planned, outcome, run_id, kb, root), self.spark.createDataFrame([], "run_id string"), kb)
         self._manifest(kb)
+        if self.settings.search.lists and todo.head(1):
+            self.build_lists(kb)
         return run_id
 
     def _manifest(self, kb: str) -> None:
         row = manifest.doc_count(self.records(kb).read()).crossJoin(self.chunks.read(kb).agg(F.count("*").alias("chunk_count")))
-        row = row.select(F.lit(kb).alias("kb_id"), F.lit(self.settings.embedding_model).alias("embedding_model"), F.lit(self.settings.chunk_size).alias("chunk_size"), F.lit(self.settings.chunk_overlap).alias("chunk_overlap"), "doc_count", "chunk_count", F.current_timestamp().alias("updated_at"))
+        row = row.select(F.lit(kb).alias("kb_id"), F.lit(self.settings.embedding.model).alias("embedding_model"), F.lit(self.settings.cutting.size).alias("chunk_size"), F.lit(self.settings.cutting.overlap).alias("chunk_overlap"), "doc_count", "chunk_count", F.current_timestamp().alias("updated_at"))
         self.manifests.write(row, kb)
 
     def report(self, run_id: str) -> DataFrame:

@@ -10,14 +10,14 @@ from quarry.operators import bm25, dense, fusion, ivf, segments
 from quarry.settings import Settings
 
 
-def hybrid(chunks: DataFrame, question: str, vector: list[float], kb_id: str | None = None, settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: segments.Segments | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, question: str, vector: list[float], kb_id: str | None = None, settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: segments.Segments | None = None, vectors: ivf.Index | None = None) -> DataFrame:
     """The top k chunks for one question: (key, dense_score, sparse_score, score, rank).
 
     chunks: kb_id, key, text, embedding (null: none). Both sides fetch max(k, bm25_fetch_k) rows. With BM25 off, or without a sparse hit,
-    the dense order stands. With a stored index, the sparse side reads postings and no texts.
+    the dense order stands. With a stored index, the sparse side reads postings and no texts; with an inverted file of the same chunks, the dense side reads the lists near the question.
     """
     mine = chunks if kb_id is None else chunks.where(F.col("kb_id") == kb_id)
-    return _hybrid(mine, question, vector, settings or Settings(), top_k, key, index, ())
+    return _hybrid(mine, question, vector, settings or Settings(), top_k, key, index, (), vectors)
 
 
 def hybrid_each(chunks: DataFrame, question: str, vector: list[float], kb_ids: list[str], settings: Settings | None = None, top_k: int | None = None, key: str = "chunk_key", index: segments.Segments | None = None) -> DataFrame:
@@ -25,24 +25,27 @@ def hybrid_each(chunks: DataFrame, question: str, vector: list[float], kb_ids: l
     return _hybrid(chunks.where(F.col("kb_id").isin(kb_ids)), question, vector, settings or Settings(), top_k, key, index, ("kb_id",))
 
 
-def _hybrid(mine: DataFrame, question: str, vector: list[float], settings: Settings, top_k: int | None, key: str, index: segments.Segments | None, by: tuple[str, ...]) -> DataFrame:
+def _hybrid(mine: DataFrame, question: str, vector: list[float], settings: Settings, top_k: int | None, key: str, index: segments.Segments | None, by: tuple[str, ...], vectors: ivf.Index | None = None) -> DataFrame:
     question = question.strip()
-    k = top_k or settings.top_k
+    k = top_k or settings.search.results
     if not question:
         mine = mine.limit(0)
-    fetch = max(k, settings.bm25_fetch_k)
-    near = dense.search_one(mine.where(F.col("embedding").isNotNull()), vector, fetch, key, by=by).select(*by, key, "score")
-    if not settings.bm25_enabled:
+    fetch = max(k, settings.search.candidates)
+    if vectors and question:
+        near = ivf.search_one(mine.sparkSession, vectors, vector, fetch).select(key, "score")
+    else:
+        near = dense.search_one(mine.where(F.col("embedding").isNotNull()), vector, fetch, key, by=by).select(*by, key, "score")
+    if not settings.search.words:
         order = Window.partitionBy(*by).orderBy(F.desc("score"), key)
         plain = near.select(*by, key, F.col("score").alias("dense_score"), F.lit(None).cast("double").alias("sparse_score"), "score")
         return plain.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if index is None or not question:
-        words = bm25.search_one(mine, question, fetch, key, settings.bm25_k1, settings.bm25_b, settings.bm25_max_doc_tokens, settings.bm25_max_query_tokens, bool(by))
+        words = bm25.search_one(mine, question, fetch, key, settings.search.k1, settings.search.b, settings.search.document_terms, settings.search.question_terms, bool(by))
     else:
         asked = mine.sparkSession.createDataFrame([(0, question)], "query_id int, text string")
-        words = segments.search(index, asked, fetch, bool(by), settings.bm25_max_query_tokens)
+        words = segments.search(index, asked, fetch, bool(by), settings.search.question_terms)
     merged = fusion.merge(near, words.select(*by, F.col("chunk_key").alias(key), "score"), [*by, key])
-    return fuse_or_dense(merged, key, k, settings.alpha, by)
+    return fuse_or_dense(merged, key, k, settings.search.dense_share, by)
 
 
 def hybrid_batch(chunks: DataFrame, questions: DataFrame, index: segments.Segments, settings: Settings | None = None, top_k: int | None = None, vectors: ivf.Index | None = None, key: str = "chunk_key") -> DataFrame:
@@ -51,16 +54,16 @@ def hybrid_batch(chunks: DataFrame, questions: DataFrame, index: segments.Segmen
     The sparse side reads blocks of stored postings, the dense side all vectors or, with an inverted file, the lists near each question. Blank questions find nothing.
     """
     s = settings or Settings()
-    k = top_k or s.top_k
-    fetch = max(k, s.bm25_fetch_k)
+    k = top_k or s.search.results
+    fetch = max(k, s.search.candidates)
     asked = questions.where(F.length(strip(F.col("text"))) > 0)
     near = ivf.search(vectors, asked, fetch) if vectors else dense.search(chunks.select(key, "embedding"), asked, fetch, key)
     near = near.select("query_id", key, "score")
-    if not s.bm25_enabled:
+    if not s.search.words:
         words = near.limit(0)
     else:
-        words = segments.search(index, asked, fetch, most=s.bm25_max_query_tokens).select("query_id", F.col("chunk_key").alias(key), "score")
-    return fuse_or_dense(fusion.merge(near, words, ["query_id", key]), key, k, s.alpha, ("query_id",))
+        words = segments.search(index, asked, fetch, most=s.search.question_terms).select("query_id", F.col("chunk_key").alias(key), "score")
+    return fuse_or_dense(fusion.merge(near, words, ["query_id", key]), key, k, s.search.dense_share, ("query_id",))
 
 
 def fuse_or_dense(merged: DataFrame, key: str, k: int, alpha: float, by: tuple[str, ...] = ()) -> DataFrame:

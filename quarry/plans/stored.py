@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from contextlib import suppress
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,13 +173,14 @@ SELECT query_id, k AS chunk_key, round(d, 6) AS dense_score, round(s, 6) AS spar
 )
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, vectors: ivf.Index | None = None, probes: int | None = None) -> DataFrame:
+def _hybrid(spark: SparkSession, sf_dir: str, lists: bool = False) -> DataFrame:
     rows = materialise(with_vectors(spark, sf_dir, "all").where(F.col("embedding").isNotNull()), "vectors")
     questions = asked(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-    if probes is not None:
+    vectors = None
+    if lists:
         held = written(spark, "ivf")
         held.publish(lambda folder: ivf.build(rows.select("chunk_key", "embedding"), folder))
-        vectors = ivf.Index.read(spark, held.folders()[0])
+        vectors = replace(ivf.Index.read(spark, held.folders()[0]), probes=0)
     found = retrieve.hybrid_batch(rows, questions, indexed(spark, chunks(spark, sf_dir)).index("all"), vectors=vectors)
     return found.select("query_id", "chunk_key", *[F.round(c, 6).alias(c) for c in ("dense_score", "sparse_score", "score")], "rank")
 
@@ -189,6 +191,12 @@ def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir)
 
 
+@query(_HYBRID)
+def hybrid_batch_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the dense side from an inverted file, all of its lists."""
+    return _hybrid(spark, sf_dir, lists=True)
+
+
 class Measured:
     """A provider whose vectors SQL can tell: characters, blanks, and one."""
 

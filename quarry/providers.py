@@ -138,26 +138,26 @@ class HttpLlm:
 
 def embedder(settings: Settings) -> Embedder:
     """The provider that the settings name; without a base URL, hashed words, which need no server."""
-    kind = settings.embedding_provider
+    kind = settings.embedding.provider
     if kind not in PROVIDERS:
         raise ValueError(f"unknown embedding provider {kind}")
-    if not settings.embedding_base_url:
+    if not settings.embedding.url:
         return HashEmbedder()
-    if not settings.embedding_model:
+    if not settings.embedding.model:
         raise ValueError("name an embedding model")
     # A local server takes all texts of a call at once, a hosted one so many.
-    return HttpEmbedder(settings.embedding_base_url, settings.embedding_model, settings.llm_api_key, 1 << 30 if kind == "local" else settings.embedding_batch_size)
+    return HttpEmbedder(settings.embedding.url, settings.embedding.model, settings.embedding.key or settings.answering.key, 1 << 30 if kind == "local" else settings.embedding.batch)
 
 
 def llm(settings: Settings) -> HttpLlm | None:
     """The language model that the settings name; None without one."""
-    if not settings.llm_model:
+    if not settings.answering.model:
         return None
-    if settings.llm_provider not in PROVIDERS:
-        raise ValueError(f"unknown language model provider {settings.llm_provider}")
-    if not settings.embedding_base_url:
+    if settings.answering.provider not in PROVIDERS:
+        raise ValueError(f"unknown language model provider {settings.answering.provider}")
+    if not (url := settings.answering.url or settings.embedding.url):
         raise ValueError("the language model needs a base URL")
-    return HttpLlm(settings.embedding_base_url, settings.llm_model, settings.llm_api_key)
+    return HttpLlm(url, settings.answering.model, settings.answering.key)
 
 
 def _post(url: str, body: dict, key: str | None, timeout: float) -> Any:

@@ -37,61 +37,110 @@ def env_path(names: Iterable[str], env: Mapping[str, str] = os.environ) -> Path
     return Path(found) if found else None
 
 
+# Defaults are fixed values: results depend on those of cutting and search.
+
+
+@dataclass(frozen=True)
+class Cutting:
+    """How texts become chunks, in characters."""
+
+    size: int = 800
+    overlap: int = 100
+
+
+@dataclass(frozen=True)
+class Search:
+    """How questions find chunks: whether by words as well, the constants of BM25, and how much each step takes."""
+
+    words: bool = True
+    k1: float = 1.2
+    b: float = 0.75
+    document_terms: int = 1024
+    question_terms: int = 128
+    dense_share: float = 0.7
+    candidates: int = 24
+    results: int = 10
+    context: int = 12000
+    #: Whether a sync keeps an inverted file of its vectors.
+    lists: bool = False
+
+
+@dataclass(frozen=True)
+class Model:
+    """A provider of vectors or answers."""
+
+    provider: str = "hosted"
+    model: str = ""
+    url: str | None = None
+    key: str | None = None
+    batch: int = 16
+
+
+@dataclass(frozen=True)
+class Ocr:
+    """Where images are read, and how often and long that is tried; pauses in milliseconds, times in seconds."""
+
+    backend: str = "remote"
+    url: str = ""
+    field: str = "file"
+    workers: int = 4
+    timeout: float = 30.0
+    page_timeout: float = 30.0
+    retries: int = 1
+    pause: int = 300
+
+
+@dataclass(frozen=True)
+class Logs:
+    root: str = ""
+    level: str = "INFO"
+    embeddings: bool = True
+    retrievals: bool = True
+
+
+def _group(kind: type, env: Mapping[str, str]) -> dict:
+    """A group's fields from QUARRY_<GROUP>_<FIELD>."""
+    found = {}
+    for f in fields(kind):
+        name = f"QUARRY_{kind.__name__.upper()}_{f.name.upper()}"
+        if f.type == "bool":
+            found[f.name] = env_bool(name, f.default, env)
+        elif f.type in ("int", "float"):
+            found[f.name] = env_number(name, f.default, int if f.type == "int" else float, env)
+        else:
+            found[f.name] = env.get(name) or f.default
+    return found
+
+
+class Embedding(Model):
+    """The provider of vectors."""
+
+
+class Answering(Model):
+    """The provider of answers."""
+
+
 @dataclass(frozen=True)
 class Settings:
     root: str = "."
     store: str = ""
     store_url: str = ""
-    log_root: str = ""
-    log_level: str = "INFO"
-    llm_provider: str = "hosted"
-    llm_model: str = ""
-    llm_api_key: str | None = None
-    embedding_provider: str = "hosted"
-    embedding_model: str = ""
-    embedding_base_url: str | None = None
-    embedding_batch_size: int = 16
-    ocr_backend: str = "remote"
-    ocr_url: str = ""
-    ocr_timeout: float = 30.0
-    ocr_file_field: str = "file"
-    ocr_concurrency: int = 4
-    ocr_page_timeout: float = 30.0
-    ocr_max_retries: int = 1
-    ocr_retry_backoff_ms: int = 300
-    chunk_size: int = 800
-    chunk_overlap: int = 100
-    alpha: float = 0.7
-    bm25_enabled: bool = True
-    bm25_k1: float = 1.2
-    bm25_b: float = 0.75
-    bm25_max_doc_tokens: int = 1024
-    bm25_fetch_k: int = 24
-    bm25_max_query_tokens: int = 128
-    top_k: int = 10
-    max_context_chars: int = 12000
-    log_embedding: bool = True
-    log_retrieval: bool = True
+    cutting: Cutting = Cutting()
+    search: Search = Search()
+    embedding: Model = Embedding()
+    answering: Model = Answering()
+    ocr: Ocr = Ocr()
+    logs: Logs = Logs()
 
     @classmethod
     def from_env(cls, root: str = ".", env: Mapping[str, str] = os.environ) -> Settings:
-        """Every field from QUARRY_<FIELD>; a base URL for embeddings selects the local provider unless one is named."""
-        found: dict = {"root": root}
-        for f in fields(cls):
-            name = f"QUARRY_{f.name.upper()}"
-            if f.type == "bool":
-                found[f.name] = env_bool(name, f.default, env)
-            elif f.type in ("int", "float"):
-                found[f.name] = env_number(name, f.default, int if f.type == "int" else float, env)
-            elif f.name != "root":
-                found[f.name] = env.get(name) or f.default
-        found["llm_provider"] = found["llm_provider"].strip().lower()
-        found["embedding_provider"] = (env.get("QUARRY_EMBEDDING_PROVIDER") or ("local" if found["embedding_base_url"] else "hosted")).strip().lower()
-        found["ocr_concurrency"] = max(1, found["ocr_concurrency"])
-        found["ocr_max_retries"] = max(0, found["ocr_max_retries"])
-        found["ocr_retry_backoff_ms"] = max(0, found["ocr_retry_backoff_ms"])
-        found["ocr_page_timeout"] = max(1.0, env_number("QUARRY_OCR_PAGE_TIMEOUT", found["ocr_timeout"], float, env))
-        return cls(**found)
+        """Every group from the environment; a URL for embeddings selects the local provider unless one is named."""
+        embedding, answering, ocr = (_group(kind, env) for kind in (Embedding, Answering, Ocr))
+        embedding["provider"] = (env.get("QUARRY_EMBEDDING_PROVIDER") or ("local" if embedding["url"] else "hosted")).strip().lower()
+        answering["provider"] = answering["provider"].strip().lower()
+        ocr |= {"workers": max(1, ocr["workers"]), "retries": max(0, ocr["retries"]), "pause": max(0, ocr["pause"])}
+        ocr["page_timeout"] = max(1.0, env_number("QUARRY_OCR_PAGE_TIMEOUT", ocr["timeout"], float, env))
+        return cls(root, env.get("QUARRY_STORE") or "", env.get("QUARRY_STORE_URL") or "", Cutting(**_group(Cutting, env)), Search(**_group(Search, env)), Embedding(**embedding), Answering(**answering), Ocr(**ocr), Logs(**_group(Logs, env)))
 
     def path(self, *parts: str) -> str:
         """A table's place under the store's address, else its path, else the root; each may be any path that Spark reads."""

@@ -85,13 +85,13 @@ def engine(backend: str, url: str = "", field: str = "file", local: Callable[[],
 
 def from_settings(settings: Settings) -> Callable[[], Engine] | None:
     """What builds the engine that the settings name, in a worker; None where they name no server and no local engine."""
-    if settings.ocr_backend.strip().lower() in REMOTE and not settings.ocr_url:
+    if settings.ocr.backend.strip().lower() in REMOTE and not settings.ocr.url:
         return None
-    return partial(engine, settings.ocr_backend, settings.ocr_url, settings.ocr_file_field)
+    return partial(engine, settings.ocr.backend, settings.ocr.url, settings.ocr.field)
 
 
 def retry_from_settings(settings: Settings) -> Retry:
-    return Retry(settings.ocr_max_retries, settings.ocr_retry_backoff_ms, settings.ocr_page_timeout, settings.ocr_concurrency)
+    return Retry(settings.ocr.retries, settings.ocr.pause, settings.ocr.page_timeout, settings.ocr.workers)
 
 
 def read_image(engine_: Engine, path: str, timeout: float | None = None) -> list[str]:

@@ -11,7 +11,7 @@ from quarry.operators import bm25, segments, store
 from quarry.operators.embeddings import EmbeddingCache
 from quarry.operators.ingest import KnowledgeBase
 from quarry.providers import HashEmbedder
-from quarry.settings import Settings
+from quarry.settings import Cutting, Settings
 
 CHUNK = "kb_id string, doc_id string, chunk_key string, text string"
 
@@ -168,7 +168,7 @@ def test_a_text_is_embedded_once(spark, tmp_path):
 
 
 def test_a_sync_writes_and_reads_what_changed(spark, tmp_path):
-    kb = KnowledgeBase(spark, Settings(root=f"file://{tmp_path}/kb", chunk_size=60, chunk_overlap=5))
+    kb = KnowledgeBase(spark, Settings(root=f"file://{tmp_path}/kb", cutting=Cutting(60, 5)))
     docs, calls = tmp_path / "docs", tmp_path / "calls"
     docs.mkdir()
     calls.touch()

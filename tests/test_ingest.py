@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from quarry import cli
 from quarry.operators.ingest import KnowledgeBase
 from quarry.providers import HashEmbedder
-from quarry.settings import Settings
+from quarry.settings import Cutting, Search, Settings
 from quarry.sources import files
 from quarry.streaming.ingest import watch
 
 
 @pytest.fixture
 def kb(spark, tmp_path):
-    return KnowledgeBase(spark, Settings(root=f"file://{tmp_path}/kb", chunk_size=40, chunk_overlap=5))
+    return KnowledgeBase(spark, Settings(root=f"file://{tmp_path}/kb", cutting=Cutting(40, 5)))
 
 
 def touch(path, at):
@@ -98,6 +98,20 @@ def test_a_batch_touches_its_own_files(spark, kb, tmp_path, monkeypatch):
     assert sorted(r["text"] for r in kb.chunks.read().collect()) == sorted([f"text number {i}" for i in (0, 1, 3, 4, 5)] + ["another text", "new text"])
 
 
+def test_questions_read_the_lists_of_their_chunks(spark, tmp_path):
+    held = KnowledgeBase(spark, Settings(root=f"file://{tmp_path}/kb", search=Search(lists=True)))
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for i, text in enumerate(("apples are red", "bananas are yellow", "cherries are dark")):
+        (docs / f"{i}.txt").write_text(text)
+    held.ingest(str(docs), provider=HashEmbedder())
+    assert held.lists("docs").rows(spark).count() == 3
+    got = cli.ask(held, "bananas are yellow", ["docs"], 1)
+    assert "bananas are yellow" in got["context"] and got["files"] == [("1.txt", 1)]
+    held.chunks.change(held.chunks.read("docs").limit(0), spark.createDataFrame([(str(docs), "1.txt")], "root string, doc_id string"), "docs")
+    assert held.lists("docs") is None, "lists of other chunks are not read"
+
+
 def test_arguments():
     args = cli.parser().parse_args(["query", "q", "--kb", "k", "--top-k", "3"])
     assert (args.command, args.question, args.kb, args.top_k) == ("query", "q", "k", 3)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import answer, bm25, chunking, dense, facets, fusion, inspect, manifest, retrieve, store
-from quarry.settings import Settings
+from quarry.settings import Search, Settings
 
 TEXTS = ["apple banana apple", "banana", "", "苹果香蕉 apple"]
 
@@ -99,7 +99,7 @@ def test_hybrid_without_sparse_hits_is_dense(spark):
     got = retrieve.hybrid(rows, "zebra", [1.0, 0.0], "kb", top_k=1).collect()
     assert [(r["chunk_key"], r["score"]) for r in got] == [(1, 1.0)]
     assert retrieve.hybrid(rows, "  ", [1.0, 0.0]).count() == 0
-    off = Settings(bm25_enabled=False)
+    off = Settings(search=Search(words=False))
     assert [r["chunk_key"] for r in retrieve.hybrid(rows, "x2", [1.0, 0.0], settings=off).orderBy("rank").collect()] == [1, 2]
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry import logs, providers
 from quarry.operators import events
-from quarry.settings import Settings, env_bool, env_first, env_number, env_path
+from quarry.settings import Answering, Embedding, Logs, Ocr, Settings, env_bool, env_first, env_number, env_path
 from quarry.sources import files, ocr, office
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -134,8 +134,8 @@ def test_embedding_is_deterministic(spark):
 
 
 def test_settings():
-    s = Settings.from_env("/r", {"QUARRY_CHUNK_SIZE": "5", "QUARRY_ALPHA": "x", "QUARRY_BM25_ENABLED": "off", "QUARRY_EMBEDDING_BASE_URL": "http://e", "QUARRY_OCR_CONCURRENCY": "0"})
-    assert (s.chunk_size, s.alpha, s.bm25_enabled, s.embedding_provider, s.ocr_concurrency, s.top_k) == (5, 0.7, False, "local", 1, 10)
+    s = Settings.from_env("/r", {"QUARRY_CUTTING_SIZE": "5", "QUARRY_SEARCH_DENSE_SHARE": "x", "QUARRY_SEARCH_WORDS": "off", "QUARRY_EMBEDDING_URL": "http://e", "QUARRY_OCR_WORKERS": "0"})
+    assert (s.cutting.size, s.search.dense_share, s.search.words, s.embedding.provider, s.ocr.workers, s.search.results) == (5, 0.7, False, "local", 1, 10)
     assert s.path("a", "b") == "/r/a/b"
     env = {"A": "", "B": "yes", "N": "x"}
     assert env_first(["A", "B"], "d", env) == "yes" and env_bool(["A", "B"], False, env) and env_number("N", 3, int, env) == 3 and env_path(["A"], env) is None
@@ -145,7 +145,7 @@ def test_events(spark, tmp_path):
     assert json.loads(events.as_json({"b": b"xyz", "p": PurePosixPath("/a"), "l": (1, {2})})) == {"b": {"type": "bytes", "length": 3}, "p": "/a", "l": [1, [2]]}
     log = events.EventLog(spark, f"file://{tmp_path}/log")
     log.write([events.Retrieval("kb", "q", 1, 2, [], {"vector": [], "bm25": [{"doc_id": "x"}], "merged": []}), events.Embedding("query", "p", "m", 2, ["a"], "bad")])
-    events.EventLog(spark, log.path, Settings(log_embedding=False)).write([events.Embedding("query", "p", "m", 2)])
+    events.EventLog(spark, log.path, Settings(logs=Logs(embeddings=False))).write([events.Embedding("query", "p", "m", 2)])
     rows = log.read()
     assert sorted(r["kind"] for r in rows.collect()) == ["embedding_query", "retrieval"]
     found = rows.where("kind = 'retrieval'").first()
@@ -155,8 +155,8 @@ def test_events(spark, tmp_path):
 
 def test_engines_from_settings():
     assert ocr.from_settings(Settings()) is None
-    made = ocr.from_settings(Settings(ocr_url="http://ocr", ocr_file_field="f"))()
-    assert (made.url, made.field) == ("http://ocr", "f") and ocr.retry_from_settings(Settings(ocr_max_retries=3)).most == 3
+    made = ocr.from_settings(Settings(ocr=Ocr(url="http://ocr", field="f")))()
+    assert (made.url, made.field) == ("http://ocr", "f") and ocr.retry_from_settings(Settings(ocr=Ocr(retries=3))).most == 3
     assert ocr.timed(lambda image, name: [name])(b"", "x", 3.0) == ["x"] and ocr.timed(lambda image, name, timeout: [timeout])(b"", "x", 3.0) == [3.0]
     env = {"PPOCR_LANG": "ch", "OCR_USE_DOC_UNWARPING": "yes", "OCR_VERSION": "v"}
     assert ocr.local_options(env, ocr_version="w") == {"lang": "ch", "ocr_version": "w", "use_doc_orientation_classify": False, "use_doc_unwarping": True, "use_textline_orientation": False}
@@ -169,15 +169,15 @@ def test_image_files(tmp_path):
 
 def test_providers_from_settings():
     assert isinstance(providers.embedder(Settings()), providers.HashEmbedder) and providers.llm(Settings()) is None
-    made = providers.embedder(Settings(embedding_provider="hosted", embedding_base_url="http://e", embedding_model="m", embedding_batch_size=7))
+    made = providers.embedder(Settings(embedding=Embedding("hosted", "m", "http://e", batch=7)))
     assert (made.url, made.model, made.batch) == ("http://e", "m", 7)
-    for wrong in (Settings(embedding_provider="other"), Settings(embedding_base_url="http://e")):
+    for wrong in (Settings(embedding=Embedding("other")), Settings(embedding=Embedding(url="http://e"))):
         with pytest.raises(ValueError, match="embedding"):
             providers.embedder(wrong)
-    for wrong in (Settings(llm_model="m"), Settings(llm_model="m", llm_provider="x")):
+    for wrong in (Settings(answering=Answering(model="m")), Settings(answering=Answering("x", "m"))):
         with pytest.raises(ValueError, match="language model"):
             providers.llm(wrong)
-    assert providers.llm(Settings(llm_model="m", embedding_base_url="http://e")).model == "m"
+    assert providers.llm(Settings(answering=Answering(model="m"), embedding=Embedding(url="http://e"))).model == "m"
 
 
 def test_documents_of_each_format(spark, tmp_path):
