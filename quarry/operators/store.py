@@ -201,7 +201,10 @@ class Deltas:
         return number
 
     def _next(self, name: str) -> int:
-        rows, gone = self._parts(self.table.folders(name))
+        folders = self.table.folders(name)
+        if not folders:
+            return 1
+        rows, gone = self._parts(folders)
         return (rows.select("change").unionByName(gone.select("change")).agg(F.max("change")).first()[0] or 0) + 1
 
     def sizes(self, name: str = "") -> list[int]:
@@ -213,8 +216,8 @@ class Deltas:
         return counts
 
     def _fold(self, name: str) -> None:
-        n = to_fold(self.sizes(name))
         folders = self.table.folders(name)
+        n = to_fold(self.sizes(name)) if len(folders) > FEW else 0
         if not n:
             return
         rows, gone = self._parts(folders[-n:])
