@@ -95,6 +95,7 @@ def text(rng):
 def test_segments_score_as_a_new_index(spark, tmp_path, seed, monkeypatch):
     monkeypatch.setattr(segments, "RANGE", 4)
     monkeypatch.setattr(store, "FEW", 1)
+    monkeypatch.setattr(store, "to_fold", lambda sizes: 2 if len(sizes) > 2 else 0)
     rng = random.Random(seed)
     held = segments.Indexed(store.Table(spark, f"file://{tmp_path}/t", CHUNK), ("doc_id",))
     plain: dict = {}
@@ -111,15 +112,20 @@ def test_segments_score_as_a_new_index(spark, tmp_path, seed, monkeypatch):
     now = spark.createDataFrame([r for rows in plain.values() for r in rows], CHUNK)
     assert rows_of(held.read()) == rows_of(now)
     anew = bm25.build(now)
-    for per_kb in (False, True):
-        want = bm25.search(anew, questions, 5, per_kb).select("query_id", "kb_id", "chunk_key", "score", "rank")
-        for first in (1, 3):
-            got = segments.search(held.index("x", "y"), questions, 5, per_kb, first=first).select("query_id", "kb_id", "chunk_key", "score", "rank")
-            assert [(*r[:3], round(r[3], 8), r[4]) for r in rows_of(got)] == [(*r[:3], round(r[3], 8), r[4]) for r in rows_of(want)]
-    assert held.index("x", "z") is None
+    scored = lambda df: [(*r[:3], round(r[3], 8), r[4]) for r in rows_of(df.select("query_id", "kb_id", "chunk_key", "score", "rank"))]
+    want = {per_kb: scored(bm25.search(anew, questions, 5, per_kb)) for per_kb in (False, True)}
     counts = lambda df: {tuple(r) for r in df.collect()}
-    assert counts(held.index().term_stats().select("kb_id", "term", "df")) == counts(anew.term_stats.select("kb_id", "term", "df"))
-    assert sum(len(held.table.held(kb)) for kb in ("x", "y")) < 6, "segments are folded"
+    for whole in (False, True):
+        if whole:
+            monkeypatch.setattr(store, "to_fold", len)
+            for kb in ("x", "y"):
+                held._fold(kb)
+        assert [len(held.table.held(kb)) for kb in ("x", "y")] == ([1, 1] if whole else [2, 2])
+        for per_kb, first in ((False, 1), (True, 3)):
+            assert scored(segments.search(held.index("x", "y"), questions, 5, per_kb, first=first)) == want[per_kb]
+        assert counts(held.index().term_stats().select("kb_id", "term", "df")) == counts(anew.term_stats.select("kb_id", "term", "df"))
+        assert rows_of(held.read()) == rows_of(now)
+    assert held.index("x", "z") is None
 
 
 def test_blocks_that_cannot_reach_the_best_are_not_read(spark, tmp_path):
