@@ -7,13 +7,13 @@ on all training rows feed each other. A fold's models know nothing of the fold:
 
 Features are words and word beginnings of four and five letters. A model may use every feature whose association with the label, in its own training rows,
 is significant (likelihood ratio, `LEAST_SCORE`); their number has no limit. The classifier is fitted on about `sample` labelled rows (all, where there
-are no more), drawn by a hash of doc_id, which is the only bound. Prediction covers every document and its whole text.
+are no more), ids drawn by their hash and then rows by theirs, which is the only bound. Prediction covers every document and its whole text.
 
 Only an overall label comes with the data; a category's label is that label together with one of the category's seed words.
 
 Defined results: null and empty texts have probability 0 and are not toxic; labels that are null are unlabelled; with several
-labels for an id the largest holds; without both kinds of label nothing is learned and nothing flagged; repeated rows repeat, and a labelled one counts as often; extra
-columns are ignored; an empty table gives an empty result.
+labels for an id the largest holds; without both kinds of label nothing is learned and nothing flagged; repeated rows repeat, and in training rows
+that agree in id and text count once; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,15 +130,21 @@ def fit_logistic(x: Rows, y: np.ndarray, penalty: float = 0.05, rounds: int = 40
 
 
 def _drawn(docs: DataFrame, labels: DataFrame, sample: int, seed: int, doc_id: str, text: str, label: str) -> DataFrame:
-    """(doc_id, text, label) of about `sample` labelled documents.
+    """(doc_id, text, label) of about `sample` labelled rows, written.
 
-    They are drawn among the labels, so that only a table of bounded size, which is broadcast, meets the documents.
+    Ids are drawn among the labels, so that only a table of bounded size, which is broadcast, meets the documents. An id may have many rows; rows that
+    agree in id and text are one, and of the rest so many are drawn that the rows keep to the bound too.
     """
     one = labels.where(labels[label].isNotNull()).groupBy(labels[doc_id].cast("bigint").alias("doc_id")).agg(F.max(labels[label].cast("int")).alias("label"))
-    share = min(1.0, sample / max(1, one.count()))
-    drawn = materialise(one.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53)) < share), "drawn")
+    drawn = materialise(one.where(_below(min(1.0, sample / max(1, one.count())), "doc_id", F.lit(seed))), "drawn")
     known = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text")).where(F.col("text").isNotNull())
-    return known.join(F.broadcast(drawn), "doc_id")
+    rows = materialise(known.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"]), "labelled")
+    return rows.where(_below(min(1.0, sample / max(1, rows.count())), "doc_id", "text", F.lit(seed)))
+
+
+def _below(share: float, *by: str | Column) -> Column:
+    """Whether the columns' hash, as a number from 0 to 1, is below a share."""
+    return F.shiftrightunsigned(F.xxhash64(*by), 11) / F.lit(float(1 << 53)) < share
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
@@ -186,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     """The chain, or None if the labels are not of both kinds."""
     bound_batches(docs.sparkSession)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int")
-    rows = materialise(_drawn(docs, labels, sample, seed, doc_id, text, label).withColumn("fold", fold), "labelled")
+    rows = _drawn(docs, labels, sample, seed, doc_id, text, label).withColumn("fold", fold)
     totals = np.zeros((FOLDS, 2), np.int64)
     for r in rows.groupBy("fold", (F.col("label") > 0).alias("toxic")).count().collect():
         totals[r["fold"], 0 if r["toxic"] else 1] = r["count"]
@@ -209,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.concatenate(found), np.array([len(f) for f in found]), pa.int32()), pa.array(marks, pa.list_(pa.int32())), batch.column(3)], names=["doc_id", "features", "marks", "fold"])
 
-    got = rows.select("doc_id", "text", "label", "fold").mapInArrow(encode, "doc_id bigint, features array<int>, marks array<int>, fold int").orderBy("doc_id").toArrow()
+    got = rows.select("doc_id", "text", "label", "fold").mapInArrow(encode, "doc_id bigint, features array<int>, marks array<int>, fold int").orderBy("doc_id", "features").toArrow()
     features_of = [np.array(f, np.intp) for f in got.column("features").to_pylist()]
     y, fold_of = np.array(got.column("marks").to_pylist(), np.float64), got.column("fold").to_numpy()
     n = len(features_of)
