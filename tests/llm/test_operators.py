@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, extract, language, mixing, secrets, simhash, suffixarrays, suffixtrees, topk, toxicity
+from quarry.llm.components import components
 from tests.llm import brute
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, blob string, fp bigint"
@@ -105,6 +106,31 @@ def test_decontamination(spark, frame, empty, corpus, bits):
     assert not any(r[-1] for r in rows(decontaminate.decontaminate(frame, bench.limit(0))))
 
 
+def test_decontamination_of_texts_that_are_items(spark, monkeypatch):
+    rng = random.Random(5)
+    long = sentence(rng, 5000)
+    docs = {1: long, 2: f"{long} {long[:900]}", 3: sentence(rng, 400), 4: "alpha1 " * 40, 5: sentence(rng, 300)}
+    items = {i: docs[i] for i in (1, 3, 4)} | {9: "alpha1", 10: "alpha1 " * 12}
+    frame, bench = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    written = []
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name, _own=decontaminate.materialise: written.append((name, _own(df, name))) or written[-1][1])
+    assert set(rows(decontaminate.decontaminate(frame, bench))) == brute.contamination(docs, items)
+    places = dict(written)["places"]
+    assert places.where("part > 0").count() and places.agg(F.max(F.size("places"))).first()[0] <= decontaminate.PART
+
+
+def test_decontamination_writes_places_of_hits_only(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = {i: sentence(rng, 200) for i in range(60)}
+    items = {i: sentence(rng, 200) for i in range(60)} | {99: docs[7][:120]}
+    frame, bench = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    written = {}
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name, _own=decontaminate.materialise: written.setdefault(name, _own(df, name)))
+    assert set(rows(decontaminate.decontaminate(frame, bench))) == brute.contamination(docs, items)
+    # The items have the documents' words, and only one shares windows.
+    assert written["places"].select(F.sum(F.size("places"))).first()[0] < 120
+
+
 @pytest.mark.parametrize("crowd", [512, 1])
 def test_repeated_words(frame, empty, corpus, crowd):
     got = rows(suffixtrees.remove_repeated_words(frame.unionByName(frame.where("doc_id = 12")), crowd=crowd))
@@ -238,6 +264,21 @@ def test_toxicity(spark, empty):
     assert not any(r["toxic"] for r in toxicity.score(docs, None).collect()) and toxicity.score(empty, chain).count() == 0
 
 
+def test_toxicity_is_fitted_on_a_bounded_number_of_rows(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    drawn = toxicity._drawn(docs.unionByName(docs), labels, 500, 42, "doc_id", "text", "toxic")
+    assert 0 < drawn.count() < 700
+    every = toxicity._drawn(docs.unionByName(docs), labels, 10_000, 42, "doc_id", "text", "toxic")
+    assert every.count() == 4000, "rows that agree in id and text are one"
+
+
+def test_components_of_a_node_with_very_many_links(spark):
+    links = spark.range(1, 3000).select(F.lit(0).alias("a"), F.col("id").alias("b")).unionByName(spark.range(5000, 5400).select("id", (F.col("id") + 1).alias("b")).toDF("a", "b"))
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5401)}
+
+
 def test_extraction(spark):
     body = "<html><body><div id=top{0}>Menu {0}</div><div class=x><div class=y><p>Text number {0} is long enough to count as the main text.</p></div></div></body></html>"
     pages = [(i, f"http://h.example/{i}", body.replace("{0}", str(i))) for i in range(8)]
