@@ -111,27 +111,28 @@ def kb_paths_from_json(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.explode(F.from_json(column, "map<string,string>")).alias("root", "kb_id"))
 
 
-def resolve_kb_ids(roots: DataFrame, bindings: DataFrame) -> DataFrame:
+def resolve_kb_ids(roots: DataFrame, bindings: DataFrame, together: bool = True) -> DataFrame:
     """(root, kb_id) for roots (root, wanted): the wanted name, else the root's binding, else a clean name no one has.
 
     A name that is taken gets six digits of the root's SHA-1, one that is still taken a number from 2 on as well. Many roots at once get different names: in each round the roots
     without one ask for their next, the least root of those that ask for the same gets it, and the rest go on, until all have one. As roots differ in their digits, that is two rounds, and one
-    more for each number.
+    more for each number. If not `together`, each root is asked about alone: it gets the first name that no binding has, whatever the others get.
     """
     bound = roots.join(bindings.withColumnRenamed("kb_id", "bound"), "root", "left")
     named = materialise(bound.select("root", F.coalesce(F.nullif("wanted", F.lit("")), "bound").alias("kb_id")), "named")
     kept = named.where(F.col("kb_id").isNotNull())
     base, digits = sanitize_kb_id(basename(F.col("root"))), F.substring(F.sha1(F.col("root").cast("binary")), 1, 6)
     asking = named.where(F.col("kb_id").isNull()).select("root").distinct().select("root", base.alias("base"), F.concat_ws("_", base, digits).alias("short"))
-    taken, won, attempt = bindings.select("kb_id").unionByName(kept.select("kb_id")), [], 0
+    taken, won, attempt = bindings.select("kb_id"), [], 0
+    taken = taken.unionByName(kept.select("kb_id")) if together else taken
     while asking.head(1):
         attempt += 1
         name = F.col("base") if attempt == 1 else F.col("short") if attempt == 2 else F.concat_ws("_", "short", F.lit(str(attempt - 1)))
         free = asking.withColumn("kb_id", name).join(taken, "kb_id", "left_anti")
         # A minimum, and not a sorted group: many roots may ask for one name.
-        got = materialise(free.groupBy("kb_id").agg(F.min("root").alias("root")).select("root", "kb_id"), "got")
+        got = materialise(free.groupBy("kb_id").agg(F.min("root").alias("root")).select("root", "kb_id") if together else free.select("root", "kb_id"), "got")
         won.append(got)
-        taken = taken.unionByName(got.select("kb_id"))
+        taken = taken.unionByName(got.select("kb_id")) if together else taken
         asking = materialise(asking.join(got, "root", "left_anti"), "asking")
     found = kept
     for got in won:

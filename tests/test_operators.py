@@ -217,6 +217,14 @@ def test_names_of_many_roots(spark):
     assert dict(map(tuple, free.collect())) == {"/a/docs": "docs", "/b/docs": f"docs_{digits('/b/docs')}", "/c/Docs": f"docs_{digits('/c/Docs')}"}
 
 
+def test_names_of_roots_asked_alone(spark):
+    roots = ["/r3775/Taken", "/r6231/Taken"]  # their SHA-1 begins with the same six digits
+    asked = spark.createDataFrame([(r, None) for r in roots], "root string, wanted string")
+    taken = spark.createDataFrame([("/z", "taken")], "root string, kb_id string")
+    assert dict(map(tuple, manifest.resolve_kb_ids(asked, taken, together=False).collect())) == dict.fromkeys(roots, "taken_34bc16")
+    assert dict(map(tuple, manifest.resolve_kb_ids(asked, taken).collect())) == {roots[0]: "taken_34bc16", roots[1]: "taken_34bc16_2"}
+
+
 def test_a_folder_as_a_tree_of_digests(spark):
     names = spark.range(1_000_000).select(F.concat(F.lit("folder/file_"), F.col("id").cast("string")).alias("rel"), F.col("id").alias("mtime"), (F.col("id") % 7).alias("size"))
     digest = lambda df: manifest.tree_fingerprint(df).first()["fingerprint"]
