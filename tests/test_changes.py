@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import bm25, segments, store
@@ -196,3 +197,24 @@ def test_a_sync_writes_and_reads_what_changed(spark, tmp_path):
     score = lambda df: [(r["query_id"], r["chunk_key"], round(r["score"], 8)) for r in df.orderBy("query_id", "rank").collect()]
     assert score(segments.search(kb.index("docs"), asked, 8)) == score(bm25.search(anew, asked, 8))
     assert kb.texts.read("docs").count() == 31
+
+
+def test_many_questions_read_blocks_once(spark, tmp_path, monkeypatch):
+    """Questions in several blocks, over several knowledge bases and changes, give what ranges chosen for each question and an index built anew give."""
+    rows = [("xy"[i % 2], i, " ".join(f"w{(i * j) % (5 + j)}" for j in range(1, 9)) if i % 11 else "w1 w1 w2") for i in range(300)]
+    chunks = spark.createDataFrame(rows, "kb_id string, chunk_key int, text string")
+    segments.write(f"file://{tmp_path}/1", 1, chunks, chunks.limit(0))
+    segments.write(f"file://{tmp_path}/2", 2, chunks.limit(0), chunks.where("chunk_key % 5 = 0"))
+    index = segments.Segments.read(spark, [f"file://{tmp_path}/{i}" for i in (1, 2)])
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 1} w2 nowhere") for i in range(7)] + [("none", "zzz"), ("blank", "")], "query_id string, text string")
+    rows_of = lambda df: sorted((r["query_id"], r["kb_id"], r["chunk_key"], r["rank"], round(r["score"], 6)) for r in df.collect())
+    now = chunks.where("chunk_key % 5 <> 0")
+    monkeypatch.setattr(bm25, "QUESTIONS", 5)
+    monkeypatch.setattr(bm25, "STEP", 7)
+    for per_kb in (False, True):
+        found = segments.search(index, asked, 4, per_kb)
+        order = Window.partitionBy("query_id", *["kb_id"] * per_kb).orderBy(F.desc("score"), "chunk_key")
+        plain = bm25.score(bm25.build(now), asked).withColumn("rank", F.row_number().over(order)).where("rank <= 4")
+        assert rows_of(found) == rows_of(bm25.search_chunks(now, asked, 4, per_kb=per_kb)) == rows_of(plain)
+    # What is ranked are the few rows that tasks have kept, and no pairs of questions and chunks.
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
