@@ -151,9 +151,9 @@ def search(index: Index, queries: DataFrame, limit: int, probes: int | None = No
 
     with blocks.batches(spark):
         probing = asked.mapInArrow(lists, f"query {query}, v array<double>, lists array<int>").select("query", "v", F.explode("lists").alias("list"))
-        mine = materialise(blocks.packed(probing.repartition("list").sortWithinPartitions("list"), "v", blocks.QUERIES, "list"), "probing")
+        mine = materialise(blocks.packed(probing.repartition("list").sortWithinPartitions("list"), "v", blocks.QUERIES, by="list"), "probing")
         rows = index.rows(spark).select(F.col(key).alias("key"), F.col("embedding").cast("array<double>").alias("v"), "list")
-        held = materialise(blocks.packed(rows.sortWithinPartitions("list"), "v", blocks.ROWS, "list"), "lists")
+        held = materialise(blocks.packed(rows.sortWithinPartitions("list"), "v", blocks.ROWS, by="list"), "lists")
         kind = rows.schema["key"].dataType.simpleString()
         scored = blocks.pairs(mine, held, lambda block: blocks.Nearest(block, limit, ["key"], cosine=True), f"query {query}, key {kind}, score double", on="list")
         order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
