@@ -12,7 +12,9 @@ answered exactly from all rows.
 
 Inner products of rows of unequal lengths are not those of their directions: where lengths differ by more than `EVEN`, a component is added to each row that makes all
 lengths equal, and a zero to each query. Buckets with many rows or queries are cut into a grid of cells of at most about `CELL_ROWS` rows and `CELL_QUERIES` queries, so a crowd
-of near copies is many tasks. Of equal vectors only the k + 1 with the smallest ids can be among results, which a group limit keeps on the map side.
+of near copies is many tasks. A task hands on the k best of what it sees, so one pass over all cells would hand on k rows for each query and task. Instead a query meets its cells in rounds:
+first one cell of its own bucket in each table, then shares of the others that grow by `GROWTH`. The k-th best score so far goes along with the query, and only rows that reach it
+are handed on; what a later round hands on so depends on how many rows do, and not on how many tasks see them. Of equal vectors only the k + 1 with the smallest ids can be among results, which a group limit keeps on the map side.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, and neither do rows without an id, which a result could not name; rows are
 rows, even if they repeat an id or a vector: each is a candidate for all others and, if its id is divisible by `every`, a query of its own; only vectors of the query's length are
@@ -27,8 +29,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import changes, lists, materialise, runs, single
 from quarry.operators import blocks
@@ -39,8 +42,7 @@ BUCKET = 400
 SAMPLE, RECALL = 128, 0.95
 EVEN = 0.01
 CELL_ROWS, CELL_QUERIES = 4_096, 1_024
-
-_PLACED = "row bigint, vec_id bigint, size int, v array<double>, buckets array<bigint>"
+GROWTH = 64
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,7 @@ def rotate(x: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
 
 def directions(v: np.ndarray, shape: Shape, query: bool) -> np.ndarray:
     """Unit vectors to be hashed, padded: of rows with the component that makes all lengths equal, of queries with a zero there."""
+    v = np.asarray(v, np.float64)
     out = np.zeros((len(v), shape.padded))
     lengths = np.sqrt((v / np.abs(v).max(axis=1, keepdims=True)) ** 2 @ np.ones(v.shape[1])) * np.abs(v).max(axis=1)
     if shape.largest and not query:
@@ -132,8 +135,11 @@ def least_loss(queries: np.ndarray, rows: np.ndarray, shape: Shape) -> np.ndarra
 
 
 def vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(row, vec_id, size, v): the rows that take part, numbered."""
-    found = df.select(df[vec_id].cast("bigint").alias("vec_id"), df[vector].cast("array<double>").alias("v"))
+    """(row, vec_id, size, v): the rows that take part, numbered. Floats stay floats, which are half as wide, until they are multiplied; all else becomes doubles."""
+    found = df.select(df[vec_id].cast("bigint").alias("vec_id"), df[vector].alias("v"))
+    kind = found.schema["v"].dataType
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)):
+        found = found.withColumn("v", F.col("v").cast("array<double>"))
     found = found.where(F.col("vec_id").isNotNull() & blocks.whole("v") & F.exists("v", lambda x: x != 0))
     return found.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("size"), "v")
 
@@ -149,6 +155,10 @@ def shapes(rows: DataFrame) -> dict[int, Shape]:
     return out
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["v"].dataType.simpleString()
+
+
 def place(rows: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
     """rows with the bucket of each table."""
 
@@ -160,11 +170,11 @@ def place(rows: DataFrame, shapes: dict[int, Shape]) -> DataFrame:
                 found = hashes(directions(mine.column(3).flatten().to_numpy().reshape(-1, size), shapes[size], False), shapes[size])
                 yield pa.RecordBatch.from_arrays([*mine.columns, lists(found.ravel(), np.full(len(found), TABLES), pa.int64())], names=[*mine.schema.names, "buckets"])
 
-    return rows.select("row", "vec_id", "size", "v").mapInArrow(run, _PLACED)
+    return rows.select("row", "vec_id", "size", "v").mapInArrow(run, f"row bigint, vec_id bigint, size int, v {_kind(rows)}, buckets array<bigint>")
 
 
 def probed(queries: DataFrame, shapes: dict[int, Shape], radii: dict[int, float]) -> DataFrame:
-    """(row, size, v, table, buckets): the buckets that each query probes, one row for each table."""
+    """(row, size, v, table, home, buckets): the buckets that each query probes, its own (`home`) among them, one row for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +182,13 @@ def probed(queries: DataFrame, shapes: dict[int, Shape], radii: dict[int, float]
             for size in np.unique(sizes).tolist():
                 mine = batch.filter(pa.array(sizes == size))
                 x = directions(mine.column(2).flatten().to_numpy().reshape(-1, size), shapes[size], True)
+                home = hashes(x, shapes[size])
                 for table in range(TABLES):
                     at, bucket = probes(x, shapes[size], table, radii[size])
                     order = np.argsort(at, kind="stable")
-                    yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(np.full(len(x), table), pa.int32()), lists(bucket[order], np.bincount(at, minlength=len(x)), pa.int64())], names=[*mine.schema.names, "table", "buckets"])
+                    yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(np.full(len(x), table), pa.int32()), pa.array(home[:, table]), lists(bucket[order], np.bincount(at, minlength=len(x)), pa.int64())], names=[*mine.schema.names, "table", "home", "buckets"])
 
-    return queries.select("row", "size", "v").mapInArrow(run, "row bigint, size int, v array<double>, table int, buckets array<bigint>")
+    return queries.select("row", "size", "v").mapInArrow(run, f"row bigint, size int, v {_kind(queries)}, table int, home bigint, buckets array<bigint>")
 
 
 def fitted(rows: DataFrame, queries: DataFrame, shapes: dict[int, Shape], k: int) -> dict[int, float]:
@@ -196,40 +207,62 @@ def fitted(rows: DataFrame, queries: DataFrame, shapes: dict[int, Shape], k: int
     return radii
 
 
-_CELL = ["size", "table", "bucket", "across", "down"]
+_BUCKET = ["size", "table", "bucket"]
+_CELL = [*_BUCKET, "across", "down"]
 
 
-def cells(placed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(cell, side, row, v): rows (side 1) and probing queries (side 0) of every bucket that a query probes, dealt to its cells."""
-    of_rows = placed.select("size", F.posexplode("buckets").alias("table", "bucket"))
-    of_queries = asked.select("size", "table", F.explode("buckets").alias("bucket"))
-    key = ["size", "table", "bucket"]
-    many = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
-    counts = many(of_queries, "queries").join(many(of_rows, "rows"), key)
+def grid(placed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(bucket, n_down, n_across): how many cells every bucket that a query probes is cut into."""
+    many = lambda df, name: df.groupBy(*_BUCKET).agg(F.count("*").alias(name))
+    counts = many(asked.select("size", "table", F.explode("buckets").alias("bucket")), "queries").join(many(placed.select("size", F.posexplode("buckets").alias("table", "bucket")), "rows"), _BUCKET)
     cut = lambda n, most: F.ceil(F.col(n) / most).cast("int")
-    grid = materialise(counts.select(*key, cut("rows", CELL_ROWS).alias("n_down"), cut("queries", CELL_QUERIES).alias("n_across")), "grid")
-    spread = lambda n, name: F.pmod(F.xxhash64("row"), F.col(n)).cast("int").alias(name)
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    rows = placed.select("row", "vec_id", "size", "v", F.posexplode("buckets").alias("table", "bucket")).join(grid, key)
-    rows = rows.select(*key, spread("n_down", "down"), every("n_across", "across"), F.lit(1).alias("side"), "row", "vec_id", "v")
-    queries = asked.select("row", "size", "v", "table", F.explode("buckets").alias("bucket")).join(grid, key)
-    queries = queries.select(*key, every("n_down", "down"), spread("n_across", "across"), F.lit(0).alias("side"), "row", F.lit(0).cast("bigint").alias("vec_id"), "v")
-    both = rows.unionByName(queries)
-    return both.repartition(*_CELL).sortWithinPartitions(*_CELL, "side")
+    return counts.select(*_BUCKET, cut("rows", CELL_ROWS).alias("n_down"), cut("queries", CELL_QUERIES).alias("n_across"))
+
+
+def _every(n: str, name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+
+
+def _spread(n: str, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+
+
+def rounds(asked: DataFrame, grid: DataFrame) -> int:
+    """How many rounds the query with the most cells takes: `TABLES` cells in the first, up to `GROWTH` times those before in each later one."""
+    each = asked.select("row", "size", "table", F.explode("buckets").alias("bucket")).join(grid, _BUCKET).groupBy("row").agg(F.sum("n_down").alias("n"))
+    most = each.agg(F.max("n").alias("n")).first()["n"] or 1
+    return 1 + max(1, math.ceil(math.log(most / TABLES, GROWTH)))
+
+
+def _round(last: int) -> Column:
+    """The round of a query's cell: 0 for the one cell of its own bucket, else 1 to `last`, by a hash, each with `GROWTH` times as many as that before."""
+    share = (F.pmod(F.xxhash64("row", "table", "bucket", "down"), F.lit(1 << 30)) + 1) / float(1 << 30)
+    later = F.greatest(F.lit(1), last - F.floor(-F.log(share) / math.log(GROWTH)))
+    return F.when((F.col("bucket") == F.col("home")) & (F.col("down") == _spread("n_down", "row", "table")), 0).otherwise(later).cast("int")
+
+
+def cells(placed: DataFrame, asked: DataFrame, grid: DataFrame, least: DataFrame, at: int, last: int) -> DataFrame:
+    """(cell, side, row, vec_id, v, least): rows (side 1) of every cell, and the queries (side 0) that meet it in round `at`, with the score to reach from least (row, least)."""
+    rows = placed.select("row", "vec_id", "size", "v", F.posexplode("buckets").alias("table", "bucket")).join(grid, _BUCKET)
+    rows = rows.select(*_BUCKET, _spread("n_down", "row").alias("down"), _every("n_across", "across"), F.lit(1).alias("side"), "row", "vec_id", "v", F.lit(None).cast("double").alias("least"))
+    queries = asked.join(least, "row", "left").select("row", "size", "v", "least", "table", "home", F.explode("buckets").alias("bucket")).join(grid, _BUCKET)
+    queries = queries.select("*", _every("n_down", "down")).where(_round(last) == at)
+    queries = queries.select(*_BUCKET, "down", _spread("n_across", "row").alias("across"), F.lit(0).alias("side"), "row", F.lit(0).cast("bigint").alias("vec_id"), "v", "least")
+    return rows.unionByName(queries).repartition(*_CELL).sortWithinPartitions(*_CELL, "side")
 
 
 class _Ranking:
-    """The k best rows of each query among what a task has seen; a row may come from several tables."""
+    """The k best rows of each query among what a task has seen, and that reach the query's score; a row may come from several tables."""
 
     def __init__(self, k: int):
         self.k, self.least, self.held, self.rows = k, {}, [], 0
 
-    def add(self, q_rows: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+    def add(self, q_rows: np.ndarray, q: np.ndarray, reach: np.ndarray, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
         rough = q @ v.T
         slack = np.sqrt(blocks.products(q, q)) * np.sqrt(blocks.products(v, v)).max() * q.shape[1] * 2.0**-50
         slack[~np.isfinite(slack)] = 0
         rough[q_rows[:, None] == rows[None, :]] = -np.inf
-        least = np.array([self.least.get(r, -np.inf) for r in q_rows.tolist()])
+        least = np.maximum(reach, [self.least.get(r, -np.inf) for r in q_rows.tolist()])
         if len(rows) >= self.k:
             least = np.maximum(least, np.partition(rough, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
             self.least.update(zip(q_rows.tolist(), least.tolist(), strict=True))
@@ -248,19 +281,19 @@ class _Ranking:
 
 
 def ranked(dealt: DataFrame, k: int) -> DataFrame:
-    """(query, row, vec_id, score): of each query the k best candidates of every task, scored exactly."""
+    """(query, row, vec_id, score): of each query the k best candidates of every task that reach its `least`, scored exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Ranking(k)
         for whole in runs(batches, _CELL, 2_000):
             ends = [*changes(whole, _CELL).tolist(), whole.num_rows]
-            side, rows, ids, v = (single(whole, n) for n in ("side", "row", "vec_id", "v"))
-            side, rows, ids = side.to_numpy(), rows.to_numpy(), ids.to_numpy()
+            side, rows, ids, v, least = (single(whole, n) for n in ("side", "row", "vec_id", "v", "least"))
+            side, rows, ids, least = side.to_numpy(), rows.to_numpy(), ids.to_numpy(), least.fill_null(-np.inf).to_numpy()
             for start, end in zip([0, *ends[:-1]], ends, strict=True):
                 cut = start + int((side[start:end] == 0).sum())
                 if start < cut < end:
-                    m = v.slice(start, end - start).flatten().to_numpy().reshape(end - start, -1)
-                    best.add(rows[start:cut], m[: cut - start], rows[cut:end], ids[cut:end], m[cut - start :])
+                    m = v.slice(start, end - start).flatten().to_numpy().astype(np.float64, copy=False).reshape(end - start, -1)
+                    best.add(rows[start:cut], m[: cut - start], least[start:cut], rows[cut:end], ids[cut:end], m[cut - start :])
             if best.rows > 500_000:
                 kept = best.cut()
                 if kept.num_rows > 250_000:
@@ -289,8 +322,13 @@ def search(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id"
         radii = fitted(rows, queries, forms, k)
         placed = materialise(place(rows, forms), "placed")
         asked = materialise(probed(queries, forms, radii), "asked")
-        scored = ranked(cells(placed, asked), k)
-        found = materialise(_first(scored.groupBy("query", "row").agg(F.first("vec_id").alias("vec_id"), F.first("score").alias("score")), k), "found")
+        cut = materialise(grid(placed, asked), "grid")
+        last = rounds(asked, cut) - 1
+        found = spark.createDataFrame([], "query bigint, row bigint, vec_id bigint, score double, rank int")
+        for at in range(last + 1):
+            least = found.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("least"))
+            scored = found.drop("rank").unionByName(ranked(cells(placed, asked, cut, least, at, last), k))
+            found = materialise(_first(scored.groupBy("query", "row").agg(F.first("vec_id").alias("vec_id"), F.first("score").alias("score")), k), "found")
         # Queries with fewer than k rows: all rows of their length are candidates for them.
         few = queries.join(found.where(F.col("rank") == k).select(F.col("query").alias("row")), "row", "left_anti")
         rest = blocks.nearest(few.select(F.col("row").alias("query"), "v"), rows.select("vec_id", "row", "v"), k, ("vec_id", "row"), apart="row")

@@ -102,6 +102,50 @@ def test_neighbours(spark):
             assert [r for r, *_ in sorted(some)] == list(range(1, len(some) + 1)) and sorted(some) == [(r, i, s) for r, (s, i) in enumerate(sorted(((s, i) for _, i, s in some), key=lambda x: (-x[0], x[1])), 1)]
 
 
+def crowded(n: int = 1500) -> list[tuple]:
+    """Even data, and a third as many near copies of one vector."""
+    rng = np.random.default_rng(4)
+    even, copies = rng.normal(size=(n, 64)), rng.normal(size=64) + 0.01 * rng.normal(size=(n // 3, 64))
+    return [(i, v, 0, 1, "", 0) for i, v in enumerate(np.concatenate([even, copies]).tolist())]
+
+
+def test_rows_handed_on_do_not_follow_the_tasks(spark, monkeypatch):
+    made, ranked = [], crosspolytope.ranked
+
+    def counted(*args):
+        made.append(ranked(*args).count())
+        return ranked(*args)
+
+    monkeypatch.setattr(crosspolytope, "ranked", counted)
+    df, got = spark.createDataFrame(crowded(), VECTORS), []
+    conf = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in conf}
+    try:
+        for tasks in (4, 64):
+            for name, value in conf.items():
+                spark.conf.set(name, value or str(tasks))
+            made.clear()
+            got.append((sorted(tuple(r) for r in crosspolytope.search(df, k=5, every=10).collect()), sum(made)))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    (few, few_made), (many, many_made) = got
+    assert few == many and len(few) == 200 * 5
+    assert many_made <= 5 * few_made, "sixteen times the tasks"
+
+
+def test_rounds_meet_every_cell_once(spark, monkeypatch):
+    df = spark.createDataFrame(crowded(600), VECTORS)
+    floats = df.withColumn("embedding", df["embedding"].cast("array<float>"))
+    want = sorted(tuple(r) for r in crosspolytope.search(floats, k=5, every=10).collect())
+    for name, value in {"CELL_ROWS": 32, "CELL_QUERIES": 8, "GROWTH": 4}.items():
+        monkeypatch.setattr(crosspolytope, name, value)
+    rounds, numbers = crosspolytope.rounds, []
+    monkeypatch.setattr(crosspolytope, "rounds", lambda *args: numbers.append(rounds(*args)) or numbers[-1])
+    assert sorted(tuple(r) for r in crosspolytope.search(floats, k=5, every=10).collect()) == want and numbers[0] > 2
+    assert sorted(tuple(r) for r in crosspolytope.search(floats.withColumn("embedding", floats["embedding"].cast("array<double>")), k=5, every=10).collect()) == want, "floats give the sums of doubles"
+
+
 def test_neighbours_of_few_rows(spark):
     assert crosspolytope.search(spark.createDataFrame([], VECTORS)).collect() == []
     for rows in ([(0, [1.0, 2.0], 1, 1, "", 0)], [(i, [1.0 + i, 2.0, -i * 1.0], 1, 1, "", 0) for i in range(15)], [(i, [0.5, 0.5], 1, 1, "", 0) for i in range(50)], [(20 * i, [2.0], 1, 1, "", 0) for i in range(3)]):
